@@ -13,6 +13,7 @@ from quire.functions.ranges import lenient_segments
 from quire.plans.blocks import (
     ORDER_BITS,
     block,
+    clip,
     number_units,
     prefix_sums,
     range_join,
@@ -180,6 +181,7 @@ def rotate(pages: DataFrame, rotations: DataFrame) -> tuple[DataFrame, DataFrame
         F.col("__g.lo").alias("__lo"),
         F.col("__g.hi").alias("__hi"),
     )
+    segments = clip(segments, pages, ["doc_id"], "pos", "__hi")
     turned = (
         range_join(pages.select("doc_id", "pos"), segments, ["doc_id"], "pos", "__lo", "__hi")
         .groupBy("doc_id", "pos")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.ranges import lenient_segments, spec_segments
-from quire.plans.blocks import ORDER_BITS, block, prefix_sums, range_join, run_numbers
+from quire.plans.blocks import ORDER_BITS, block, clip, prefix_sums, range_join, run_numbers
 
 PART_BITS = 12
 
@@ -72,6 +72,7 @@ def delete_pages(
         parsed.select(key, F.explode("__s.segments").alias("__g"))
         .select(key, F.col("__g.lo").alias("__lo"), F.col("__g.hi").alias("__hi"))
     )
+    segments = clip(segments, pages, [key], "page", "__hi")
     sound = pages.join(broken.select(key), key, "left_anti")
     kept = range_join(sound, segments, [key], "page", "__lo", "__hi", "left_anti")
     emptied = (

@@ -127,6 +127,16 @@ def run_numbers(
     )
 
 
+def clip(
+    ranges: DataFrame, rows: DataFrame, keys: Sequence[str], position: str, hi: str
+) -> DataFrame:
+    """Cut ranges at the last position of their key, so a wild bound stays cheap."""
+    tops = rows.groupBy(*keys).agg(F.max(position).cast("bigint").alias("__top"))
+    return (
+        ranges.join(tops, list(keys)).withColumn(hi, F.least(hi, "__top")).drop("__top")
+    )
+
+
 def cover(ranges: DataFrame, lo: str, hi: str, bits: int = RANGE_BITS) -> DataFrame:
     """One row per block that lo..hi touches."""
     return ranges.filter(F.col(lo) <= F.col(hi)).withColumn(

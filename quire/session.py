@@ -30,6 +30,7 @@ def local_session(cpus: int | str = "*", name: str = "quire", memory: str = "8g"
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", parts)
         .config(
