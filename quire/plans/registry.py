@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-AREAS = ["selection"]
+AREAS = ["sources", "assembly", "selection"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

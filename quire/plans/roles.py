@@ -111,7 +111,7 @@ PART_BOXES = """
 """
 
 
-def rounded(value: Column | str, digits: int = 6) -> Column:
+def rounded(value: Column | str, digits: int = 9) -> Column:
     """Rounded double without a negative zero, for comparison across engines."""
     v = F.col(value) if isinstance(value, str) else value
     return F.round(v, digits) + F.lit(0.0)
