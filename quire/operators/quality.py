@@ -58,8 +58,8 @@ def luma_stats(
         sums = tiles.select(*keys, _byte_sums(F.col(pixels)).alias("__s"))
         parts = [F.sum(f"__s.{n}").alias(f"__{n}") for n in SUMS.names]
     else:
-        sums = tiles.select(*keys, F.explode_outer(pixels).cast("bigint").alias("__p"))
-        p = F.col("__p")
+        sums = tiles.select(*keys, F.explode_outer(pixels).alias("__p"))
+        p = F.col("__p").cast("bigint")
         parts = [
             F.count(p).alias("__n"),
             F.count_if(p < DARK_LUMA).alias("__dark"),

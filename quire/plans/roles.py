@@ -83,7 +83,7 @@ def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     trim = geo.box(w, h, F.lit(-10.0), F.lit(-10.0))
     return part.select(
         F.col("p_brand").alias("doc_id"),
-        F.col("p_partkey").alias("page"),
+        (F.col("p_partkey") + 1).alias("page"),
         geo.box(w, F.lit(0.0), F.lit(0.0), h).alias("media"),
         F.when(F.col("p_type") != "PROMO", crop).alias("crop"),
         F.when(F.col("p_type") == "LARGE", trim).alias("trim"),
@@ -93,11 +93,11 @@ def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PART_BOXES = """
     part_boxes AS (
-        SELECT p_brand AS doc_id, p_partkey AS page, ((p_partkey % 4) * 90)::INTEGER AS rotate,
-               0.0 AS mx0, 0.0 AS my0, p_retailprice AS mx1, p_size * 20.0::DOUBLE AS my1,
+        SELECT p_brand AS doc_id, p_partkey + 1 AS page, ((p_partkey % 4) * 90)::INTEGER AS rotate,
+               0.0::DOUBLE AS mx0, 0.0::DOUBLE AS my0, p_retailprice AS mx1, p_size * 20.0::DOUBLE AS my1,
                p_type <> 'PROMO' AS has_crop,
-               least(100.0, p_retailprice * 0.75::DOUBLE) AS cx0, 50.0 AS cy0,
-               greatest(100.0, p_retailprice * 0.75::DOUBLE) AS cx1, 600.0 AS cy1,
+               least(100.0, p_retailprice * 0.75::DOUBLE) AS cx0, 50.0::DOUBLE AS cy0,
+               greatest(100.0, p_retailprice * 0.75::DOUBLE) AS cx1, 600.0::DOUBLE AS cy1,
                p_type = 'LARGE' AS has_trim
         FROM part),
     visible AS (
