@@ -9,6 +9,7 @@ from quire.operators.metadata import FIELDS, meta_edit, meta_read
 from quire.operators.outline import outline
 from quire.operators.search import search, search_snippets
 from quire.operators.text import effective_text
+from quire.plans.flows import search_corpus
 from quire.plans.registry import query
 from quire.plans.roles import LINES, lines, table
 
@@ -204,3 +205,23 @@ def _fold_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id", fold_text(F.concat(F.lit("ŁódźĲ中"), F.col("text"))).alias("folded")
     )
+
+
+@query(
+    "search_corpus",
+    f"""
+    WITH {LINES},
+    counts AS (SELECT doc_id, max(page) AS n FROM lines GROUP BY 1),
+    offsets AS (
+        SELECT doc_id, source, coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip
+        FROM counts JOIN documents USING (doc_id)),
+    hits AS (
+        SELECT doc_id, page, query, row_number() OVER (PARTITION BY query ORDER BY doc_id, page)::INTEGER AS hit_no
+        FROM lines, (VALUES ('the'), ('nicht')) AS q(query) WHERE contains(lower(text), query))
+    SELECT doc_id, page, query, hit_no, source, concat('DOC-', lpad((skip + page)::VARCHAR, 6, '0')) AS label
+    FROM hits JOIN offsets USING (doc_id) WHERE hit_no <= 100
+    """,
+)
+def _search_corpus(spark, sf_dir):
+    found = search_corpus(table(spark, sf_dir, "documents"), ["the", "nicht"], sep="\n", prefix="DOC-")
+    return found.select("doc_id", "page", "query", "hit_no", "source", "label")

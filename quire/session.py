@@ -11,6 +11,10 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # page trees and outlines recurse over whole corpora; depth stays limited, rows do not
     "spark.sql.cteRecursionRowLimit": "-1",
+    # state of a stream lives on disk, not in executor memory
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # a cut or broken byte string becomes U+FFFD instead of stopping the job
     "spark.sql.legacy.codingErrorAction": "true",
 }
@@ -33,10 +37,6 @@ def local_session(cpus: int | str = "*", name: str = "quire", memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", parts)
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

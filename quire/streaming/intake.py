@@ -15,6 +15,7 @@ def arrivals(spark: SparkSession, path: str, delay: str = "1 day") -> DataFrame:
     """Stream of supported files, each path once within the watermark."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .load(path)
         .select("path", "modificationTime", "length")
