@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import col
 from quire.functions import geometry as geo
+from quire.session import cut_lineage
 
 MAX_UP = 33
 DEFAULT_BOX = (0.0, 0.0, 612.0, 792.0)
@@ -38,7 +39,7 @@ def resolve_inherited(nodes: DataFrame, pages: DataFrame | None = None) -> DataF
         geo.normalize_box("crop").alias("crop"),
         F.col("rotate").alias("rotate"),
     )
-    inner = own.join(parents, ["doc_id", "node"], "left_semi")
+    inner = cut_lineage(own.join(parents, ["doc_id", "node"], "left_semi"))
     # a walk goes on while something is still unknown; a page itself is step 1
     walks = spark.sql(
         """

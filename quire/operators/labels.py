@@ -37,8 +37,14 @@ def z_order(annots: DataFrame, moves: DataFrame, bits: int = ORDER_BITS) -> Data
     comes back as the 1-based layer on the page, later layers in front.
     """
     page = ["doc_id", "page_index"]
-    numbered = row_numbers(annots, page, "ord", "__pos", bits)
-    sizes = annots.groupBy(*page).agg(F.count(F.lit(1)).alias("__n"))
+    moving = annots.select(*page, "id", F.col("ord").alias("__ord")).join(moves, ["doc_id", "id"])
+    # the place of a moving annotation is a count, so only its page is looked at
+    places = (
+        annots.select(*page, "ord")
+        .join(moving.select(*page, "__ord", "dir"), page)
+        .groupBy(*page, "dir")
+        .agg(F.count_if(F.col("ord") <= F.col("__ord")).alias("__src"), F.count(F.lit(1)).alias("__n"))
+    )
     target = (
         F.when(F.col("dir") == "backward", F.col("__src") - 1)
         .when(F.col("dir") == "forward", F.col("__src") + 1)
@@ -46,10 +52,7 @@ def z_order(annots: DataFrame, moves: DataFrame, bits: int = ORDER_BITS) -> Data
         .otherwise(F.col("__n"))
     )
     wanted = (
-        numbered.select(*page, "id", F.col("__pos").alias("__src"))
-        .join(moves, ["doc_id", "id"])
-        .join(sizes, page)
-        .withColumn("__dst", target)
+        places.withColumn("__dst", target)
         .filter(
             (F.col("__dst") >= 1)
             & (F.col("__dst") <= F.col("__n"))
@@ -57,6 +60,7 @@ def z_order(annots: DataFrame, moves: DataFrame, bits: int = ORDER_BITS) -> Data
         )
         .select(*page, "__src", "__dst")
     )
+    numbered = row_numbers(annots, page, "ord", "__pos", bits)
     layer = F.when(F.col("__src").isNull(), F.col("__pos")).otherwise(
         shifted(F.col("__pos"), F.col("__src"), F.col("__dst"))
     )

@@ -55,28 +55,33 @@ def search_snippets(
 ) -> DataFrame:
     """First hit of each page with its surroundings; the first ``limit`` pages per query."""
     hits = _hits(pages, phrases, case_sensitive)
-    by_query = Window.partitionBy("query").orderBy(*order)
-    hits = hits.withColumn("hit_no", F.row_number().over(by_query)).filter(
-        F.col("hit_no") <= limit
-    )
     text = F.col("text") if case_sensitive else F.lower("text")
     needle = F.col("query") if case_sensitive else F.lower("query")
     # 1-based place of the match and of the first character shown before it
     hits = hits.withColumn("__at", F.instr(text, needle))
     hits = hits.withColumn("__from", F.greatest(F.col("__at") - BEFORE, F.lit(1)))
     size = F.length("query")
+    rest = [c for c in pages.columns if c != "text"]
+    # only the short snippet goes into the ranking, never the page
+    short = hits.select(
+        *rest,
+        "query",
+        (F.col("__from") > 1).alias("__cut"),
+        F.substring(F.col("text"), F.col("__from"), F.col("__at") - F.col("__from")).alias("__lead"),
+        F.substring(F.col("text"), F.col("__at"), size).alias("match"),
+        F.substring(F.col("text"), F.col("__at") + size, F.lit(AFTER)).alias("__tail"),
+    )
+    by_query = Window.partitionBy("query").orderBy(*order)
+    first = short.withColumn("hit_no", F.row_number().over(by_query)).filter(F.col("hit_no") <= limit)
 
     def squeeze(value: Column) -> Column:
         return F.regexp_replace(value, INNER_SPACE, " ")
 
-    lead = squeeze(F.substring(F.col("text"), F.col("__from"), F.col("__at") - F.col("__from")))
-    return hits.select(
-        *[c for c in pages.columns if c != "text"],
+    return first.select(
+        *rest,
         "query",
         "hit_no",
-        F.concat(F.when(F.col("__from") > 1, "…").otherwise(""), lead).alias("before"),
-        F.substring(F.col("text"), F.col("__at"), size).alias("match"),
-        squeeze(
-            F.concat(F.substring(F.col("text"), F.col("__at") + size, F.lit(AFTER)), F.lit("…"))
-        ).alias("after"),
+        F.concat(F.when(F.col("__cut"), "…").otherwise(""), squeeze(F.col("__lead"))).alias("before"),
+        "match",
+        F.concat(squeeze(F.col("__tail")), F.lit("…")).alias("after"),
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -289,7 +288,7 @@ def _name_outputs(spark, sf_dir):
 
 @query("write_docs", "SELECT doc_id, lang, n_chars FROM documents")
 def _write_docs(spark, sf_dir):
-    root = checkpoint_root(spark, tempfile.gettempdir())
+    root = checkpoint_root(spark)
     out = f"{root}/written-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     write_docs(docs, out, inputs=[sf_dir], partition_by=["lang"])

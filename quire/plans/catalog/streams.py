@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ STATES = {"signup": "preparing", "view": "running", "click": "running", "purchas
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_root(spark, tempfile.gettempdir())}/stream-{uuid.uuid4()}"
+    return f"{checkpoint_root(spark)}/stream-{uuid.uuid4()}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a join on the document must not decide where its page blocks are worked on
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
     # page trees and outlines recurse over whole corpora; depth stays limited, rows do not
     "spark.sql.cteRecursionRowLimit": "-1",
     # state of a stream lives on disk, not in executor memory
@@ -43,6 +47,14 @@ def local_session(cpus: int | str = "*", name: str = "quire", memory: str = "8g"
     return prepare(spark)
 
 
-def checkpoint_root(spark: SparkSession, fallback: str) -> str:
-    """The shared folder named by the cluster, or ``fallback`` where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by the cluster; a temporary one only where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint on first use, for tables that a recursion reads at every level."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
+    return df.checkpoint(eager=False)

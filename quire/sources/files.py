@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.paths import basename, classify_file, join_path
-from quire.plans.blocks import ORDER_BITS, prefix_sums, row_numbers
+from quire.plans.blocks import ORDER_BITS, range_join, row_numbers
 
 
 def catalogue(files: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
@@ -119,39 +119,43 @@ def name_outputs(
 
     The first input with a stem keeps it, later ones take the next free number.
     A number is free when no input is literally called "stem (k)" and, with
-    ``existing`` (dir, stem), no such file is there. The k-th free number is
-    found with a running count of taken ones, so a stem shared by most inputs is
-    still spread over many tasks.
+    ``existing`` (dir, stem), no such file is there. Numbers come from block-wise
+    counts and ranges of taken numbers, so a stem shared by most inputs is still
+    spread over many tasks.
     """
     numbered = row_numbers(inputs, ["dir", "stem"], "seq", "__no", bits)
 
+    keys = ["dir", "stem"]
+    tops = inputs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__top")).filter(F.col("__top") > 1)
+
     shape = r"(?s)^(.*) \(([1-9][0-9]{0,17})\)$"
     names = inputs.select("dir", "stem")
     if existing is not None:
         names = names.unionByName(existing.select("dir", "stem"))
-    taken = names.distinct().select(
-        "dir",
-        F.regexp_extract("stem", shape, 1).alias("stem"),
-        F.nullif(F.regexp_extract("stem", shape, 2), F.lit("")).cast("bigint").alias("__k"),
-    ).filter(F.col("__k") >= 2)
-    ranked = row_numbers(taken, ["dir", "stem"], "__k", "__rank", bits)
-    # a taken number k of rank r pushes every repeat from the (k - r)-th on by one
-    pushes = ranked.groupBy("dir", "stem", (F.col("__k") - F.col("__rank")).alias("__at")).agg(
-        F.count(F.lit(1)).alias("__push")
-    )
-    repeats = numbered.filter(F.col("__no") > 1)
-    line = repeats.select(
-        "dir", "stem", "seq", ((F.col("__no") - 1) * 2 + 1).alias("__line"), F.lit(0).cast("bigint").alias("__push")
-    ).unionByName(
-        pushes.select(
-            "dir", "stem", F.lit(None).cast(inputs.schema["seq"].dataType).alias("seq"),
-            (F.col("__at") * 2).alias("__line"), "__push",
+    taken = (
+        names.filter(F.col("stem").rlike(shape))
+        .select(
+            "dir",
+            F.regexp_extract("stem", shape, 1).alias("stem"),
+            F.regexp_extract("stem", shape, 2).cast("bigint").alias("__k"),
         )
+        .filter(F.col("__k") >= 2)
+        .distinct()
     )
-    pushed = prefix_sums(line, ["dir", "stem"], "__line", {"__shift": F.col("__push")}, bits)
-    shifts = pushed.filter(F.col("seq").isNotNull()).select("dir", "stem", "seq", "__shift")
-
-    named = numbered.join(shifts, ["dir", "stem", "seq"], "left")
+    # the r-th taken number k pushes every repeat from the (k - r)-th on to r places later
+    ranked = row_numbers(taken, keys, "__k", "__r", bits).select(
+        *keys, "__r", (F.col("__k") - F.col("__r")).alias("__lo")
+    )
+    after = ranked.select(*keys, (F.col("__r") - 1).alias("__r"), F.col("__lo").alias("__next"))
+    pushes = (
+        ranked.join(tops, keys)
+        .join(after, [*keys, "__r"], "left")
+        .withColumn("__hi", F.coalesce(F.col("__next") - 1, F.col("__top")))
+        .withColumn("__hi", F.least("__hi", "__top"))
+        .select(*keys, "__lo", "__hi", F.col("__r").alias("__shift"))
+    )
+    repeats = numbered.withColumn("__repeat", F.col("__no") - 1)
+    named = range_join(repeats, pushes, keys, "__repeat", "__lo", "__hi", "left")
     number = F.col("__no") + F.coalesce(F.col("__shift"), F.lit(0))
     name = F.when(F.col("__no") == 1, F.col("stem")).otherwise(
         F.concat(F.col("stem"), F.lit(" ("), number.cast("string"), F.lit(")"))
