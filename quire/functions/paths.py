@@ -33,14 +33,14 @@ def classify_file(path: Column | str) -> Column:
 
 
 def basename(path: Column | str) -> Column:
-    """Part after the last / or \; a path ending in one is returned whole."""
+    """Part after the last slash or backslash; a path ending in one is returned whole."""
     p = col(path)
     last = F.regexp_extract(p, r"([^\\/]*)$", 1)
     return F.when(last == "", p).otherwise(last)
 
 
 def dirname(path: Column | str) -> Column:
-    """Part before the last / or \\, "" without one."""
+    """Part before the last slash or backslash, "" without one."""
     return F.regexp_extract(col(path), r"(?s)^(.*)[\\/]", 1)
 
 

@@ -33,7 +33,11 @@ def catalogue(files: DataFrame, page_counts: DataFrame | None = None) -> DataFra
 def scan_files(
     spark: SparkSession, path: str, page_counts: DataFrame | None = None, pattern: str = "*"
 ) -> DataFrame:
-    """Catalogue of a folder tree. File contents are never read."""
+    """Catalogue of a folder tree. File contents are never read.
+
+    Spark's file sources leave out empty and hidden files. Where those matter,
+    hand a listing of (path, length) to ``catalogue`` instead.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
