@@ -59,25 +59,11 @@ def normalize_box(b: Column | str) -> Column:
 
 def visible_box(media: Column | str, crop: Column | str) -> Column:
     """Crop within media, or media when less than 1 pt would be left."""
-
-    def meet(m: Column, c: Column) -> Column:
-        inner = box(
-            F.greatest(c["x0"], m["x0"]),
-            F.greatest(c["y0"], m["y0"]),
-            F.least(c["x1"], m["x1"]),
-            F.least(c["y1"], m["y1"]),
-        )
-        return let(
-            inner,
-            lambda i: F.when(
-                c.isNotNull() & (i["x1"] - i["x0"] > 1) & (i["y1"] - i["y0"] > 1), i
-            ).otherwise(m),
-        )
-
-    return let(
-        F.struct(normalize_box(media).alias("m"), normalize_box(crop).alias("c")),
-        lambda both: meet(both["m"], both["c"]),
-    )
+    m, c = normalize_box(media), normalize_box(crop)
+    x0, y0 = F.greatest(c["x0"], m["x0"]), F.greatest(c["y0"], m["y0"])
+    x1, y1 = F.least(c["x1"], m["x1"]), F.least(c["y1"], m["y1"])
+    meet = col(crop).isNotNull() & (x1 - x0 > 1) & (y1 - y0 > 1)
+    return F.when(meet, box(x0, y0, x1, y1)).otherwise(m)
 
 
 def align_box(media: Column | str, crop: Column | str, trim: Column | str) -> Column:
@@ -92,14 +78,12 @@ def turn(rotate: Column | str) -> Column:
 def displayed_size(b: Column | str, rotate: Column | str) -> Column:
     """struct(w, h) of a box as shown; the sides swap at 90 and 270."""
 
-    def build(v: Column) -> Column:
-        w, h = v["x1"] - v["x0"], v["y1"] - v["y0"]
-        sideways = F.pmod(turn(rotate), F.lit(180)) == 90
-        return F.struct(
-            F.when(sideways, h).otherwise(w).alias("w"), F.when(sideways, w).otherwise(h).alias("h")
-        )
-
-    return let(col(b), build)
+    v = col(b)
+    w, h = v["x1"] - v["x0"], v["y1"] - v["y0"]
+    sideways = F.pmod(turn(rotate), F.lit(180)) == 90
+    return F.struct(
+        F.when(sideways, h).otherwise(w).alias("w"), F.when(sideways, w).otherwise(h).alias("h")
+    )
 
 
 def point(x: Column, y: Column) -> Column:
@@ -132,50 +116,42 @@ def page_to_viewport(
     x: Column, y: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
     """Absolute page point to pixels; the y axis flips. Empty sizes give 0,0."""
-    size = displayed_size(page, rotate)
-    shown = page_to_display(
+    s = displayed_size(page, rotate)
+    p = page_to_display(
         x - page["x0"],
         y - page["y0"],
         page["x1"] - page["x0"],
         page["y1"] - page["y0"],
         rotate,
     )
-
-    def build(v: Column) -> Column:
-        s, p = v["s"], v["p"]
-        usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
-        return F.when(
-            usable, point(p["x"] / s["w"] * css_w, (s["h"] - p["y"]) / s["h"] * css_h)
-        ).otherwise(point(F.lit(0), F.lit(0)))
-
-    return let(F.struct(size.alias("s"), shown.alias("p")), build)
+    usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
+    return F.when(
+        usable, point(p["x"] / s["w"] * css_w, (s["h"] - p["y"]) / s["h"] * css_h)
+    ).otherwise(point(F.lit(0), F.lit(0)))
 
 
 def viewport_to_page(
     px: Column, py: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
     """Pixels to an absolute page point. Empty sizes give the box origin."""
-
-    def build(s: Column) -> Column:
-        usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
-        dx = F.try_divide(px, css_w) * s["w"]
-        dy = s["h"] - F.try_divide(py, css_h) * s["h"]
-        rel = display_to_page(
-            dx, dy, page["x1"] - page["x0"], page["y1"] - page["y0"], rotate
-        )
-        return F.when(
-            usable, let(rel, lambda p: point(page["x0"] + p["x"], page["y0"] + p["y"]))
-        ).otherwise(point(page["x0"], page["y0"]))
-
-    return let(displayed_size(page, rotate), build)
+    s = displayed_size(page, rotate)
+    usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
+    dx = F.try_divide(px, css_w) * s["w"]
+    dy = s["h"] - F.try_divide(py, css_h) * s["h"]
+    p = display_to_page(dx, dy, page["x1"] - page["x0"], page["y1"] - page["y0"], rotate)
+    return F.when(usable, point(page["x0"] + p["x"], page["y0"] + p["y"])).otherwise(
+        point(page["x0"], page["y0"])
+    )
 
 
-def corners(r: Column) -> Column:
-    return F.array(
-        point(r["x"], r["y"]),
-        point(r["x"] + r["w"], r["y"]),
-        point(r["x"] + r["w"], r["y"] + r["h"]),
-        point(r["x"], r["y"] + r["h"]),
+def spanned_rect(p: Column, q: Column, min_side: float = 0.0) -> Column:
+    """Rect between two opposite corners, sides at least ``min_side``."""
+    side = F.lit(float(min_side))
+    return rect(
+        F.least(p["x"], q["x"]),
+        F.least(p["y"], q["y"]),
+        F.greatest(F.abs(p["x"] - q["x"]), side),
+        F.greatest(F.abs(p["y"] - q["y"]), side),
     )
 
 
@@ -197,32 +173,34 @@ def enclosing_rect(points: Column, min_side: float = 0.0) -> Column:
 
 
 def bbox_to_overlay(r: Column, page: Column, rotate: Column) -> Column:
-    """Rect in page space to displayed space, at least half a point a side."""
+    """Rect in page space to displayed space, at least half a point a side.
+
+    Quarter turns keep sides upright, so two opposite corners span the result.
+    """
     w, h = page["x1"] - page["x0"], page["y1"] - page["y0"]
-    mapped = F.transform(
-        corners(r),
-        lambda p: page_to_display(p["x"] - page["x0"], p["y"] - page["y0"], w, h, rotate),
+    x, y = r["x"] - page["x0"], r["y"] - page["y0"]
+    return spanned_rect(
+        page_to_display(x, y, w, h, rotate),
+        page_to_display(x + r["w"], y + r["h"], w, h, rotate),
+        0.5,
     )
-    return enclosing_rect(mapped, 0.5)
 
 
 def bbox_to_viewport(
     r: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
-    return enclosing_rect(
-        F.transform(
-            corners(r), lambda p: page_to_viewport(p["x"], p["y"], page, rotate, css_w, css_h)
-        )
+    return spanned_rect(
+        page_to_viewport(r["x"], r["y"], page, rotate, css_w, css_h),
+        page_to_viewport(r["x"] + r["w"], r["y"] + r["h"], page, rotate, css_w, css_h),
     )
 
 
 def viewport_to_bbox(
     r: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
-    return enclosing_rect(
-        F.transform(
-            corners(r), lambda p: viewport_to_page(p["x"], p["y"], page, rotate, css_w, css_h)
-        )
+    return spanned_rect(
+        viewport_to_page(r["x"], r["y"], page, rotate, css_w, css_h),
+        viewport_to_page(r["x"] + r["w"], r["y"] + r["h"], page, rotate, css_w, css_h),
     )
 
 
@@ -270,13 +248,8 @@ def paper_class(w_pt: Column | str, h_pt: Column | str) -> Column:
 def fit_box(b: Column, iw: Column | str, ih: Column | str) -> Column:
     """Image of iw x ih centred in a rect at the largest size that fits."""
     w, h = F.greatest(col(iw), F.lit(1.0)), F.greatest(col(ih), F.lit(1.0))
-
-    def build(s: Column) -> Column:
-        return rect(
-            b["x"] + (b["w"] - w * s) / 2, b["y"] + (b["h"] - h * s) / 2, w * s, h * s
-        )
-
-    return let(F.least(b["w"] / w, b["h"] / h), build)
+    s = F.least(b["w"] / w, b["h"] / h)
+    return rect(b["x"] + (b["w"] - w * s) / 2, b["y"] + (b["h"] - h * s) / 2, w * s, h * s)
 
 
 def scan_size(pixels: Column | str, dpi: Column | str) -> Column:

@@ -7,11 +7,13 @@ grow with the document; the expanding parsers refuse more than ``max_pages``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import col, let
-from quire.functions.text import EDGE_SPACE, INNER_SPACE
+from quire.functions.text import INNER_SPACE, WHITE
 
 MAX_PAGES = 1_000_000
 HUGE = 10**18
@@ -24,19 +26,37 @@ NO_SEGMENTS = "array<struct<lo:bigint,hi:bigint>>"
 
 def _digits(token: Column) -> Column:
     """Value of an all-digit token, held at 10**18; null for anything else."""
-    bare = F.regexp_replace(token, "^0+(?=.)", "")
-    value = F.when(F.length(bare) > 18, F.lit(HUGE)).otherwise(bare.try_cast("bigint"))
-    return F.when(token.rlike("^[0-9]+$"), value)
+    short = token.try_cast("bigint")
+    bare = F.ltrim(token, F.lit("0"))
+    long = F.when(F.length(bare) > 18, F.lit(HUGE)).otherwise(
+        F.coalesce(bare.try_cast("bigint"), F.lit(0))
+    )
+    return F.when(
+        token.rlike("^[0-9]+$"), F.when(F.length(token) <= 18, short).otherwise(long)
+    )
 
 
 def _u32(token: Column) -> Column:
     """Value of an unsigned 32-bit number with an optional plus sign, else null."""
-    value = _digits(F.regexp_replace(token, r"^\+(?=[0-9])", ""))
-    return F.when(value <= U32_MAX, value)
+    bare = F.when(token.rlike(r"^\+[0-9]"), F.substring(token, 2, 64)).otherwise(token)
+    return let(_digits(bare), lambda v: F.when(v <= U32_MAX, v))
 
 
 def _trim(token: Column) -> Column:
-    return F.regexp_replace(token, EDGE_SPACE, "")
+    return F.trim(token, F.lit(WHITE))
+
+
+def _ends(token: Column, number: Callable[[Column], Column]) -> Column:
+    """struct(lo, hi) of "a-b" or "a"; what follows the first dash is the end."""
+
+    def cut(dash: Column) -> Column:
+        head = F.when(dash > 0, F.substring(token, F.lit(1), dash - 1)).otherwise(token)
+        lo = number(head)
+        hi = number(F.substring(token, dash + 1, F.length(token)))
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    single = let(number(token), lambda v: F.struct(v.alias("lo"), v.alias("hi")))
+    return F.when(F.contains(token, F.lit("-")), let(F.instr(token, "-"), cut)).otherwise(single)
 
 
 def _segment(lo: Column, hi: Column, error: Column) -> Column:
@@ -91,18 +111,21 @@ def _expand(parsed: Column, max_pages: int, ordered: bool) -> Column:
             lambda acc, s: F.least(acc + F.abs(s["hi"] - s["lo"]) + 1, F.lit(HUGE)),
         )
 
-    def build(p: Column) -> Column:
+    def judged(p: Column) -> Column:
         too_many = F.coalesce(size(p["segments"]) > max_pages, F.lit(False))
         error = F.when(p["error"].isNotNull(), p["error"]).when(too_many, "TOO_MANY_PAGES")
-        usable = F.when(error.isNull(), p["segments"]).otherwise(F.array().cast(NO_SEGMENTS))
+        return F.struct(p["segments"].alias("segments"), error.alias("error"))
+
+    def build(p: Column) -> Column:
+        usable = F.when(p["error"].isNull(), p["segments"]).otherwise(F.array().cast(NO_SEGMENTS))
         pages = F.flatten(
             F.transform(usable, lambda s: F.sequence(s["lo"].cast("int"), s["hi"].cast("int")))
         )
         if not ordered:
-            pages = F.array_sort(F.array_distinct(pages))
-        return F.struct(F.when(error.isNull(), pages).alias("pages"), error.alias("error"))
+            pages = F.sort_array(F.array_distinct(pages))
+        return F.struct(F.when(p["error"].isNull(), pages).alias("pages"), p["error"].alias("error"))
 
-    return let(parsed, build)
+    return let(let(parsed, judged), build)
 
 
 # --- strict grammar -------------------------------------------------------
@@ -120,19 +143,19 @@ def parse_range_segments(
     text = F.lower(F.regexp_replace(col(spec), INNER_SPACE, ""))
 
     def token(t: Column) -> Column:
-        parts = F.split(t, "-")
-        is_range = F.contains(t, F.lit("-"))
-        two = (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != "")
-        lo = _digits(F.get(parts, F.lit(0)))
-        hi = F.when(is_range, _digits(F.get(parts, F.lit(1)))).otherwise(lo)
-        whole = F.coalesce((lo >= 1) & (hi >= 1), F.lit(False))
+        # a dash at either end, or two of them, is no range
+        broken = t.rlike("^-|-$|-.*-")
+        return let(_ends(t, _digits), lambda e: judged(t, broken, e))
+
+    def judged(t: Column, broken: Column, e: Column) -> Column:
+        whole = F.coalesce((e["lo"] >= 1) & (e["hi"] >= 1), F.lit(False))
         error = (
             F.when(t == "", "EMPTY_TOKEN")
-            .when(is_range & ~two, "BAD_RANGE")
+            .when(broken, "BAD_RANGE")
             .when(~whole, "BAD_NUMBER")
-            .when(F.greatest(lo, hi) > bound, "OUT_OF_RANGE")
+            .when(F.greatest(e["lo"], e["hi"]) > bound, "OUT_OF_RANGE")
         )
-        return _segment(lo, hi, error)
+        return _segment(e["lo"], e["hi"], error)
 
     def build(s: Column) -> Column:
         if allow_all:
@@ -166,14 +189,13 @@ def lenient_segments(spec: Column | str) -> Column:
     """The lenient grammar without expansion; lo <= hi in every segment."""
 
     def token(t: Column) -> Column:
-        dash = F.instr(t, "-")
-        a = F.when(dash > 0, F.substring(t, F.lit(1), dash - 1)).otherwise(t)
-        b = F.when(dash > 0, F.substring(t, dash + 1, F.length(t))).otherwise(t)
-        lo, hi = _u32(_trim(a)), _u32(_trim(b))
-        broken = lo.isNull() | hi.isNull()
+        return let(_ends(t, lambda part: _u32(_trim(part))), ordered)
+
+    def ordered(e: Column) -> Column:
+        broken = e["lo"].isNull() | e["hi"].isNull()
         return _segment(
-            F.when(~broken, F.least(lo, hi)),
-            F.when(~broken, F.greatest(lo, hi)),
+            F.when(~broken, F.least(e["lo"], e["hi"])),
+            F.when(~broken, F.greatest(e["lo"], e["hi"])),
             F.when(broken, F.lit("INVALID_PAGES")),
         )
 
@@ -199,15 +221,14 @@ def spec_segments(spec: Column | str, n: Column | str) -> Column:
     total = col(n).cast("bigint")
 
     def number(t: Column) -> Column:
-        bare = _trim(t)
-        return F.when(F.lower(bare) == "z", total).otherwise(_u32(bare))
+        return let(_trim(t), lambda v: F.when(F.lower(v) == "z", total).otherwise(_u32(v)))
+
+    def checked(e: Column) -> Column:
+        bad = e["lo"].isNull() | e["hi"].isNull()
+        return _segment(e["lo"], e["hi"], F.when(bad, F.lit("INVALID_PAGES")))
 
     def token(t: Column) -> Column:
-        dash = F.instr(t, "-")
-        a = F.when(dash > 0, F.substring(t, F.lit(1), dash - 1)).otherwise(t)
-        b = F.when(dash > 0, F.substring(t, dash + 1, F.length(t))).otherwise(t)
-        lo, hi = number(a), number(b)
-        return _segment(lo, hi, F.when(lo.isNull() | hi.isNull(), F.lit("INVALID_PAGES")))
+        return let(_ends(t, number), checked)
 
     def in_bounds(parsed: Column) -> Column:
         outside = F.exists(
@@ -245,10 +266,7 @@ def is_full_range(spec: Column | str, n: Column | str) -> Column:
     """Whether the spec lists 1..n once in natural order; ``1-z`` always does."""
 
     def token(t: Column) -> Column:
-        dash = F.instr(t, "-")
-        a = F.when(dash > 0, F.substring(t, F.lit(1), dash - 1)).otherwise(t)
-        b = F.when(dash > 0, F.substring(t, dash + 1, F.length(t))).otherwise(t)
-        return F.struct(_u32(_trim(a)).alias("lo"), _u32(_trim(b)).alias("hi"))
+        return _ends(t, lambda part: _u32(_trim(part)))
 
     def build(s: Column) -> Column:
         after = F.aggregate(
@@ -269,16 +287,17 @@ def parse_split_ranges(text: Column | str, total: Column | str) -> Column:
     count = col(total).cast("bigint")
 
     def token(t: Column) -> Column:
-        shape = r"^([0-9]+)(?:\s*-\s*([0-9]+))?$"
-        start = _digits(F.regexp_extract(t, shape, 1))
-        tail = F.regexp_extract(t, shape, 2)
-        end = F.when(tail == "", start).otherwise(_digits(tail))
+        shaped = t.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$")
+        ends = F.when(shaped, _ends(t, lambda part: _digits(_trim(part))))
+        return let(ends, judged)
+
+    def judged(e: Column) -> Column:
         error = (
-            F.when(start.isNull(), "BAD_TOKEN")
-            .when((start < 1) | (end < 1) | (start > end), "BAD_RANGE")
-            .when(end > count, "OUT_OF_RANGE")
+            F.when(e.isNull(), "BAD_TOKEN")
+            .when((e["lo"] < 1) | (e["hi"] < 1) | (e["lo"] > e["hi"]), "BAD_RANGE")
+            .when(e["hi"] > count, "OUT_OF_RANGE")
         )
-        return _segment(start, end, error)
+        return _segment(e["lo"], e["hi"], error)
 
     def build(parts: Column) -> Column:
         parsed = F.when(F.size(parts) == 0, _failed("EMPTY")).otherwise(

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quire.functions import col, let
 
 EDGE_SPACE = r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$"
+# Characters with the Unicode White_Space property.
+WHITE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 INNER_SPACE = r"[\s\u00A0\uFEFF\p{Z}]+"
 INK = r"[^\s\u0085\p{Z}]"
 
@@ -75,8 +80,11 @@ def is_blank(text: Column | str) -> Column:
 
 def fold_text(text: Column | str) -> Column:
     """Letters the label font lacks become ASCII; what has no match becomes "?"."""
-    folded = F.translate(col(text), FOLD_FROM, FOLD_TO)
-    folded = F.replace(F.replace(folded, F.lit("Ĳ"), F.lit("IJ")), F.lit("ĳ"), F.lit("ij"))
+    plain = col(text)
+    letters = F.translate(plain, FOLD_FROM, FOLD_TO)
+    letters = F.replace(F.replace(letters, F.lit("Ĳ"), F.lit("IJ")), F.lit("ĳ"), F.lit("ij"))
+    # most texts have none of these letters, and looking is cheaper than translating
+    folded = F.when(plain.rlike("[\u0100-\u017F]"), letters).otherwise(plain)
     return F.regexp_replace(folded, rf"[^\x20-\x7E\u00A0-\u00FF{SHOWN}]", "?")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import let
 from quire.functions import geometry as geo
+from quire.functions import let
 from quire.functions.ranges import lenient_segments
 from quire.plans.blocks import (
     ORDER_BITS,
@@ -152,7 +152,7 @@ def group_runs(
     numbered = run_numbers(
         src, keys, "__ord", ["path"], lambda prev, cur: ~cur["path"].eqNullSafe(prev["path"]), "group_no", bits
     )
-    ordered = F.array_sort(F.collect_list(F.struct("__ord", "__page")))
+    ordered = F.sort_array(F.collect_list(F.struct("__ord", "__page")))
     return numbered.groupBy(*keys, "group_no", "path", block("__ord", part_bits).alias("part")).agg(
         F.transform(ordered, lambda p: p["__page"]).alias("pages")
     )
@@ -261,41 +261,30 @@ def place_matrix(page_box: Column, rotate: Column, slot: Column) -> Column:
     Null for a page with a side of 1 pt or less.
     """
 
-    def build(v: Column) -> Column:
-        b, s, size = v["b"], v["s"], v["size"]
-        slot_w, slot_h = s["x1"] - s["x0"], s["y1"] - s["y0"]
-        r = geo.turn(rotate)
-        fit = F.least(
-            F.greatest(slot_w - 2 * GUTTER, F.lit(1.0)) / size["w"],
-            F.greatest(slot_h - 2 * GUTTER, F.lit(1.0)) / size["h"],
-        )
-
-        def by_turn(zero: Column, quarter: Column, half: Column, three: Column) -> Column:
-            return F.when(r == 90, quarter).when(r == 180, half).when(r == 270, three).otherwise(zero)
-
-        one, no = F.lit(1.0), F.lit(0.0)
-        e = by_turn(-b["x0"], -b["y0"], b["x1"], b["y1"])
-        f = by_turn(-b["y0"], b["x1"], b["y1"], -b["x0"])
-
-        def scaled(k: Column) -> Column:
-            return F.array(
-                k * by_turn(one, no, -one, no),
-                k * by_turn(no, -one, no, one),
-                k * by_turn(no, one, no, -one),
-                k * by_turn(one, no, -one, no),
-                k * e + s["x0"] + (slot_w - k * size["w"]) / 2,
-                k * f + s["y0"] + (slot_h - k * size["h"]) / 2,
-            )
+    b, s = page_box, slot
+    size = geo.displayed_size(b, rotate)
+    slot_w, slot_h = s["x1"] - s["x0"], s["y1"] - s["y0"]
+    r = geo.turn(rotate)
+    k = F.least(
+        F.greatest(slot_w - 2 * GUTTER, F.lit(1.0)) / size["w"],
+        F.greatest(slot_h - 2 * GUTTER, F.lit(1.0)) / size["h"],
+    )
 
-        usable = (b["x1"] - b["x0"] > 1) & (b["y1"] - b["y0"] > 1)
-        return F.when(usable, let(fit, scaled))
+    def by_turn(zero: Column, quarter: Column, half: Column, three: Column) -> Column:
+        return F.when(r == 90, quarter).when(r == 180, half).when(r == 270, three).otherwise(zero)
 
-    return let(
-        F.struct(
-            page_box.alias("b"), slot.alias("s"), geo.displayed_size(page_box, rotate).alias("size")
-        ),
-        build,
+    one, no = F.lit(1.0), F.lit(0.0)
+    e = by_turn(-b["x0"], -b["y0"], b["x1"], b["y1"])
+    f = by_turn(-b["y0"], b["x1"], b["y1"], -b["x0"])
+    matrix = F.array(
+        k * by_turn(one, no, -one, no),
+        k * by_turn(no, -one, no, one),
+        k * by_turn(no, one, no, -one),
+        k * by_turn(one, no, -one, no),
+        k * e + s["x0"] + (slot_w - k * size["w"]) / 2,
+        k * f + s["y0"] + (slot_h - k * size["h"]) / 2,
     )
+    return F.when((b["x1"] - b["x0"] > 1) & (b["y1"] - b["y0"] > 1), matrix)
 
 
 def slot_box(mode: str, slot: Column, sheet_w: float, sheet_h: float) -> Column:
@@ -348,11 +337,54 @@ def sheet_plan(
     )
     shapes = boxes.select("doc_id", "page", "box", "rotate")
     placed = plan.join(shapes, ["doc_id", "page"], "left")
-    slot = slot_box(mode, F.col("slot"), sheet_w, sheet_h)
-    matrix = F.when(F.col("box").isNotNull(), place_matrix(F.col("box"), F.col("rotate"), slot))
+    placed = placed.withColumn("__slot", slot_box(mode, F.col("slot"), sheet_w, sheet_h))
+    matrix = place_matrix(F.col("box"), F.col("rotate"), F.col("__slot"))
     return placed.select("doc_id", "sheet", "slot", "page", matrix.alias("matrix")), errors
 
 
+def _tile_layout(short: float, long: float, orientation: str, overlap: float) -> Column:
+    """struct(w, h, gap, cols, rows, error) of the tiles of a page (box, rotate)."""
+
+    def sheets(size: Column, w: float, h: float) -> Column:
+        across = geo.tile_count(size["w"], F.lit(w), F.lit(overlap))
+        return across * geo.tile_count(size["h"], F.lit(h), F.lit(overlap))
+
+    if orientation == "portrait":
+        upright = F.lit(True)
+    elif orientation == "landscape":
+        upright = F.lit(False)
+    else:
+        upright = let(
+            geo.displayed_size("box", "rotate"),
+            lambda s: ~(sheets(s, long, short) < sheets(s, short, long)),
+        )
+    # tiles are cut in page space, so a sideways page swaps the sides once more
+    sideways = F.pmod(geo.turn("rotate"), F.lit(180)) == 90
+
+    def sides(up: Column) -> Column:
+        return F.struct(
+            F.when(up, short).otherwise(long).alias("w"), F.when(up, long).otherwise(short).alias("h")
+        )
+
+    gap = max(min(max(overlap, 0.0), short - 12.0), 0.0)
+
+    def counted(t: Column) -> Column:
+        return F.struct(
+            t["w"].alias("w"),
+            t["h"].alias("h"),
+            geo.tile_count(F.col("box.x1") - F.col("box.x0"), t["w"], F.lit(gap)).alias("cols"),
+            geo.tile_count(F.col("box.y1") - F.col("box.y0"), t["h"], F.lit(gap)).alias("rows"),
+        )
+
+    def judged(c: Column) -> Column:
+        error = F.when(F.lit(short < MIN_TILE), "TILE_TOO_SMALL").when(
+            c["cols"] * c["rows"] > MAX_TILES, "TOO_MANY_TILES"
+        )
+        return F.struct(*[c[n].alias(n) for n in ("w", "h", "cols", "rows")], F.lit(gap).alias("gap"), error.alias("error"))
+
+    return let(let(let(upright != sideways, sides), counted), judged)
+
+
 def tile_plan(
     page_boxes: DataFrame,
     paper: str = "a4",
@@ -366,51 +398,18 @@ def tile_plan(
     fewer sheets, portrait on a tie.
     """
     short_mm, long_mm = geo.PAPERS.get(paper, geo.PAPERS["a4"])
-    short, long = short_mm * geo.PT_PER_MM, long_mm * geo.PT_PER_MM
-    size = geo.displayed_size("box", "rotate")
-    df = page_boxes.withColumn("__size", size)
-
-    def sheets(w: float, h: float) -> Column:
-        gap = F.lit(float(overlap))
-        across = F.greatest(F.lit(1), geo.tile_count(F.col("__size.w"), F.lit(w), gap))
-        return across * F.greatest(F.lit(1), geo.tile_count(F.col("__size.h"), F.lit(h), gap))
-
-    if orientation == "portrait":
-        upright = F.lit(True)
-    elif orientation == "landscape":
-        upright = F.lit(False)
-    else:
-        upright = ~(sheets(long, short) < sheets(short, long))
-    # tiles are cut in page space, so a sideways page swaps the sides once more
-    sideways = F.pmod(geo.turn("rotate"), F.lit(180)) == 90
-    df = df.withColumn("__up", upright != sideways)
-    df = df.select(
-        *keys,
-        "box",
-        F.when(F.col("__up"), short).otherwise(long).alias("__tw"),
-        F.when(F.col("__up"), long).otherwise(short).alias("__th"),
-    )
-    slack = F.least(F.col("__tw"), F.col("__th")) - 12.0
-    df = df.withColumn(
-        "__gap", F.greatest(F.least(F.lit(max(float(overlap), 0.0)), slack), F.lit(0.0))
-    )
-    df = df.withColumns(
-        {
-            "__cols": geo.tile_count(F.col("box.x1") - F.col("box.x0"), F.col("__tw"), F.col("__gap")),
-            "__rows": geo.tile_count(F.col("box.y1") - F.col("box.y0"), F.col("__th"), F.col("__gap")),
-        }
-    )
-    error = F.when(F.least("__tw", "__th") < MIN_TILE, "TILE_TOO_SMALL").when(
-        F.col("__cols") * F.col("__rows") > MAX_TILES, "TOO_MANY_TILES"
-    )
-    df = df.withColumn("error", error)
-    errors = df.filter(F.col("error").isNotNull()).select(*keys, "error")
-
-    tiles = df.filter(F.col("error").isNull())
-    tiles = tiles.withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__rows") - 1)))
-    tiles = tiles.withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__cols") - 1)))
-    step_x = F.greatest(F.col("__tw") - F.col("__gap"), F.lit(1.0))
-    step_y = F.greatest(F.col("__th") - F.col("__gap"), F.lit(1.0))
+    layout = _tile_layout(
+        short_mm * geo.PT_PER_MM, long_mm * geo.PT_PER_MM, orientation, float(overlap)
+    )
+    df = page_boxes.select(*keys, "box", layout.alias("__g"))
+    errors = df.filter(F.col("__g.error").isNotNull()).select(*keys, F.col("__g.error").alias("error"))
+
+    g = F.col("__g")
+    tiles = df.filter(g["error"].isNull())
+    tiles = tiles.withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), g["rows"] - 1)))
+    tiles = tiles.withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), g["cols"] - 1)))
+    step_x = F.greatest(g["w"] - g["gap"], F.lit(1.0))
+    step_y = F.greatest(g["h"] - g["gap"], F.lit(1.0))
     tiles = tiles.withColumns(
         {
             "__top": F.least(F.col("box.y1") - F.col("row") * step_y, F.col("box.y1")),
@@ -419,8 +418,8 @@ def tile_plan(
     )
     cut = geo.box(
         F.col("__left"),
-        F.greatest(F.col("__top") - F.col("__th"), F.col("box.y0")),
-        F.least(F.col("__left") + F.col("__tw"), F.col("box.x1")),
+        F.greatest(F.col("__top") - g["h"], F.col("box.y0")),
+        F.least(F.col("__left") + g["w"], F.col("box.x1")),
         F.col("__top"),
     )
     tiles = tiles.select(*keys, "row", "col", cut.alias("box"))

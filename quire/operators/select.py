@@ -50,7 +50,7 @@ def format_ranges(
         F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string"))
     )
     runs = runs.select(*keys, block(F.col("run") - 1, part_bits).alias("part"), "run", text.alias("__text"))
-    ordered = F.array_sort(F.collect_list(F.struct("run", "__text")))
+    ordered = F.sort_array(F.collect_list(F.struct("run", "__text")))
     return runs.groupBy(*keys, "part").agg(
         F.array_join(F.transform(ordered, lambda r: r["__text"]), ",").alias("spec")
     )

@@ -108,7 +108,7 @@ def export_text(
         & (F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
     )
     part = block(F.col("page") - F.col("__first"), part_bits)
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     text = (
         chosen.groupBy(key, part.alias("part"))
         .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\f").alias("text"))

@@ -180,7 +180,7 @@ def _meta_edit(spark, sf_dir):
         none.alias("producer"),
     )
     edited = meta_edit(docs.select("doc_id", "info"), edits)
-    entries = F.array_sort(F.transform(F.map_entries("info"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    entries = F.sort_array(F.transform(F.map_entries("info"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return edited.select("doc_id", F.array_join(entries, ";").alias("info"))
 
 
