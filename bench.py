@@ -32,6 +32,14 @@ HEADLINE = [
 ]
 
 
+def shuffle_bytes(spark) -> dict[int, int]:
+    """Bytes written to shuffles so far, per stage."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,12 +49,18 @@ def main() -> None:
     names = list(registry.QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
     spark = local_session(cpus, "bench", memory=os.environ.get("BENCH_MEMORY", "16g"))
     times: dict[str, float] = {}
+    shuffled: dict[str, float] = {}
     for name in names:
         measured = []
-        for _ in range(runs + 1):
+        before = set()
+        for turn in range(runs + 1):
+            if turn == runs:
+                before = set(shuffle_bytes(spark))
             start = time.perf_counter()
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             measured.append(time.perf_counter() - start)
+        written = sum(v for k, v in shuffle_bytes(spark).items() if k not in before)
+        shuffled[name] = round(written / 2**20, 2)
         times[name] = round(statistics.median(measured[1:] or measured), 3)
     print(
         json.dumps(
@@ -55,6 +69,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "shuffle_mib": shuffled,
                 "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
                 "cpus": int(cpus),
                 "runs": runs,

@@ -85,7 +85,8 @@ def fold_text(text: Column | str) -> Column:
     letters = F.replace(F.replace(letters, F.lit("Ĳ"), F.lit("IJ")), F.lit("ĳ"), F.lit("ij"))
     # most texts have none of these letters, and looking is cheaper than translating
     folded = F.when(plain.rlike("[\u0100-\u017F]"), letters).otherwise(plain)
-    return F.regexp_replace(folded, rf"[^\x20-\x7E\u00A0-\u00FF{SHOWN}]", "?")
+    # the wide class rejects nearly every character before the long one is asked
+    return F.regexp_replace(folded, rf"[^\x20-\x7E\u00A0-\u00FF](?<![{SHOWN}])", "?")
 
 
 def decode_meta(raw: Column | str) -> Column:

@@ -265,10 +265,12 @@ def place_matrix(page_box: Column, rotate: Column, slot: Column) -> Column:
     size = geo.displayed_size(b, rotate)
     slot_w, slot_h = s["x1"] - s["x0"], s["y1"] - s["y0"]
     r = geo.turn(rotate)
-    k = F.least(
-        F.greatest(slot_w - 2 * GUTTER, F.lit(1.0)) / size["w"],
-        F.greatest(slot_h - 2 * GUTTER, F.lit(1.0)) / size["h"],
-    )
+
+    def fit(v: Column) -> Column:
+        return F.least(
+            F.greatest(slot_w - 2 * GUTTER, F.lit(1.0)) / v["w"],
+            F.greatest(slot_h - 2 * GUTTER, F.lit(1.0)) / v["h"],
+        )
 
     def by_turn(zero: Column, quarter: Column, half: Column, three: Column) -> Column:
         return F.when(r == 90, quarter).when(r == 180, half).when(r == 270, three).otherwise(zero)
@@ -276,15 +278,20 @@ def place_matrix(page_box: Column, rotate: Column, slot: Column) -> Column:
     one, no = F.lit(1.0), F.lit(0.0)
     e = by_turn(-b["x0"], -b["y0"], b["x1"], b["y1"])
     f = by_turn(-b["y0"], b["x1"], b["y1"], -b["x0"])
-    matrix = F.array(
-        k * by_turn(one, no, -one, no),
-        k * by_turn(no, -one, no, one),
-        k * by_turn(no, one, no, -one),
-        k * by_turn(one, no, -one, no),
-        k * e + s["x0"] + (slot_w - k * size["w"]) / 2,
-        k * f + s["y0"] + (slot_h - k * size["h"]) / 2,
-    )
-    return F.when((b["x1"] - b["x0"] > 1) & (b["y1"] - b["y0"] > 1), matrix)
+
+    def scaled(m: Column) -> Column:
+        return F.array(
+            m["k"] * by_turn(one, no, -one, no),
+            m["k"] * by_turn(no, -one, no, one),
+            m["k"] * by_turn(no, one, no, -one),
+            m["k"] * by_turn(one, no, -one, no),
+            m["k"] * e + s["x0"] + (slot_w - m["k"] * m["size"]["w"]) / 2,
+            m["k"] * f + s["y0"] + (slot_h - m["k"] * m["size"]["h"]) / 2,
+        )
+
+    usable = (b["x1"] - b["x0"] > 1) & (b["y1"] - b["y0"] > 1)
+    fitted = let(size, lambda v: F.struct(fit(v).alias("k"), v.alias("size")))
+    return F.when(usable, let(fitted, scaled))
 
 
 def slot_box(mode: str, slot: Column, sheet_w: float, sheet_h: float) -> Column:

@@ -5,7 +5,8 @@ may hold a third of all pages, so nothing here does that. The ordering column
 is an integer (page, position, sequence number), unique within its key, and its
 high bits name a *block*: at most ``2**bits`` rows of one key. Row-level windows
 run per (key, block); one summary row per block carries the result of earlier
-blocks, and only those summaries are windowed per key.
+blocks, and only those summaries are windowed per key. Keys and order must not
+be null.
 
 The same block number turns "position lies in lo..hi" into an equi-join with a
 residual filter, which a plain between-join would plan as a nested loop.

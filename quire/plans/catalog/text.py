@@ -58,16 +58,16 @@ def _search_snippets_case(spark, sf_dir):
     "effective_text",
     f"""
     WITH {LINES}
-    SELECT doc_id, page, CASE WHEN page % 3 <> 0 THEN text WHEN page % 2 = 0 THEN concat('ocr ', text) ELSE '' END AS text
+    SELECT doc_id, page, CASE WHEN page % 3 <> 0 THEN text WHEN length(text) > 100 THEN concat('ocr ', text) ELSE '' END AS text
     FROM lines
     """,
 )
 def _effective_text(spark, sf_dir):
-    """Every third page lost its text; the recogniser read the even ones."""
+    """Every third page lost its text; the recogniser read the long ones."""
     pages = lines(spark, sf_dir)
     third = F.pmod(F.col("page"), F.lit(3)) == 0
     native = pages.withColumn("text", F.when(third, "").otherwise(F.col("text")))
-    ocr = pages.filter(F.pmod(F.col("page"), F.lit(2)) == 0).withColumn("text", F.concat(F.lit("ocr "), F.col("text")))
+    ocr = pages.filter(F.length("text") > 100).withColumn("text", F.concat(F.lit("ocr "), F.col("text")))
     return effective_text(native, ocr)
 
 
