@@ -59,11 +59,16 @@ def normalize_box(b: Column | str) -> Column:
 
 def visible_box(media: Column | str, crop: Column | str) -> Column:
     """Crop within media, or media when less than 1 pt would be left."""
-    m, c = normalize_box(media), normalize_box(crop)
-    x0, y0 = F.greatest(c["x0"], m["x0"]), F.greatest(c["y0"], m["y0"])
-    x1, y1 = F.least(c["x1"], m["x1"]), F.least(c["y1"], m["y1"])
-    meet = col(crop).isNotNull() & (x1 - x0 > 1) & (y1 - y0 > 1)
-    return F.when(meet, box(x0, y0, x1, y1)).otherwise(m)
+
+    def meet(v: Column) -> Column:
+        m, c = v["m"], v["c"]
+        x0, y0 = F.greatest(c["x0"], m["x0"]), F.greatest(c["y0"], m["y0"])
+        x1, y1 = F.least(c["x1"], m["x1"]), F.least(c["y1"], m["y1"])
+        overlap = c.isNotNull() & (x1 - x0 > 1) & (y1 - y0 > 1)
+        return F.when(overlap, box(x0, y0, x1, y1)).otherwise(m)
+
+    # bound once: filters on what follows would otherwise repeat both boxes many times
+    return let(F.struct(normalize_box(media).alias("m"), normalize_box(crop).alias("c")), meet)
 
 
 def align_box(media: Column | str, crop: Column | str, trim: Column | str) -> Column:
@@ -90,25 +95,22 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def _by_turn(rotate: Column, zero: Column, quarter: Column, half: Column, three: Column) -> Column:
+    r = turn(rotate)
+    return F.when(r == 90, quarter).when(r == 180, half).when(r == 270, three).otherwise(zero)
+
+
 def page_to_display(rx: Column, ry: Column, w: Column, h: Column, rotate: Column) -> Column:
     """Box-relative point to displayed space; pages turn clockwise."""
-    r = turn(rotate)
-    return (
-        F.when(r == 90, point(ry, w - rx))
-        .when(r == 180, point(w - rx, h - ry))
-        .when(r == 270, point(h - ry, rx))
-        .otherwise(point(rx, ry))
+    return point(
+        _by_turn(rotate, rx, ry, w - rx, h - ry), _by_turn(rotate, ry, w - rx, h - ry, rx)
     )
 
 
 def display_to_page(dx: Column, dy: Column, w: Column, h: Column, rotate: Column) -> Column:
     """Inverse of ``page_to_display``."""
-    r = turn(rotate)
-    return (
-        F.when(r == 90, point(w - dy, dx))
-        .when(r == 180, point(w - dx, h - dy))
-        .when(r == 270, point(dy, h - dx))
-        .otherwise(point(dx, dy))
+    return point(
+        _by_turn(rotate, dx, w - dy, w - dx, dy), _by_turn(rotate, dy, dx, h - dy, h - dx)
     )
 
 

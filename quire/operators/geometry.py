@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import col
+from quire.functions import col, let
 from quire.functions import geometry as geo
 from quire.session import cut_lineage
 
@@ -96,16 +96,17 @@ def crop(
             F.when(r == 90, quarter).when(r == 180, half).when(r == 270, three).otherwise(zero)
         )
 
-    v = F.col("__v")
-    w, h = v["x1"] - v["x0"], v["y1"] - v["y0"]
-    window = geo.box(
-        v["x0"] + w * edge(left, top, right, bottom) / 100.0,
-        v["y0"] + h * edge(bottom, left, top, right) / 100.0,
-        v["x1"] - w * edge(right, bottom, left, top) / 100.0,
-        v["y1"] - h * edge(top, right, bottom, left) / 100.0,
-    )
+    def window(v: Column) -> Column:
+        w, h = v["x1"] - v["x0"], v["y1"] - v["y0"]
+        return geo.box(
+            v["x0"] + w * edge(left, top, right, bottom) / 100.0,
+            v["y0"] + h * edge(bottom, left, top, right) / 100.0,
+            v["x1"] - w * edge(right, bottom, left, top) / 100.0,
+            v["y1"] - h * edge(top, right, bottom, left) / 100.0,
+        )
+
     rest = [c for c in pages.columns if c not in ("media", "crop", "trim", "bleed", "art")]
-    cut = pages.withColumn("__v", geo.visible_box("media", "crop")).withColumn("__w", window)
+    cut = pages.withColumn("__w", let(geo.visible_box("media", "crop"), window))
     too_much = (F.col("__w.x1") - F.col("__w.x0") < 1.0) | (F.col("__w.y1") - F.col("__w.y0") < 1.0)
     media = geo.normalize_box("media")
     inside = (
