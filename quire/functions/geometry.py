@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,32 +120,43 @@ def page_to_viewport(
     x: Column, y: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
     """Absolute page point to pixels; the y axis flips. Empty sizes give 0,0."""
-    s = displayed_size(page, rotate)
-    p = page_to_display(
+    shown = page_to_display(
         x - page["x0"],
         y - page["y0"],
         page["x1"] - page["x0"],
         page["y1"] - page["y0"],
         rotate,
     )
-    usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
-    return F.when(
-        usable, point(p["x"] / s["w"] * css_w, (s["h"] - p["y"]) / s["h"] * css_h)
-    ).otherwise(point(F.lit(0), F.lit(0)))
+
+    def scaled(v: Column) -> Column:
+        s, p = v["s"], v["p"]
+        usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
+        return F.when(
+            usable, point(p["x"] / s["w"] * css_w, (s["h"] - p["y"]) / s["h"] * css_h)
+        ).otherwise(point(F.lit(0), F.lit(0)))
+
+    return let(F.struct(displayed_size(page, rotate).alias("s"), shown.alias("p")), scaled)
 
 
 def viewport_to_page(
     px: Column, py: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
     """Pixels to an absolute page point. Empty sizes give the box origin."""
-    s = displayed_size(page, rotate)
-    usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
-    dx = F.try_divide(px, css_w) * s["w"]
-    dy = s["h"] - F.try_divide(py, css_h) * s["h"]
-    p = display_to_page(dx, dy, page["x1"] - page["x0"], page["y1"] - page["y0"], rotate)
-    return F.when(usable, point(page["x0"] + p["x"], page["y0"] + p["y"])).otherwise(
-        point(page["x0"], page["y0"])
+
+    def placed(v: Column) -> Column:
+        s, b = v["s"], v["b"]
+        usable = (s["w"] > 0) & (s["h"] > 0) & (css_w > 0) & (css_h > 0)
+        dx = F.try_divide(v["px"], css_w) * s["w"]
+        dy = s["h"] - F.try_divide(v["py"], css_h) * s["h"]
+        p = display_to_page(dx, dy, b["x1"] - b["x0"], b["y1"] - b["y0"], rotate)
+        return F.when(usable, point(b["x0"] + p["x"], b["y0"] + p["y"])).otherwise(
+            point(b["x0"], b["y0"])
+        )
+
+    bound = F.struct(
+        displayed_size(page, rotate).alias("s"), page.alias("b"), px.alias("px"), py.alias("py")
     )
+    return let(bound, placed)
 
 
 def spanned_rect(p: Column, q: Column, min_side: float = 0.0) -> Column:
@@ -188,22 +201,27 @@ def bbox_to_overlay(r: Column, page: Column, rotate: Column) -> Column:
     )
 
 
+def _mapped_rect(r: Column, to_point: Callable[[Column, Column], Column]) -> Column:
+    """Rect between the mapped opposite corners of another one."""
+
+    def ends(v: Column) -> Column:
+        return F.struct(
+            to_point(v["x"], v["y"]).alias("p"), to_point(v["x"] + v["w"], v["y"] + v["h"]).alias("q")
+        )
+
+    return let(let(r, ends), lambda e: spanned_rect(e["p"], e["q"]))
+
+
 def bbox_to_viewport(
     r: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
-    return spanned_rect(
-        page_to_viewport(r["x"], r["y"], page, rotate, css_w, css_h),
-        page_to_viewport(r["x"] + r["w"], r["y"] + r["h"], page, rotate, css_w, css_h),
-    )
+    return _mapped_rect(r, lambda x, y: page_to_viewport(x, y, page, rotate, css_w, css_h))
 
 
 def viewport_to_bbox(
     r: Column, page: Column, rotate: Column, css_w: Column, css_h: Column
 ) -> Column:
-    return spanned_rect(
-        viewport_to_page(r["x"], r["y"], page, rotate, css_w, css_h),
-        viewport_to_page(r["x"] + r["w"], r["y"] + r["h"], page, rotate, css_w, css_h),
-    )
+    return _mapped_rect(r, lambda x, y: viewport_to_page(x, y, page, rotate, css_w, css_h))
 
 
 def normalize_rect(r: Column, min_side: float = 1.0) -> Column:
