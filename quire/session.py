@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,7 @@ def local_session(cpus: int | str = "*", name: str = "quire", memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", parts)
+        .config("spark.checkpoint.dir", f"/tmp/quire-{os.getpid()}/checkpoints")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,8 +50,14 @@ def local_session(cpus: int | str = "*", name: str = "quire", memory: str = "8g"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """The shared folder named by the cluster; the warehouse, which is shared too, only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_quire").rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; two runs never write to the same one."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -32,4 +32,3 @@ def test_entry_points(spark):
     spec.loader.exec_module(module)
     assert module.entry(spark).count() > 0
     assert set(module.oracle_sql()) <= set(module.queries())
-    assert not [n for n in module.queries() if n.startswith("op") and n[2:3].isdigit()]
