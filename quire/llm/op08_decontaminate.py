@@ -149,16 +149,16 @@ WITH item_words AS (
     SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 item_windows AS (
-    SELECT item, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS at, w FROM item_words WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item, size, array_to_string(w[at:at + size - 1], ' ') AS words FROM item_windows),
+    SELECT item, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k, w FROM item_words WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS words FROM item_windows),
 docs AS (
     SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS (
-    SELECT r, s.size, at, array_to_string(w[at:at + s.size - 1], ' ') AS words
-    FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS at FROM docs) JOIN (SELECT DISTINCT size FROM windows) s ON at + s.size - 1 <= len(w)),
-found AS (SELECT p.r, p.at, p.size, x.item FROM places p JOIN windows x ON p.size = x.size AND p.words = x.words),
-hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(at, at + size)) AS k FROM (SELECT DISTINCT r, at, size FROM found)) GROUP BY r),
+    SELECT r, s.size, k, array_to_string(w[k:k + s.size - 1], ' ') AS words
+    FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM docs) JOIN (SELECT DISTINCT size FROM windows) s ON k + s.size - 1 <= len(w)),
+found AS (SELECT p.r, p.k, p.size, x.item FROM places p JOIN windows x ON p.size = x.size AND p.words = x.words),
+hit AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS x FROM (SELECT DISTINCT r, k, size FROM found)) GROUP BY r),
 named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY r)
 SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import op08_decontaminate
+from quire.llm import op02_quality, op03_language, op04_mix, op07_token_files, op08_decontaminate
 from quire.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def _prepared(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
+        "op2_quality": op02_quality.op2_quality,
+        "op3_language": op03_language.op3_language,
+        "op4_mix": op04_mix.op4_mix,
+        "op7_token_files": op07_token_files.op7_token_files,
         "op8_decontaminate": op08_decontaminate.op8_decontaminate,
     }.items()
 }
@@ -30,6 +34,8 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     name: textwrap.dedent(sql).strip()
     for name, sql in {
+        "op2_quality": op02_quality.SQL,
+        "op4_mix": op04_mix.SQL,
         "op8_decontaminate": op08_decontaminate.SQL,
     }.items()
 }
