@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import op02_quality, op03_language, op04_mix, op05_similar, op06_language_model, op07_token_files, op08_decontaminate
+from quire.llm import op02_quality, op03_language, op04_mix, op05_similar, op06_language_model, op07_token_files, op08_decontaminate, op10_personal
 from quire.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
         "op6_language_model": op06_language_model.op6_language_model,
         "op7_token_files": op07_token_files.op7_token_files,
         "op8_decontaminate": op08_decontaminate.op8_decontaminate,
+        "op10_personal": op10_personal.op10_personal,
     }.items()
 }
 
