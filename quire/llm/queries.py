@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import op02_quality, op03_language, op04_mix, op05_similar, op06_language_model, op07_token_files, op08_decontaminate, op10_personal
+from quire.llm import (
+    op01_token_counts,
+    op02_quality,
+    op03_language,
+    op04_mix,
+    op05_similar,
+    op06_language_model,
+    op07_token_files,
+    op08_decontaminate,
+    op09_licenses,
+    op10_personal,
+)
 from quire.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +34,7 @@ def _prepared(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
+        "op1_token_counts": op01_token_counts.op1_token_counts,
         "op2_quality": op02_quality.op2_quality,
         "op3_language": op03_language.op3_language,
         "op4_mix": op04_mix.op4_mix,
@@ -30,6 +42,7 @@ QUERIES: dict[str, Query] = {
         "op6_language_model": op06_language_model.op6_language_model,
         "op7_token_files": op07_token_files.op7_token_files,
         "op8_decontaminate": op08_decontaminate.op8_decontaminate,
+        "op9_licenses": op09_licenses.op9_licenses,
         "op10_personal": op10_personal.op10_personal,
     }.items()
 }

@@ -32,12 +32,13 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 class Words(NamedTuple):
-    """Spans of all words in ``data``; those of text i are ``first[i]:first[i + 1]``."""
+    """Spans of all words in ``data``; those of text i are ``first[i]:first[i + 1]``, its bytes start at ``begin[i]``."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    begin: np.ndarray
 
     def text(self) -> np.ndarray:
         """The text that each word is in."""
@@ -57,8 +58,9 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[where[0]: where[-1]], where - where[0]
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~SPACE[data]
+def split(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> Words:
+    """Words are runs of bytes that ``apart`` does not hold."""
+    inside = ~apart[data]
     n = len(data)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -66,7 +68,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     before[edge] = False
     after[edge - 1] = False
     start = np.flatnonzero(inside & ~before)
-    return Words(data, start, np.flatnonzero(inside & ~after) + 1, np.searchsorted(start, offsets))
+    return Words(data, start, np.flatnonzero(inside & ~after) + 1, np.searchsorted(start, offsets), offsets[:-1])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
