@@ -32,8 +32,8 @@ from quire.llm import words as W
 from quire.session import shared_folder
 
 BLOCK_TOKENS = 1 << 16
-#: Words and ids that a worker remembers; both bound its memory.
-KNOWN_WORDS, KNOWN_IDS = 600_000, 4_000_000
+#: Words and ids that a worker remembers; both bound its memory. Words of one call of the tokenizer.
+KNOWN_WORDS, KNOWN_IDS, JOINED = 1_500_000, 10_000_000, 128
 
 
 class Known:
@@ -51,16 +51,27 @@ class Known:
         self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _store(self, hashes: list[int], encoded: list[list[int]]) -> None:
-        n, sizes = len(self.place), np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(sizes.sum())
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word's ids); words go to the tokenizer some at a time, parted by line ends."""
+        portions = [words[k: k + JOINED] for k in range(0, len(words), JOINED)]
+        ids, sizes = [], []
+        for portion, found in zip(portions, self.tokenizer.encode_batch(["\n".join(p) for p in portions], add_special_tokens=False)):
+            ends = np.cumsum([len(w) + 1 for w in portion])
+            cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), ends)
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _store(self, hashes: list[int], words: list[str]) -> None:
+        ids, sizes = self._encoded(words)
+        n, total = len(self.place), len(ids)
         while n + len(sizes) > len(self.at):
             self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.at[n: n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.size[n: n + len(sizes)] = sizes
-        self.ids[self.used: self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
+        self.ids[self.used: self.used + total] = ids
         self.used += total
         self.place.update(zip(hashes, range(n, n + len(hashes))))
 
@@ -70,17 +81,23 @@ class Known:
             self.clear()
         codes, unique = pd.factorize(W.word_hashes(words))
         unique = unique.tolist()
-        fresh = [k for k, h in enumerate(unique) if h not in self.place]
+        fresh = [k for k, at in enumerate(map(self.place.get, unique)) if at is None]
         if fresh:
             at = np.zeros(len(unique), np.int64)
             at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            encoded = self.tokenizer.encode_batch_fast(words.strings(at[fresh]), add_special_tokens=False)
-            self._store([unique[k] for k in fresh], [e.ids for e in encoded])
-        place = np.fromiter((self.place[h] for h in unique), np.int64, len(unique))
+            self._store([unique[k] for k in fresh], words.strings(at[fresh]))
+        place = np.array(list(map(self.place.get, unique)), np.int64)
         at, sizes = self.at[place][codes], self.size[place][codes]
         return self.ids[np.arange(int(sizes.sum())) + np.repeat(at - (np.cumsum(sizes) - sizes), sizes)], sizes
 
 
+def narrowest(tokenizer: str, end_id: int) -> type:
+    """Two bytes for an id where the vocabulary fits, else four; ids wait in this form."""
+    from tokenizers import Tokenizer
+
+    return np.uint16 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id) <= 1 << 16 else np.uint32
+
+
 def known(path: str) -> Known:
     """The worker's own dictionary; workers outlive tasks."""
     kept = sys.modules.setdefault("_quire_known_words", types.ModuleType("_quire_known_words")).__dict__
@@ -89,28 +106,29 @@ def known(path: str) -> Known:
     return kept[path]
 
 
-def token_ids(documents: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): little-endian 32-bit ids of each text and the end id."""
+def token_ids(documents: DataFrame, tokenizer: str, end_id: int, kind: type, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids): little-endian ids of each text and the end id."""
 
     def encode(batch: pa.RecordBatch, words: W.Words):
         ids, sizes = known(tokenizer).encode(words)
         ends = np.concatenate([[0], np.cumsum(sizes)])[words.first]
+        ids = ids.astype(kind)
         raw = [ids[a:b].tobytes() + end for a, b in zip(ends, ends[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(raw, pa.binary())], [key, "ids"])
 
-    end = np.uint32(end_id).tobytes()
+    end = kind(end_id).tobytes()
     chosen = documents.select(key, F.col(text).cast("string").alias(text))
     return W.per_text(chosen, encode, f"{key} {documents.schema[key].dataType.simpleString()}, ids binary", text)
 
 
-def rank_table(ids: DataFrame) -> DataFrame:
+def rank_table(ids: DataFrame, kind: type) -> DataFrame:
     """(rank, id) of every id that occurs, by falling count, then id."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             joined = b"".join(batch.column(0).to_pylist())
-            n = np.bincount(np.frombuffer(joined, np.uint32))
+            n = np.bincount(np.frombuffer(joined, kind))
             total = np.resize(total, len(n)) * (np.arange(len(n)) < len(total)) if len(n) > len(total) else total
             total[: len(n)] += n
         at = np.flatnonzero(total)
@@ -157,16 +175,17 @@ def _pairs(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> str:
     """Encode all texts into ``path`` and return it."""
     spark = documents.sparkSession
-    waiting = shared_folder(spark, "ids")
-    token_ids(documents, tokenizer, end_id, key, text).write.option("compression", "zstd").parquet(waiting)
+    waiting, kind = shared_folder(spark, "ids"), narrowest(tokenizer, end_id)
+    width = np.dtype(kind).itemsize
+    token_ids(documents, tokenizer, end_id, kind, key, text).write.option("compression", "zstd").parquet(waiting)
     ids = spark.read.parquet(waiting)
-    rank_table(ids).coalesce(1).write.parquet(f"{path}/ranks")
+    rank_table(ids, kind).coalesce(1).write.parquet(f"{path}/ranks")
     _, rank = _pairs(spark.read.parquet(f"{path}/ranks"))
 
     def block(part: int, number: int, held: list[tuple]) -> pa.RecordBatch:
-        tokens = rank[np.frombuffer(b"".join(x for _, x in held), np.uint32)]
+        tokens = rank[np.frombuffer(b"".join(x for _, x in held), kind)]
         control, data = encode_numbers(tokens)
-        row = {"part": part, "block": number, "doc_ids": [k for k, _ in held], "counts": [len(x) // 4 for _, x in held],
+        row = {"part": part, "block": number, "doc_ids": [k for k, _ in held], "counts": [len(x) // width for _, x in held],
                "n_tokens": len(tokens), "control": control, "data": data}
         return pa.RecordBatch.from_pylist([row], pa.schema([
             ("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
@@ -177,7 +196,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append((k, x))
-                size += len(x) // 4
+                size += len(x) // width
                 if size >= BLOCK_TOKENS:
                     yield block(part, number, held)
                     number, held, size = number + 1, [], 0
