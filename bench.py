@@ -28,7 +28,7 @@ HEADLINE = [
     # quality
     "luma_stats", "pixel_diff", "compare_docs", "pick_quality",
     # sources and streams
-    "intake", "image_budget", "name_outputs", "outline", "job_status", "edit_replay",
+    "intake", "image_budget", "name_outputs", "outline", "job_status",
 ]
 
 

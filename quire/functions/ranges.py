@@ -2,7 +2,10 @@
 
 Each parser returns a struct with an ``error`` code. The first broken rule in
 reading order wins. ``*_segments`` keep ranges folded as (lo, hi) and never
-grow with the document; the expanding parsers refuse more than ``max_pages``.
+grow with the document; ``quire.operators.select.listed_pages`` makes rows of
+them at any size. The expanding parsers make one array: they refuse what a
+Spark array of integers cannot hold with TOO_MANY_PAGES or TOO_LARGE, and more
+than ``max_pages`` where a caller sets it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 from quire.functions import col, let
 from quire.functions.text import INNER_SPACE, WHITE
 
-MAX_PAGES = 1_000_000
+# what one array of Spark holds, and the largest page an array of integers takes
+ARRAY_LIMIT = 2_147_483_632
+INT_MAX = 2_147_483_647
+# stands for every number of more than 18 digits, which gets an error code
 HUGE = 10**18
 U32_MAX = 4_294_967_295
 
@@ -25,7 +31,7 @@ NO_SEGMENTS = "array<struct<lo:bigint,hi:bigint>>"
 
 
 def _digits(token: Column) -> Column:
-    """Value of an all-digit token, held at 10**18; null for anything else."""
+    """Value of an all-digit token, ``HUGE`` beyond 18 digits; null for anything else."""
     short = token.try_cast("bigint")
     bare = F.ltrim(token, F.lit("0"))
     long = F.when(F.length(bare) > 18, F.lit(HUGE)).otherwise(
@@ -38,7 +44,7 @@ def _digits(token: Column) -> Column:
 
 def _u32(token: Column) -> Column:
     """Value of an unsigned 32-bit number with an optional plus sign, else null."""
-    bare = F.when(token.rlike(r"^\+[0-9]"), F.substring(token, 2, 64)).otherwise(token)
+    bare = F.regexp_replace(token, r"^\+(?=[0-9])", "")
     return let(_digits(bare), lambda v: F.when(v <= U32_MAX, v))
 
 
@@ -103,7 +109,9 @@ def _whole(count: Column) -> Column:
     )
 
 
-def _expand(parsed: Column, max_pages: int, ordered: bool) -> Column:
+def _expand(parsed: Column, max_pages: int | None, ordered: bool) -> Column:
+    most = ARRAY_LIMIT if max_pages is None else min(max_pages, ARRAY_LIMIT)
+
     def size(segments: Column) -> Column:
         return F.aggregate(
             segments,
@@ -112,8 +120,15 @@ def _expand(parsed: Column, max_pages: int, ordered: bool) -> Column:
         )
 
     def judged(p: Column) -> Column:
-        too_many = F.coalesce(size(p["segments"]) > max_pages, F.lit(False))
-        error = F.when(p["error"].isNotNull(), p["error"]).when(too_many, "TOO_MANY_PAGES")
+        too_many = F.coalesce(size(p["segments"]) > most, F.lit(False))
+        too_large = F.coalesce(
+            F.exists(p["segments"], lambda s: F.greatest(s["lo"], s["hi"]) > INT_MAX), F.lit(False)
+        )
+        error = (
+            F.when(p["error"].isNotNull(), p["error"])
+            .when(too_many, "TOO_MANY_PAGES")
+            .when(too_large, "TOO_LARGE")
+        )
         return F.struct(p["segments"].alias("segments"), error.alias("error"))
 
     def build(p: Column) -> Column:
@@ -154,6 +169,7 @@ def parse_range_segments(
             .when(broken, "BAD_RANGE")
             .when(~whole, "BAD_NUMBER")
             .when(F.greatest(e["lo"], e["hi"]) > bound, "OUT_OF_RANGE")
+            .when(F.greatest(e["lo"], e["hi"]) >= HUGE, "TOO_LARGE")
         )
         return _segment(e["lo"], e["hi"], error)
 
@@ -176,7 +192,7 @@ def parse_range(
     page_count: Column | int | None = None,
     preserve_order: bool = False,
     allow_all: bool = True,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
 ) -> Column:
     """Strict page range to struct(pages, error)."""
     return _expand(parse_range_segments(spec, page_count, allow_all), max_pages, preserve_order)
@@ -208,7 +224,7 @@ def lenient_segments(spec: Column | str) -> Column:
     return let(parts, build)
 
 
-def parse_range_lenient(spec: Column | str, max_pages: int = MAX_PAGES) -> Column:
+def parse_range_lenient(spec: Column | str, max_pages: int | None = None) -> Column:
     """Lenient page set to struct(pages, error): sorted, unique, 0 allowed."""
     return _expand(lenient_segments(spec), max_pages, ordered=False)
 
@@ -257,7 +273,7 @@ def spec_segments(spec: Column | str, n: Column | str) -> Column:
     return let(_trim(col(spec)), build)
 
 
-def expand_spec(spec: Column | str, n: Column | str, max_pages: int = MAX_PAGES) -> Column:
+def expand_spec(spec: Column | str, n: Column | str, max_pages: int | None = None) -> Column:
     """Ordered page spec to struct(pages, error); order and repeats are kept."""
     return _expand(spec_segments(spec, n), max_pages, ordered=True)
 
@@ -296,6 +312,7 @@ def parse_split_ranges(text: Column | str, total: Column | str) -> Column:
             F.when(e.isNull(), "BAD_TOKEN")
             .when((e["lo"] < 1) | (e["hi"] < 1) | (e["lo"] > e["hi"]), "BAD_RANGE")
             .when(e["hi"] > count, "OUT_OF_RANGE")
+            .when(e["hi"] >= HUGE, "TOO_LARGE")
         )
         return _segment(e["lo"], e["hi"], error)
 

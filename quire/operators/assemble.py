@@ -21,8 +21,6 @@ from quire.plans.blocks import (
 )
 
 GROUP_PART_BITS = 12
-MAX_SHEETS = 2000
-MAX_TILES = 600
 MIN_SHEET = 72.0
 MIN_TILE = 36.0
 GUTTER = 12.0
@@ -59,12 +57,21 @@ def shifted(position: Column, source: Column, target: Column) -> Column:
     )
 
 
+def step(position: Column, steps: Column) -> Column:
+    """Place of an item after moves (src, dst), one after another."""
+    return F.aggregate(
+        steps, position.cast("bigint"), lambda at, m: shifted(at, m["src"].cast("bigint"), m["dst"].cast("bigint"))
+    )
+
+
 def move_file(files: DataFrame, moves: DataFrame) -> DataFrame:
-    """Move one file per document from place ``src`` to ``dst`` (both 0-based ``ord``).
+    """Move files of a document from place ``src`` to ``dst`` (both 0-based ``ord``).
 
-    Flags such as ``active`` belong to the file row and travel with it. Equal or
-    out-of-range places change nothing.
+    ``moves`` is (doc_id, src, dst) and, where a document has several, ``seq``: they
+    are applied in that order. Flags such as ``active`` belong to the file row and
+    travel with it. Equal or out-of-range places change nothing.
     """
+    seq = [c for c in ("seq",) if c in moves.columns]
     sizes = files.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     real = (
         moves.join(sizes, "doc_id")
@@ -75,10 +82,11 @@ def move_file(files: DataFrame, moves: DataFrame) -> DataFrame:
             & (F.col("src") < F.col("__n"))
             & (F.col("dst") < F.col("__n"))
         )
-        .select("doc_id", F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*seq, "src", "dst"))).alias("__moves"))
     )
-    moved = F.when(F.col("__src").isNull(), F.col("ord")).otherwise(
-        shifted(F.col("ord"), F.col("__src"), F.col("__dst"))
+    moved = F.when(F.col("__moves").isNull(), F.col("ord")).otherwise(
+        step(F.col("ord"), F.col("__moves")).cast(files.schema["ord"].dataType)
     )
     return files.join(real, "doc_id", "left").select(
         *[c if c != "ord" else moved.alias("ord") for c in files.columns]
@@ -307,12 +315,12 @@ def slot_box(mode: str, slot: Column, sheet_w: float, sheet_h: float) -> Column:
 
 
 def sheet_plan(
-    docs: DataFrame, boxes: DataFrame, mode: str, sheet_w: float, sheet_h: float
+    docs: DataFrame, boxes: DataFrame, mode: str, sheet_w: float, sheet_h: float, max_sheets: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sheet, slot, page, matrix) for 2up, 4up or booklet printing.
 
     ``docs`` is (doc_id, n), ``boxes`` (doc_id, page, box, rotate). Page 0 is an
-    empty slot. Documents of more than 2000 sheets are refused.
+    empty slot. Documents of more than ``max_sheets`` sheets are refused, if it is set.
     """
     if mode not in SLOTS:
         raise ValueError("INVALID_MODE")
@@ -320,14 +328,14 @@ def sheet_plan(
     per = SLOTS[mode]
     sheets = F.ceil(n / 4) * 2 if mode == "booklet" else F.ceil(n / per)
     sized = docs.select("doc_id", n.alias("n"), sheets.cast("bigint").alias("__sheets"))
-    error = F.when(F.lit(min(sheet_w, sheet_h) < MIN_SHEET), "SHEET_TOO_SMALL").when(
-        F.col("__sheets") > MAX_SHEETS, "TOO_MANY_SHEETS"
-    )
+    error = F.when(F.lit(min(sheet_w, sheet_h) < MIN_SHEET), "SHEET_TOO_SMALL")
+    if max_sheets is not None:
+        error = error.when(F.col("__sheets") > max_sheets, "TOO_MANY_SHEETS")
     sized = sized.withColumn("error", error)
     errors = sized.filter(F.col("error").isNotNull()).select("doc_id", "error")
 
     plan = sized.filter(F.col("error").isNull() & (F.col("__sheets") >= 1))
-    plan = plan.withColumn("sheet", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__sheets"))))
+    plan = number_units(plan, ["doc_id"], "__sheets", "sheet")
     plan = plan.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     if mode == "booklet":
         # outer pages alternate sides: (n,1), (2,n-1), (n-2,3), ...
@@ -349,7 +357,7 @@ def sheet_plan(
     return placed.select("doc_id", "sheet", "slot", "page", matrix.alias("matrix")), errors
 
 
-def _tile_layout(short: float, long: float, orientation: str, overlap: float) -> Column:
+def _tile_layout(short: float, long: float, orientation: str, overlap: float, max_tiles: int | None) -> Column:
     """struct(w, h, gap, cols, rows, error) of the tiles of a page (box, rotate)."""
 
     def sheets(size: Column, w: float, h: float) -> Column:
@@ -384,9 +392,9 @@ def _tile_layout(short: float, long: float, orientation: str, overlap: float) ->
         )
 
     def judged(c: Column) -> Column:
-        error = F.when(F.lit(short < MIN_TILE), "TILE_TOO_SMALL").when(
-            c["cols"] * c["rows"] > MAX_TILES, "TOO_MANY_TILES"
-        )
+        error = F.when(F.lit(short < MIN_TILE), "TILE_TOO_SMALL")
+        if max_tiles is not None:
+            error = error.when(c["cols"] * c["rows"] > max_tiles, "TOO_MANY_TILES")
         return F.struct(*[c[n].alias(n) for n in ("w", "h", "cols", "rows")], F.lit(gap).alias("gap"), error.alias("error"))
 
     return let(let(let(upright != sideways, sides), counted), judged)
@@ -398,15 +406,16 @@ def tile_plan(
     orientation: str = "auto",
     overlap: float = 0.0,
     keys: Sequence[str] = ("doc_id", "page"),
+    max_tiles: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(keys, row, col, box): a page cut into sheets of paper, top to bottom.
 
     ``page_boxes`` is (keys, box, rotate). "auto" takes the orientation with
-    fewer sheets, portrait on a tie.
+    fewer sheets, portrait on a tie. Pages of more than ``max_tiles`` tiles are refused, if it is set.
     """
     short_mm, long_mm = geo.PAPERS.get(paper, geo.PAPERS["a4"])
     layout = _tile_layout(
-        short_mm * geo.PT_PER_MM, long_mm * geo.PT_PER_MM, orientation, float(overlap)
+        short_mm * geo.PT_PER_MM, long_mm * geo.PT_PER_MM, orientation, float(overlap), max_tiles
     )
     df = page_boxes.select(*keys, "box", layout.alias("__g"))
     errors = df.filter(F.col("__g.error").isNotNull()).select(*keys, F.col("__g.error").alias("error"))

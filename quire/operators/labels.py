@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.assemble import shifted
+from quire.operators.assemble import shifted, step
 from quire.plans.blocks import ORDER_BITS, row_numbers
 
 RECENT = 25
@@ -33,37 +33,50 @@ def z_order(annots: DataFrame, moves: DataFrame, bits: int = ORDER_BITS) -> Data
     """Move annotations among the annotations of their page.
 
     ``annots`` is (doc_id, page_index, id, ord, ...), ``moves`` (doc_id, id, dir)
-    with front, back, forward or backward and at most one move per page. ``ord``
-    comes back as the 1-based layer on the page, later layers in front.
+    with front, back, forward or backward and, where a page has several, ``seq``:
+    they are applied in that order. ``ord`` comes back as the 1-based layer on the
+    page, later layers in front.
     """
     page = ["doc_id", "page_index"]
+    seq = [c for c in ("seq",) if c in moves.columns]
     moving = annots.select(*page, "id", F.col("ord").alias("__ord")).join(moves, ["doc_id", "id"])
     # the place of a moving annotation is a count, so only its page is looked at
     places = (
         annots.select(*page, "ord")
-        .join(moving.select(*page, "__ord", "dir"), page)
-        .groupBy(*page, "dir")
-        .agg(F.count_if(F.col("ord") <= F.col("__ord")).alias("__src"), F.count(F.lit(1)).alias("__n"))
+        .join(moving.select(*page, "id", "__ord").distinct(), page)
+        .groupBy(*page, "id")
+        .agg(F.count_if(F.col("ord") <= F.col("__ord")).alias("__place"), F.count(F.lit(1)).alias("__n"))
     )
-    target = (
-        F.when(F.col("dir") == "backward", F.col("__src") - 1)
-        .when(F.col("dir") == "forward", F.col("__src") + 1)
-        .when(F.col("dir") == "back", F.lit(1))
-        .otherwise(F.col("__n"))
-    )
-    wanted = (
-        places.withColumn("__dst", target)
-        .filter(
-            (F.col("__dst") >= 1)
-            & (F.col("__dst") <= F.col("__n"))
-            & (F.col("__dst") != F.col("__src"))
+    by_page = (
+        moving.join(places, [*page, "id"])
+        .groupBy(*page)
+        .agg(
+            F.array_sort(F.collect_list(F.struct(*seq, "id", "dir"))).alias("__moves"),
+            F.map_from_entries(F.collect_set(F.struct("id", "__place"))).alias("__places"),
+            F.first("__n").alias("__n"),
         )
-        .select(*page, "__src", "__dst")
     )
-    numbered = row_numbers(annots, page, "ord", "__pos", bits)
-    layer = F.when(F.col("__src").isNull(), F.col("__pos")).otherwise(
-        shifted(F.col("__pos"), F.col("__src"), F.col("__dst"))
+    start = F.struct(
+        F.col("__places").alias("at"), F.array().cast("array<struct<src:bigint,dst:bigint>>").alias("steps")
     )
+
+    def moved(state: Column, move: Column) -> Column:
+        src = state["at"][move["id"]]
+        wanted = (
+            F.when(move["dir"] == "backward", src - 1)
+            .when(move["dir"] == "forward", src + 1)
+            .when(move["dir"] == "back", F.lit(1).cast("bigint"))
+            .otherwise(F.col("__n"))
+        )
+        dst = F.least(F.greatest(wanted, F.lit(1).cast("bigint")), F.col("__n"))
+        return F.struct(
+            F.transform_values(state["at"], lambda _, at: shifted(at, src, dst)).alias("at"),
+            F.concat(state["steps"], F.array(F.struct(src.alias("src"), dst.alias("dst")))).alias("steps"),
+        )
+
+    wanted = by_page.select(*page, F.aggregate("__moves", start, moved, lambda s: s["steps"]).alias("__steps"))
+    numbered = row_numbers(annots, page, "ord", "__pos", bits)
+    layer = F.when(F.col("__steps").isNull(), F.col("__pos")).otherwise(step(F.col("__pos"), F.col("__steps")))
     return numbered.join(wanted, page, "left").select(
         *[c if c != "ord" else layer.alias("ord") for c in annots.columns]
     )

@@ -30,38 +30,31 @@ def meta_edit(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply ``edits`` (doc_id, clear_all, title, ..., producer) to ``docs.info``.
 
     A non-blank value is set, a blank or null one removes the field, other keys
-    stay; ``clear_all`` empties the map. Documents without an edit are unchanged.
+    stay; ``clear_all`` empties the map. Several edits of a document are applied in
+    the order of their ``seq``. Documents without an edit are unchanged.
     """
-    value_type = docs.schema["info"].dataType.valueType
-    binary = isinstance(value_type, T.BinaryType)
-    names = [f"__{n.lower()}" for n in FIELDS]
-    trimmed = edits.select(
-        "doc_id",
-        F.coalesce(F.col("clear_all"), F.lit(False)).alias("__clear"),
-        *[
-            F.nullif(F.regexp_replace(F.col(n.lower()), EDGE_SPACE, ""), F.lit("")).alias(new)
-            for n, new in zip(FIELDS, names)
-        ],
-    )
-    kept = F.map_filter(
-        F.coalesce(F.col("info"), F.create_map().cast(docs.schema["info"].dataType)),
-        lambda k, _: ~k.isin(FIELDS),
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("key"),
-                (encode_meta(new) if binary else F.col(new)).alias("value"),
-            )
-            for n, new in zip(FIELDS, names)
-        ]
-    )
+    kind = docs.schema["info"].dataType
+    binary = isinstance(kind.valueType, T.BinaryType)
+    seq = [c for c in ("seq",) if c in edits.columns]
+    empty = F.create_map().cast(kind)
+
+    def entry(name: str) -> Column:
+        value = F.nullif(F.regexp_replace(F.col(name.lower()), EDGE_SPACE, ""), F.lit(""))
+        return F.struct(F.lit(name).alias("key"), (encode_meta(value) if binary else value).alias("value"))
+
+    entries = F.array(*[entry(n) for n in FIELDS])
     written = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    edited = (
-        F.when(F.col("__clear").isNull(), F.col("info"))
-        .when(F.col("__clear"), F.create_map().cast(docs.schema["info"].dataType))
-        .otherwise(F.map_concat(kept, written))
+    # maps cannot be ordered, so they are kept as entries until the edits are in order
+    one = F.struct(*seq, F.coalesce(F.col("clear_all"), F.lit(False)).alias("clear"), F.map_entries(written).alias("set"))
+    by_doc = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__edits"))
+
+    def applied(info: Column, edit: Column) -> Column:
+        kept = F.map_filter(info, lambda k, _: ~k.isin(FIELDS))
+        return F.when(edit["clear"], empty).otherwise(F.map_concat(kept, F.map_from_entries(edit["set"]))).cast(kind)
+
+    edited = F.when(F.col("__edits").isNull(), F.col("info")).otherwise(
+        F.aggregate("__edits", F.coalesce(F.col("info"), empty), applied)
     )
-    return docs.join(trimmed, "doc_id", "left").select(
+    return docs.join(by_doc, "doc_id", "left").select(
         *[c if c != "info" else edited.alias("info") for c in docs.columns]
     )

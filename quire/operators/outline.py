@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 5000
-
-
 def outline(
-    nodes: DataFrame, page_ids: DataFrame, limit: int = MAX_ITEMS
+    nodes: DataFrame, page_ids: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """(doc_id, item_no, title, page, level) in reading order, level from 0.
 
     ``nodes`` is (doc_id, node, parent, sibling_no, title, target), top nodes
     without parent; ``page_ids`` (doc_id, target, page). Blank titles vanish but
-    their children stay; an unknown target leaves the page null. The recursion
-    depth is the nesting depth, since children hang on their parent.
+    their children stay; an unknown target leaves the page null. Levels are read
+    by recursion from the top nodes, however deep they go; nodes of a cycle hang on
+    no top node and give no rows. ``limit`` keeps the first items of each document.
     """
     spark = nodes.sparkSession
     tree = spark.sql(
@@ -38,9 +36,9 @@ def outline(
         "title", F.regexp_replace(F.coalesce("title", F.lit("")), edge, "")
     ).filter(F.col("title") != "")
     reading = Window.partitionBy("doc_id").orderBy("path")
-    items = titled.withColumn("item_no", F.row_number().over(reading)).filter(
-        F.col("item_no") <= limit
-    )
+    items = titled.withColumn("item_no", F.row_number().over(reading))
+    if limit is not None:
+        items = items.filter(F.col("item_no") <= limit)
     return items.join(page_ids, ["doc_id", "target"], "left").select(
         "doc_id", "item_no", "title", "page", "level"
     )

@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import INNER_SPACE
+from quire.plans.blocks import row_numbers
 
-MIN_QUERY = 2
-MAX_HITS = 100
 BEFORE = 40
 AFTER = 60
 
 
-def _usable(phrases: Sequence[str]) -> list[str]:
-    """Trimmed phrases of at least two characters, once each."""
-    return list(dict.fromkeys(p.strip() for p in phrases if len(p.strip()) >= MIN_QUERY))
+def _usable(phrases: Sequence[str], min_chars: int) -> list[str]:
+    """Trimmed phrases of at least ``min_chars`` characters, once each; blank ones find nothing."""
+    return list(dict.fromkeys(p.strip() for p in phrases if len(p.strip()) >= max(1, min_chars)))
 
 
-def _hits(pages: DataFrame, phrases: Sequence[str], case_sensitive: bool) -> DataFrame:
+def _hits(pages: DataFrame, phrases: Sequence[str], case_sensitive: bool, min_chars: int) -> DataFrame:
     """One row per page and phrase found on it: a scan with no join or shuffle."""
-    wanted = _usable(phrases)
+    wanted = _usable(phrases, min_chars)
     text = F.col("text") if case_sensitive else F.lower("text")
     if not wanted:
         return pages.withColumn("query", F.lit(None).cast("string")).filter(F.lit(False))
@@ -41,20 +40,25 @@ def _hits(pages: DataFrame, phrases: Sequence[str], case_sensitive: bool) -> Dat
     )
 
 
-def search(pages: DataFrame, phrases: Sequence[str]) -> DataFrame:
+def search(pages: DataFrame, phrases: Sequence[str], min_chars: int = 1) -> DataFrame:
     """Every (page row, query) where the page contains the query in any case."""
-    return _hits(pages, phrases, case_sensitive=False)
+    return _hits(pages, phrases, False, min_chars)
 
 
 def search_snippets(
     pages: DataFrame,
     phrases: Sequence[str],
     case_sensitive: bool = False,
-    limit: int = MAX_HITS,
-    order: Sequence[str] = ("doc_id", "page"),
+    limit: int | None = None,
+    key: str = "doc_id",
+    order: str = "page",
+    min_chars: int = 1,
 ) -> DataFrame:
-    """First hit of each page with its surroundings; the first ``limit`` pages per query."""
-    hits = _hits(pages, phrases, case_sensitive)
+    """First hit of each page with its surroundings, numbered by page within a document and query.
+
+    ``limit`` keeps the first pages of each document and query; without it every hit is kept.
+    """
+    hits = _hits(pages, phrases, case_sensitive, min_chars)
     text = F.col("text") if case_sensitive else F.lower("text")
     needle = F.col("query") if case_sensitive else F.lower("query")
     # 1-based place of the match and of the first character shown before it
@@ -62,7 +66,7 @@ def search_snippets(
     hits = hits.withColumn("__from", F.greatest(F.col("__at") - BEFORE, F.lit(1)))
     size = F.length("query")
     rest = [c for c in pages.columns if c != "text"]
-    # only the short snippet goes into the ranking, never the page
+    # only the short snippet is numbered, never the page
     short = hits.select(
         *rest,
         "query",
@@ -71,8 +75,9 @@ def search_snippets(
         F.substring(F.col("text"), F.col("__at"), size).alias("match"),
         F.substring(F.col("text"), F.col("__at") + size, F.lit(AFTER)).alias("__tail"),
     )
-    by_query = Window.partitionBy("query").orderBy(*order)
-    first = short.withColumn("hit_no", F.row_number().over(by_query)).filter(F.col("hit_no") <= limit)
+    first = row_numbers(short, ["query", key], order, "hit_no")
+    if limit is not None:
+        first = first.filter(F.col("hit_no") <= limit)
 
     def squeeze(value: Column) -> Column:
         return F.regexp_replace(value, INNER_SPACE, " ")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.ranges import lenient_segments, spec_segments
-from quire.plans.blocks import ORDER_BITS, block, clip, prefix_sums, range_join, run_numbers
+from quire.plans.blocks import ORDER_BITS, block, clip, number_units, prefix_sums, range_join, run_numbers
 
 PART_BITS = 12
 
@@ -112,3 +112,21 @@ def extract_pages(
     joined = range_join(pages, placed, [key], "page", "__a", "__b")
     position = F.col("__offset") + F.abs(F.col("page") - F.col("__first")) + 1
     return joined.select(*pages.columns, position.alias("position")), errors
+
+
+def listed_pages(specs: DataFrame, segments: str = "segments", bits: int = 16) -> DataFrame:
+    """One row (item, page) for each page of folded segments, in their order, for specs of any size.
+
+    ``specs`` holds an array of (lo, hi) per row, lo > hi counting down; null gives no
+    rows. Rows are made in two steps with a shuffle between, as in ``number_units``.
+    """
+    rest = [c for c in specs.columns if c != segments]
+    count = F.transform(segments, lambda s: F.abs(s["hi"] - s["lo"]) + 1)
+    before = F.transform(count, lambda _, i: F.aggregate(F.slice(count, 1, i), F.lit(0).cast("bigint"), lambda a, n: a + n))
+    placed = F.arrays_zip(F.col(segments).alias("s"), count.alias("n"), before.alias("b"))
+    flat = specs.select(*rest, F.explode(placed).alias("__p")).select(
+        *rest, F.col("__p.s.lo").alias("__lo"), F.col("__p.s.hi").alias("__hi"), F.col("__p.n").alias("__n"), F.col("__p.b").alias("__b")
+    )
+    numbered = number_units(flat, ["__lo", "__b"], "__n", "__k", bits)
+    step = F.when(F.col("__lo") <= F.col("__hi"), F.col("__k") - 1).otherwise(1 - F.col("__k"))
+    return numbered.select(*rest, (F.col("__b") + F.col("__k")).alias("item"), (F.col("__lo") + step).alias("page"))

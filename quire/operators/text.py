@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_blank
 from quire.plans.blocks import BLOCK, ORDER_BITS, block
 
-MAX_TEXT_BYTES = 64 * 1024 * 1024
 PART_BITS = 8
 
 
+def head(text: Column, max_bytes: int | None) -> Column:
+    """The first bytes of a text, a broken last character as U+FFFD; all of it for None."""
+    if max_bytes is None:
+        return text
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, max_bytes).cast("string"))
+    return F.when(F.octet_length(text) > max_bytes, cut).otherwise(text)
+
+
+def page_count(text: Column, sep: str = "\f") -> Column:
+    """Number of pages that ``split_pages`` makes of a text; null for null."""
+    parts = F.split(text, re.escape(sep))
+    last_blank = is_blank(F.get(parts, F.size(parts) - 1))
+    return F.when(text.isNotNull(), F.size(parts) - last_blank.cast("int"))
+
+
 def split_pages(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\f") -> DataFrame:
     """One row per page (key, page, text); a blank last page is dropped, inner ones stay."""
     parts = F.split(F.col(text), re.escape(sep))
@@ -30,7 +44,7 @@ def split_pages(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str
 
 def cap_text(
     pages: DataFrame,
-    max_bytes: int = MAX_TEXT_BYTES,
+    max_bytes: int,
     key: str = "doc_id",
     bits: int = ORDER_BITS,
 ) -> DataFrame:

@@ -5,8 +5,8 @@ may hold a third of all pages, so nothing here does that. The ordering column
 is an integer (page, position, sequence number), unique within its key, and its
 high bits name a *block*: at most ``2**bits`` rows of one key. Row-level windows
 run per (key, block); one summary row per block carries the result of earlier
-blocks, and only those summaries are windowed per key. Keys and order must not
-be null.
+blocks, and only those summaries are windowed per key. Rows without a key are
+one more key, and rows without an order come first; none is lost.
 
 The same block number turns "position lies in lo..hi" into an equi-join with a
 residual filter, which a plain between-join would plan as a nested loop.
@@ -29,6 +29,15 @@ def block(position: str | Column, bits: int = ORDER_BITS) -> Column:
     return F.shiftright(col.cast("bigint"), bits)
 
 
+NO_ORDER = -(1 << 62)
+KEY = "__key"
+
+
+def cells(keys: Sequence[str], order: str, bits: int) -> dict[str, Column]:
+    """The key as one struct, which equals itself also where it holds nulls, and the block, least without order."""
+    return {KEY: F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("k")), BLOCK: F.coalesce(block(order, bits), F.lit(NO_ORDER))}
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -47,11 +56,11 @@ def prefix_sums(
 ) -> DataFrame:
     """Add the sum of each value over all earlier rows of the key (0 at the start)."""
     values = {f"__v_{name}": value for name, value in sums.items()}
-    src = df.withColumns({BLOCK: block(order, bits), **values})
+    src = df.withColumns({**cells(keys, order, bits), **values})
 
-    group = [*keys, BLOCK]
+    group = [KEY, BLOCK]
     totals = src.groupBy(*group).agg(*[F.sum(v).alias(f"__t{v}") for v in values])
-    ahead = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *group,
         *[F.coalesce(F.sum(f"__t{v}").over(ahead), F.lit(0)).alias(f"__o{v}") for v in values],
@@ -91,8 +100,8 @@ def run_numbers(
     ``starts_run(previous, current)`` gets two structs of ``cols`` from
     neighbouring rows and says whether the second one opens a new run.
     """
-    group = [*keys, BLOCK]
-    src = df.withColumns({BLOCK: block(order, bits), "__cur": F.struct(*cols)})
+    group = [KEY, BLOCK]
+    src = df.withColumns({**cells(keys, order, bits), "__cur": F.struct(*cols)})
     within = Window.partitionBy(*group).orderBy(order)
     src = src.withColumn("__prev", F.lag("__cur").over(within))
     opens = F.when(F.col("__prev").isNull(), F.lit(0)).otherwise(
@@ -103,11 +112,11 @@ def run_numbers(
     src = src.withColumn("__local", F.sum("__opens").over(running))
 
     edges = src.groupBy(*group).agg(
-        F.min_by("__cur", order).alias("__first"),
-        F.max_by("__cur", order).alias("__last"),
+        F.min_by("__cur", F.struct(F.col(order).isNotNull(), order)).alias("__first"),
+        F.max_by("__cur", F.struct(F.col(order).isNotNull(), order)).alias("__last"),
         F.sum("__opens").alias("__inner"),
     )
-    by_key = Window.partitionBy(*keys).orderBy(BLOCK)
+    by_key = Window.partitionBy(KEY).orderBy(BLOCK)
     edges = edges.withColumn("__before", F.lag("__last").over(by_key))
     edges = edges.withColumn(
         "__fresh",

@@ -155,22 +155,23 @@ def _pixel_diff(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    """User turns against assistant turns of a conversation, turn by turn."""
+    """A conversation before and after: every third turn gains a mark, every other conversation loses what the user said."""
     turns = table(spark, sf_dir, "conversations")
     sides = []
-    for role in ("user", "assistant"):
-        said = turns.filter(F.col("role") == role).select(F.col("conv_id").alias("doc_id"), "turn", "text")
-        numbered = row_numbers(said, ["doc_id"], "turn", "page")
-        sides.append(numbered.select("doc_id", "page", F.substring("text", 1, 2).alias("text")))
+    marked = F.when(F.pmod("turn", F.lit(3)) == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    stays = (F.pmod("conv_id", F.lit(2)) == 0) | (F.col("role") != "user")
+    for rows, text in ((turns, F.col("text")), (turns.filter(stays), marked)):
+        said = rows.select(F.col("conv_id").alias("doc_id"), "turn", text.alias("text"))
+        sides.append(row_numbers(said, ["doc_id"], "turn", "page").select("doc_id", "page", "text"))
     return sides
 
 
 VERSIONS_SQL = """
-    turns AS (
-        SELECT conv_id AS doc_id, role, left(text, 2) AS text,
-               row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS page FROM conversations),
-    a AS (SELECT doc_id, page, text, true AS here FROM turns WHERE role = 'user'),
-    b AS (SELECT doc_id, page, text, true AS here FROM turns WHERE role = 'assistant')
+    a AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, text, true AS here FROM conversations),
+    b AS (
+        SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page,
+               CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END AS text, true AS here
+        FROM conversations WHERE conv_id % 2 = 0 OR role <> 'user')
 """
 
 
@@ -192,9 +193,8 @@ def _compare_docs(spark, sf_dir):
     "compare_page_counts",
     f"""
     WITH {VERSIONS_SQL}
-    SELECT doc_id, count(*) FILTER (role = 'user') AS a_pages, count(*) FILTER (role = 'assistant') AS b_pages,
-           count(*) FILTER (role = 'user') <> count(*) FILTER (role = 'assistant') AS mismatch
-    FROM turns WHERE role IN ('user', 'assistant') GROUP BY 1
+    SELECT doc_id, count(a.here) AS a_pages, count(b.here) AS b_pages, count(a.here) <> count(b.here) AS mismatch
+    FROM a FULL JOIN b USING (doc_id, page) GROUP BY 1
     """,
 )
 def _compare_page_counts(spark, sf_dir):

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quire.functions.paths import classify_file
 from quire.operators.text import cap_text, export_text, split_pages
 from quire.plans.registry import query
 from quire.plans.roles import LINES, lines, table
-from quire.session import checkpoint_root
+from quire.session import shared_folder
 from quire.sources.files import catalogue, intake, name_outputs
 from quire.sources.images import image_budget, image_gate
 from quire.sources.sinks import write_docs
@@ -286,10 +284,9 @@ def _name_outputs(spark, sf_dir):
     return name_outputs(own.unionByName(more))
 
 
-@query("write_docs", "SELECT doc_id, lang, n_chars FROM documents")
+@query("write_docs", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _write_docs(spark, sf_dir):
-    root = checkpoint_root(spark)
-    out = f"{root}/written-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    out = shared_folder(spark, "written")
+    docs = table(spark, sf_dir, "documents")
     write_docs(docs, out, inputs=[sf_dir], partition_by=["lang"])
-    return spark.read.parquet(out).select("doc_id", "lang", "n_chars")
+    return spark.read.parquet(out).select(*docs.columns)

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.plans.registry import query
 from quire.plans.roles import table
-from quire.session import checkpoint_root
-from quire.streaming.edits import edit_replay, edit_replay_stream
+from quire.session import shared_folder
 from quire.streaming.intake import stream_intake
 from quire.streaming.jobs import job_status
 
 STATES = {"signup": "preparing", "view": "running", "click": "running", "purchase": "completed", "error": "failed"}
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_root(spark)}/stream-{uuid.uuid4()}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream."""
     schema = table(spark, sf_dir, "events").schema
@@ -56,69 +50,38 @@ def _job_status(spark, sf_dir):
     return job_status(_job_events(table(spark, sf_dir, "events")))
 
 
-def _run_to_table(stream: DataFrame, mode: str, root: str) -> DataFrame:
-    """Run a stream over what is there and return what it wrote last."""
+def _run_to_table(stream: DataFrame, key: str, root: str) -> DataFrame:
+    """Run a stream of updates over what is there; the newest batch of each key stands."""
     spark = stream.sparkSession
     out = f"{root}/out"
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        # a repeated batch replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(save)
+    writer = stream.writeStream.outputMode("update").foreachBatch(save)
     writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", out).parquet(out)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("__r"))
+    return last.select("__r.*")
 
 
 @query("job_status_stream", STATUS_SQL)
 def _job_status_stream(spark, sf_dir):
-    return _run_to_table(job_status(_job_events(_events(spark, sf_dir))), "complete", _scratch(spark))
-
-
-def edit_log(events: DataFrame) -> DataFrame:
-    """Events as an edit log: a user's document, a kind of edit per event type."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    oid = F.concat(F.lit("o"), F.pmod(k, F.lit(7)).cast("string"))
-    rect = F.struct(
-        F.col("value").alias("x"), k.cast("double").alias("y"), (F.lit(20.0) - k).alias("w"), F.lit(5.0).alias("h")
-    )
-    obj = F.struct(
-        F.concat(F.lit("o"), F.pmod(F.col("event_id"), F.lit(7)).cast("string")).alias("id"),
-        F.lit("rect").alias("kind"), F.pmod(k, F.lit(2)).alias("pageIndex"), rect.alias("rect"),
-    )
-    kind = F.col("event_type")
-    action = (
-        F.when(kind == "view", "ADD").when(kind == "click", "UPDATE").when(kind == "purchase", F.when(k < 50, "DELETE").otherwise("REORDER"))
-        .when(kind == "error", "UNDO").otherwise(F.when(k < 40, "REDO").when(k < 97, "BEGIN_GESTURE").otherwise("RESET"))
-    )
-    directions = F.array(*[F.lit(d) for d in ("front", "back", "forward", "backward")])
-    payload = (
-        F.when(action == "ADD", F.to_json(F.struct(obj.alias("object"))))
-        .when(action == "UPDATE", F.to_json(F.struct(oid.alias("id"), F.struct(rect.alias("rect")).alias("patch"))))
-        .when(action == "DELETE", F.to_json(F.struct(F.array(oid).alias("ids"))))
-        .when(action == "REORDER", F.to_json(F.struct(oid.alias("id"), F.get(directions, F.pmod(k, F.lit(4))).alias("dir"))))
-    )
-    return events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"), payload.alias("payload"))
-
-
-@query("edit_replay")
-def _edit_replay(spark, sf_dir):
-    return edit_replay(edit_log(table(spark, sf_dir, "events")))
-
-
-@query("edit_replay_stream")
-def _edit_replay_stream(spark, sf_dir):
-    return _run_to_table(edit_replay_stream(edit_log(_events(spark, sf_dir))), "update", _scratch(spark))
+    return _run_to_table(job_status(_job_events(_events(spark, sf_dir))), "job_id", shared_folder(spark, "stream"))
 
 
 @query(
     "stream_intake",
-    "SELECT DISTINCT source AS folder, 'office' AS kind FROM documents",
+    "SELECT source AS folder, 'office' AS kind, sum(2 * strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY source",
 )
 def _stream_intake(spark, sf_dir):
-    """Documents written out as one file per source, then taken in."""
-    root = _scratch(spark)
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
-    docs.repartition("source").write.partitionBy("source").csv(f"{root}/in")
-    stream_intake(spark, f"{root}/in", f"{root}/catalog", f"{root}/state").awaitTermination()
+    """Whole texts written out as one file per source, half of the sources after the first run, and taken in."""
+    root = shared_folder(spark, "intake")
+    docs = table(spark, sf_dir, "documents").select("source", F.hex("text").alias("text"))
+    early = F.pmod(F.crc32("source"), F.lit(2)) == 0
+    for part in (docs.filter(early), docs.filter(~early)):
+        part.repartition("source").write.mode("append").partitionBy("source").csv(f"{root}/in")
+        stream_intake(spark, f"{root}/in", f"{root}/catalog", f"{root}/state").awaitTermination()
     taken = spark.read.parquet(f"{root}/catalog")
-    return taken.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), "kind")
+    return taken.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), "kind", "size")

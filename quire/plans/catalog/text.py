@@ -14,7 +14,7 @@ from quire.plans.registry import query
 from quire.plans.roles import LINES, lines, table
 
 PHRASES = [" The ", "ing on", "e", "über", "Anat", "12"]
-USED = "(VALUES ('The'), ('ing on'), ('über'), ('Anat'), ('12')) AS q(query)"
+USED = "(VALUES ('The'), ('ing on'), ('e'), ('über'), ('Anat'), ('12')) AS q(query)"
 
 
 @query(
@@ -33,8 +33,8 @@ def _snippet_sql(text: str, needle: str) -> str:
     WITH {LINES},
     hits AS (
         SELECT doc_id, page, text, query, instr({text}, {needle}) AS hit FROM lines, {USED} WHERE contains({text}, {needle})),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY doc_id, page)::INTEGER AS hit_no FROM hits),
-    placed AS (SELECT *, greatest(hit - 40, 1) AS start FROM ranked WHERE hit_no <= 100)
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query, doc_id ORDER BY page) AS hit_no FROM hits),
+    placed AS (SELECT *, greatest(hit - 40, 1) AS start FROM ranked)
     SELECT doc_id, page, query, hit_no,
            concat(CASE WHEN start > 1 THEN '…' ELSE '' END,
                   regexp_replace(substr(text, start, hit - start), '\\s+', ' ', 'g')) AS before,
@@ -82,7 +82,7 @@ def _effective_text(spark, sf_dir):
         SELECT n_regionkey, 2, c_name, n_nationkey, c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey + 1 END
         FROM customer JOIN nation ON n_nationkey = c_nationkey)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b)::INTEGER AS item_no, title, page, level
-    FROM n WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a, b) <= 5000
+    FROM n WHERE title <> ''
     """,
 )
 def _outline(spark, sf_dir):
@@ -216,12 +216,15 @@ def _fold_text(spark, sf_dir):
         SELECT doc_id, source, coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip
         FROM counts JOIN documents USING (doc_id)),
     hits AS (
-        SELECT doc_id, page, query, row_number() OVER (PARTITION BY query ORDER BY doc_id, page)::INTEGER AS hit_no
-        FROM lines, (VALUES ('the'), ('nicht')) AS q(query) WHERE contains(lower(text), query))
-    SELECT doc_id, page, query, hit_no, source, concat('DOC-', lpad((skip + page)::VARCHAR, 6, '0')) AS label
-    FROM hits JOIN offsets USING (doc_id) WHERE hit_no <= 100
+        SELECT doc_id, page, query, row_number() OVER (PARTITION BY query, doc_id ORDER BY page) AS hit_no,
+               instr(lower(text), query) AS hit, text FROM lines, (VALUES ('the'), ('nicht')) AS q(query) WHERE contains(lower(text), query))
+    SELECT doc_id, page, query, hit_no, source, concat('DOC-', lpad((skip + page)::VARCHAR, 6, '0')) AS label,
+           substr(text, hit, length(query)) AS match,
+           concat(CASE WHEN hit > 41 THEN '…' ELSE '' END,
+                  regexp_replace(substr(text, greatest(hit - 40, 1), hit - greatest(hit - 40, 1)), '\\s+', ' ', 'g')) AS before,
+           regexp_replace(substr(text, hit + length(query), 60) || '…', '\\s+', ' ', 'g') AS after
+    FROM hits JOIN offsets USING (doc_id)
     """,
 )
 def _search_corpus(spark, sf_dir):
-    found = search_corpus(table(spark, sf_dir, "documents"), ["the", "nicht"], sep="\n", prefix="DOC-")
-    return found.select("doc_id", "page", "query", "hit_no", "source", "label")
+    return search_corpus(table(spark, sf_dir, "documents"), ["the", "nicht"], sep="\n", prefix="DOC-")

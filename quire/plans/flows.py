@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.assemble import combine, split_every
-from quire.operators.labels import bates
+from quire.operators.labels import page_label
 from quire.operators.quality import drop_blank, is_blank_page, luma_stats
 from quire.operators.search import search_snippets
-from quire.operators.text import cap_text, effective_text, split_pages
+from quire.operators.text import effective_text, head, page_count, split_pages
+from quire.plans.blocks import prefix_sums
 
 
 def search_corpus(
@@ -22,25 +23,27 @@ def search_corpus(
     prefix: str = "",
     pad: int = 6,
     library: str = "source",
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Hits of phrases over a corpus: page, snippet and a running page label.
 
     ``documents`` is (doc_id, text, library). Pages are numbered through all
     documents of a library in document order, as if they were one volume.
+    Phrases are looked for where the text is read, so only hits move, and a label
+    is the number of pages before the document plus the page: no page rows are
+    made for it. ``max_bytes`` cuts each text before its pages are made.
     """
-    pages = split_pages(documents, sep=sep)
-    counts = pages.groupBy("doc_id").agg(F.max("page").alias("page_count"))
-    files = documents.select("doc_id", library).join(counts, "doc_id").select(
-        F.col(library).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("uid"), "page_count"
-    )
-    numbered = bates(combine(files), prefix=prefix, pad=pad).select(
-        F.col("doc_id").alias(library), F.col("uid").alias("doc_id"), "page", "label"
-    )
-    searched = cap_text(pages)
+    searched = documents.select("doc_id", head(F.col("text"), max_bytes).alias("text"))
+    pages = split_pages(searched, sep=sep)
     if ocr is not None:
-        searched = effective_text(searched, ocr)
-    hits = search_snippets(searched, phrases)
-    return hits.join(numbered, ["doc_id", "page"])
+        pages = effective_text(pages, ocr)
+    hits = search_snippets(pages, phrases)
+    counted = documents.select("doc_id", library, page_count(F.col("text"), sep).alias("page_count"))
+    counted = counted.filter(F.col("page_count") > 0)
+    before = prefix_sums(counted, [library], "doc_id", {"__before": F.col("page_count").cast("bigint")})
+    labelled = hits.join(before.select("doc_id", library, "__before"), "doc_id")
+    number = F.col("__before") + F.col("page")
+    return labelled.withColumn("label", page_label(number, prefix, pad)).drop("__before")
 
 
 def remove_blank_pages(

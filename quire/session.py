@@ -14,8 +14,9 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # a join on the document must not decide where its page blocks are worked on
     "spark.sql.requireAllClusterKeysForDistribution": "true",
-    # page trees and outlines recurse over whole corpora; depth stays limited, rows do not
+    # page trees and outlines recurse over whole corpora, as deep as they go
     "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.cteRecursionLevelLimit": "-1",
     # state of a stream lives on disk, not in executor memory
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -85,3 +85,14 @@ def test_number_units(spark):
     for bits in (0, 1, 3, 16):
         got = rows(B.number_units(df, ["k"], "n", "u", bits), "k", "u")
         assert got == [(k, u) for k, n in ((1, 5), (4, 1), (5, 9)) for u in range(1, n + 1)]
+
+
+def test_rows_without_key_or_order_stay(spark):
+    rows = [(None, 3), (None, 1), ("a", None), ("a", 5), ("a", 200_000), ("b", 7)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    got = {(r["k"], r["o"]): r["n"] for r in B.row_numbers(df, ["k"], "o", "n").collect()}
+    assert got == {(None, 1): 1, (None, 3): 2, ("a", None): 1, ("a", 5): 2, ("a", 200_000): 3, ("b", 7): 1}
+    runs = B.run_numbers(df, ["k"], "o", ["o"], lambda a, b: ~F.coalesce(b["o"] == a["o"] + 2, F.lit(False)), "run")
+    assert {(r["k"], r["o"]): r["run"] for r in runs.collect()} == {
+        (None, 1): 1, (None, 3): 1, ("a", None): 1, ("a", 5): 2, ("a", 200_000): 3, ("b", 7): 1,
+    }

@@ -92,6 +92,15 @@ def test_move_file(spark, src, dst, order):
     assert [r["uid"] for r in got if r["active"]] == ["b"]
 
 
+def test_moves_of_a_document_in_order(spark):
+    df = spark.createDataFrame([(d, i, u) for d in (1, 2) for i, u in enumerate("abcd")], "doc_id int, ord int, uid string")
+    moves = spark.createDataFrame([(1, 5, 3, 0), (1, 2, 0, 3), (1, 9, 1, 7), (2, 1, 1, 2)], "doc_id int, seq int, src int, dst int")
+    got = A.move_file(df, moves).orderBy("doc_id", "ord").collect()
+    assert "".join(r["uid"] for r in got) == "abcd" + "acbd"
+    moves = spark.createDataFrame([(1, 1, 0, 3), (1, 2, 0, 1)], "doc_id int, seq int, src int, dst int")
+    assert "".join(r["uid"] for r in A.move_file(df, moves).filter("doc_id = 1").orderBy("ord").collect()) == "cbda"
+
+
 def test_merge_and_split_back(spark):
     pages = pages_of(spark, {1: 3, 2: 2, 3: 4})
     merges = spark.createDataFrame([("t", 5, 3), ("t", 1, 1), ("t", 9, 1), ("u", 1, 2)], "target string, ord int, source int")
@@ -193,7 +202,7 @@ def test_sheet_plan(spark, mode, n, sheets):
         F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("page"),
         geo.box(F.lit(0), F.lit(0), F.lit(612), F.lit(792)).alias("box"), F.lit(0).alias("rotate"),
     )
-    plan, errors = A.sheet_plan(docs, boxes, mode, 842, 595)
+    plan, errors = A.sheet_plan(docs, boxes, mode, 842, 595, max_sheets=2000)
     got = {}
     for r in plan.orderBy("sheet", "slot").collect():
         got.setdefault(r["sheet"], []).append(r["page"])
@@ -254,7 +263,8 @@ def test_tile_plan_limit(spark):
         F.lit(1).alias("doc_id"), F.lit(1).alias("page"), geo.box(F.lit(0), F.lit(0), F.lit(20000), F.lit(20000)).alias("box"),
         F.lit(0).alias("rotate"),
     )
-    tiles, errors = A.tile_plan(df)
+    assert A.tile_plan(df)[0].count() > 600 and A.tile_plan(df)[1].count() == 0
+    tiles, errors = A.tile_plan(df, max_tiles=600)
     assert tiles.count() == 0 and errors.first()["error"] == "TOO_MANY_TILES"
 
 
@@ -272,6 +282,17 @@ def test_z_order(spark, oid, direction, order):
     assert [r["ord"] for r in got] == [1, 2, 3]
 
 
+def test_z_order_of_several_moves(spark):
+    annots = spark.createDataFrame([(1, 0, u, i * 10) for i, u in enumerate("abc")], "doc_id int, page_index int, id string, ord int")
+    kind = "doc_id int, seq int, id string, dir string"
+    for moves, order in (
+        ([(1, 1, "a", "front"), (1, 2, "b", "front")], "cab"), ([(1, 2, "a", "front"), (1, 1, "b", "front")], "cba"),
+        ([(1, 1, "a", "forward"), (1, 2, "a", "forward"), (1, 3, "a", "forward")], "bca"), ([(1, 1, "c", "back"), (1, 2, "a", "backward")], "acb"),
+    ):
+        got = z_order(annots, spark.createDataFrame(moves, kind), bits=1).orderBy("ord").collect()
+        assert ("".join(r["id"] for r in got), [r["ord"] for r in got]) == (order, [1, 2, 3])
+
+
 def test_recent_jobs(spark):
     jobs = spark.createDataFrame(
         [("a", 1, "failed"), ("b", 2, "completed"), ("a", 3, "completed"), ("c", 0, "cancelled")], "id string, finished_at long, status string"

@@ -42,6 +42,8 @@ def strict(one, spec, count=None, **kw):
         ("7", 0, False, [7], None),
         ("99999999999999999999999", 5, False, None, "OUT_OF_RANGE"),
         ("1-4000000000", None, False, None, "TOO_MANY_PAGES"),
+        ("4000000000", None, False, None, "TOO_LARGE"),
+        ("9999999999999999999", None, False, None, "TOO_LARGE"),
         ("007", None, False, [7], None),
     ],
 )
@@ -154,3 +156,26 @@ def test_format_then_parse_is_identity(spark, sets):
     back = df.select("i", "pages", R.parse_range(R.format_page_list("pages")).alias("r"))
     for row in back.collect():
         assert row["r"]["pages"] == row["pages"] and row["r"]["error"] is None
+
+
+def test_long_numbers_are_read_whole(one):
+    zeros = "+" + "0" * 70 + "5"
+    assert one(R.parse_range_lenient(F.lit(zeros)))["pages"] == [5]
+    assert one(R.expand_spec(F.lit(zeros), F.lit(9)))["pages"] == [5]
+    assert one(R.is_full_range(F.lit(f"1-{zeros}"), F.lit(5)))
+
+
+def test_more_than_a_million_pages(one):
+    found = one(R.parse_range(F.lit("1-1000001"), max_pages=None))
+    assert found["error"] is None and len(found["pages"]) == 1_000_001
+    assert one(R.parse_range(F.lit("1-1000001"), max_pages=1000))["error"] == "TOO_MANY_PAGES"
+
+
+def test_pages_as_rows(spark):
+    from quire.operators.select import listed_pages
+
+    df = spark.createDataFrame([(1, "5-3,9"), (2, "1-300000"), (3, "x")], "doc_id int, spec string")
+    df = df.withColumn("parsed", R.parse_range_segments("spec"))
+    rows = listed_pages(df.select("doc_id", F.col("parsed.segments").alias("segments")))
+    assert [r["page"] for r in rows.filter("doc_id = 1").orderBy("item").collect()] == [5, 4, 3, 9]
+    assert rows.filter("doc_id = 2").agg(F.count("*"), F.max("page"), F.max("item")).first()[:] == (300000, 300000, 300000)

@@ -1,12 +1,10 @@
 """Streams against their batch twins, with restarts."""
 
-import json
+import os
+import time
 
-import pytest
 from pyspark.sql import functions as F
 
-from quire.plans.catalog.streams import edit_log
-from quire.streaming.edits import Replay, edit_replay, edit_replay_stream
 from quire.streaming.intake import stream_intake
 from quire.streaming.jobs import job_status
 
@@ -41,104 +39,6 @@ def test_job_status_stream_restarts(spark, tmp_path):
     assert {r["job_id"]: (r["seq"], r["state"], r["step"], r["percent"]) for r in final.collect()} == STATUS
 
 
-def obj(oid, page=0, **rect):
-    return {"id": oid, "kind": "rect", "pageIndex": page, "rect": {"x": 10, "y": 20, "w": 100, "h": 50, **rect}}
-
-
-def add(oid, page=0):
-    return ("ADD", {"object": obj(oid, page)})
-
-
-def update(oid, **rect):
-    return ("UPDATE", {"id": oid, "patch": {"rect": {"x": 1, "y": 2, "w": 3, "h": 4, **rect}}})
-
-
-UNDO, REDO, BEGIN, END = ("UNDO", {}), ("REDO", {}), ("BEGIN_GESTURE", {}), ("END_GESTURE", {})
-
-# log, ids left, x of the first object, undo left, redo left
-LOGS = {
-    "empty": ([("SELECT", {"ids": ["a"]})], "", None, False, False),
-    "undo": ([add("a"), UNDO], "", None, False, True),
-    "redo": ([add("a"), UNDO, REDO], "a", 10, True, False),
-    "delete": ([add("a"), add("b"), add("c"), ("DELETE", {"ids": ["a", "c"]})], "b", 10, True, False),
-    "delete undone": ([add("a"), add("b"), ("DELETE", {"ids": ["a"]}), UNDO], "ab", 10, True, True),
-    "delete nothing": ([add("a"), UNDO, ("DELETE", {"ids": []})], "", None, False, True),
-    "select keeps redo": ([add("a"), UNDO, ("SELECT", {"ids": []}), ("CLEAR_SELECTION", {})], "", None, False, True),
-    "gesture": ([add("a"), BEGIN, update("a", x=50), update("a", x=80), END], "a", 80, True, False),
-    "gesture undone": ([add("a"), BEGIN, update("a", x=50), update("a", x=80), END, UNDO], "a", 10, True, True),
-    "gesture undone twice": ([add("a"), BEGIN, update("a", x=50), update("a", x=80), END, UNDO, UNDO], "", None, False, True),
-    "idle gesture keeps redo": ([add("a"), add("b"), UNDO, BEGIN, END], "a", 10, True, True),
-    "update undone": ([add("a"), update("a"), UNDO], "a", 10, True, True),
-    "unknown update pushes": ([add("a"), update("zz"), UNDO], "a", 10, True, True),
-    "flipped": ([add("a"), update("a", x=10, w=-4)], "a", 6, True, False),
-    "many": ([add("a"), ("ADD_MANY", {"objects": [obj("b"), obj("c")]})], "abc", 10, True, False),
-    "many undone": ([add("a"), ("ADD_MANY", {"objects": [obj("b"), obj("c")]}), UNDO], "a", 10, True, True),
-    "front": ([add("a"), add("b"), add("c", 1), ("REORDER", {"id": "a", "dir": "front"})], "bac", 10, True, False),
-    "backward": ([add("a"), add("b"), add("c", 1), ("REORDER", {"id": "a", "dir": "front"}), ("REORDER", {"id": "a", "dir": "backward"})], "abc", 10, True, False),
-    "reorder no-op keeps redo": ([add("a"), add("b"), UNDO, ("REORDER", {"id": "a", "dir": "front"})], "a", 10, True, True),
-    "replace": ([add("a"), ("REPLACE", {"document": {"objects": [obj("z")]}})], "z", 10, False, False),
-    "reset": ([add("a"), ("RESET", {})], "", None, False, False),
-    "rebind": ([add("a"), ("REBIND", {"present": {"objects": [obj("a")]}, "past": [{"objects": []}], "future": []}), UNDO], "", None, False, True),
-}
-
-
-@pytest.mark.parametrize("name", LOGS)
-def test_replay_rules(name):
-    log, ids, x, undo, redo = LOGS[name]
-    doc = Replay()
-    for action, payload in log:
-        doc.apply(action, json.dumps(payload))
-        doc = Replay(doc.saved())  # state survives every step
-    assert "".join(o["id"] for o in doc.present) == ids
-    assert (doc.present[0]["rect"]["x"] if doc.present else None) == x
-    assert (bool(doc.past), bool(doc.future)) == (undo, redo)
-
-
-def test_history_is_capped():
-    doc = Replay()
-    for i in range(130):
-        doc.apply("ADD", json.dumps({"object": obj(str(i))}))
-    assert len(doc.past) == 100 and len(doc.present) == 130
-
-
-def test_replay_of_many_documents(spark):
-    rows = []
-    for d, name in enumerate(LOGS):
-        rows += [(d, i, a, json.dumps(p)) for i, (a, p) in enumerate(LOGS[name][0])]
-    log = spark.createDataFrame(rows[::-1], "doc_id long, seq long, action string, payload string")
-    got = {}
-    for r in edit_replay(log).orderBy("doc_id", "ord").collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], "") + r["id"]
-        assert (r["can_undo"], r["can_redo"]) == LOGS[list(LOGS)[r["doc_id"]]][3:]
-    assert got == {d: LOGS[n][1] for d, n in enumerate(LOGS) if LOGS[n][1]}
-
-
-def test_replay_stream_equals_batch_after_restart(spark, tmp_path):
-    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    schema = events.schema
-    middle = 500
-    latest = {}
-    for part in (events.filter(F.col("event_id") < middle), events.filter(F.col("event_id") >= middle)):
-        part.coalesce(1).write.mode("append").parquet(src)
-
-        def save(batch, _):
-            fresh = {}
-            for r in batch.collect():
-                fresh.setdefault(r["doc_id"], []).append(tuple(r))
-            latest.update(fresh)
-
-        stream = edit_replay_stream(edit_log(spark.readStream.schema(schema).parquet(src)))
-        q = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state)
-        q.trigger(availableNow=True).start().awaitTermination()
-    batch = {}
-    for r in edit_replay(edit_log(events)).collect():
-        batch.setdefault(r["doc_id"], []).append(tuple(r))
-    # a document whose last state is empty emits no rows, so compare the others
-    assert batch and all(sorted(latest[d]) == sorted(rows) for d, rows in batch.items())
-    assert out
-
-
 def test_stream_intake_restarts(spark, tmp_path):
     src, target, state = (tmp_path / n for n in ("in", "catalog", "state"))
     src.mkdir()
@@ -153,3 +53,16 @@ def test_stream_intake_restarts(spark, tmp_path):
     (src / "d.docx").write_bytes(b"xyz")
     assert take() == [("a.pdf", "pdf", 1), ("b.PNG", "image", 1), ("d.docx", "office", 3)]
     assert len({r["uid"] for r in spark.read.parquet(str(target)).collect()}) == 3
+
+
+def test_stream_intake_takes_late_files(spark, tmp_path):
+    src, target, state = (tmp_path / n for n in ("in", "catalog", "state"))
+    src.mkdir()
+    (src / "new.pdf").write_bytes(b"x")
+    stream_intake(spark, str(src), str(target), str(state)).awaitTermination()
+    old = time.time() - 30 * 86400
+    for name in ("old.pdf", "newer.pdf"):
+        (src / name).write_bytes(b"x")
+    os.utime(src / "old.pdf", (old, old))
+    stream_intake(spark, str(src), str(target), str(state)).awaitTermination()
+    assert {r["name"] for r in spark.read.parquet(str(target)).collect()} == {"new.pdf", "old.pdf", "newer.pdf"}
