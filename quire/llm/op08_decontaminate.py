@@ -123,9 +123,11 @@ def decontaminate(
     documents: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", text: str = "text"
 ) -> DataFrame:
     """Documents without contaminated ones, or, with ``remove="spans"``, all documents without the words that hit."""
-    marked = mark(documents, items, n, text)
     if remove == "documents":
-        return marked.filter(~F.col("contaminated")).select(*documents.columns)
+        hit = hits(documents, items, n, text).filter("hash IS NOT NULL").select(F.col("__text").alias("__hit")).distinct()
+        rows = documents.withColumn("__text", F.md5(text))
+        return rows.join(hit, F.col("__text") == F.col("__hit"), "left_anti").select(*documents.columns)
+    marked = mark(documents, items, n, text)
     source = F.col(text)
     words, gaps = F.array_remove(F.split(source, APART), ""), F.split(source, WORD, -1)
     at = F.sequence(F.lit(0).cast("long"), F.col("n_words") - 1)
