@@ -4,28 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm.op08_decontaminate import decontaminate
+from quire.llm import op03_language, op04_mix, op05_similar, op07_token_files, op08_decontaminate
 from quire.session import prepare, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Least share of a text that its language must have.
+MIN_SHARE = 0.5
+VOCABULARY = "word_bpe_49k.json"
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or without one that has half of the text, go; labels among the documents teach it."""
+    prepare(spark)
+    aside = {c: f"__{c}" for c in docs.columns if c in op03_language.RESULT}
+    found = op03_language.identify(docs.withColumnsRenamed(aside), *op03_language.learn(docs))
+    good = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE)).drop(*op03_language.RESULT)
+    return good.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with similar shingles, and of equal ones, one stays."""
+    prepare(spark)
+    return op05_similar.one_of_each(docs)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    prepare(spark)
+    return op08_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("benchmark_decontamination", clean_of_benchmarks)]
-# the first and last stages are a trained model and files of token ids
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources ask for."""
+    prepare(spark)
+    return op04_mix.mix(docs)
+
+
+def as_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Files of token ids, and from them the place, number and checksum of every document's ids."""
+    prepare(spark)
+    path = op07_token_files.write_tokens(docs, shared_folder(spark, "tokens"), public_tokenizers.path(VOCABULARY))
+    return op07_token_files.read_tokens(spark, path, with_ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", in_a_language),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", clean_of_benchmarks),
+    ("mixing_sources", mixed),
+    ("token_files", as_token_files),
+]
+# the first stage is a trained model and the last one a tokenizer; tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written and read again as the next one's input."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark, "pipeline")
     for place, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{place}_{name}"
