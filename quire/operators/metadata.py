@@ -33,8 +33,9 @@ def meta_edit(docs: DataFrame, edits: DataFrame) -> DataFrame:
     stay; ``clear_all`` empties the map. Several edits of a document are applied in
     the order of their ``seq``. Documents without an edit are unchanged.
     """
-    kind = docs.schema["info"].dataType
-    binary = isinstance(kind.valueType, T.BinaryType)
+    stored = docs.schema["info"].dataType
+    binary = isinstance(stored.valueType, T.BinaryType)
+    kind = T.MapType(stored.keyType, stored.valueType, True)
     seq = [c for c in ("seq",) if c in edits.columns]
     empty = F.create_map().cast(kind)
 
@@ -53,7 +54,7 @@ def meta_edit(docs: DataFrame, edits: DataFrame) -> DataFrame:
         return F.when(edit["clear"], empty).otherwise(F.map_concat(kept, F.map_from_entries(edit["set"]))).cast(kind)
 
     edited = F.when(F.col("__edits").isNull(), F.col("info")).otherwise(
-        F.aggregate("__edits", F.coalesce(F.col("info"), empty), applied)
+        F.aggregate("__edits", F.coalesce(F.col("info").cast(kind), empty), applied)
     )
     return docs.join(by_doc, "doc_id", "left").select(
         *[c if c != "info" else edited.alias("info") for c in docs.columns]

