@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as geo
 from quire.functions import let
-from quire.functions.ranges import lenient_segments
+from quire.functions.ranges import U32_MAX, lenient_segments
 from quire.plans.blocks import (
     ORDER_BITS,
     block,
@@ -17,10 +17,10 @@ from quire.plans.blocks import (
     number_units,
     prefix_sums,
     range_join,
+    row_numbers,
     run_numbers,
 )
 
-GROUP_PART_BITS = 12
 MIN_SHEET = 72.0
 MIN_TILE = 36.0
 GUTTER = 12.0
@@ -146,24 +146,20 @@ def group_runs(
     path: str = "path",
     page: str = "page",
     bits: int = ORDER_BITS,
-    part_bits: int = GROUP_PART_BITS,
 ) -> DataFrame:
-    """(keys, group_no, path, part, pages): neighbouring picks of one file.
+    """(keys, group_no, path, item, page): neighbouring picks of one file, one row each.
 
-    A file that returns later opens a new group. A part holds the pages of one
-    group inside one stretch of ``2**part_bits`` positions; parts in order make
-    the whole group.
+    A file that returns later opens a new group; ``item`` numbers the picks of a
+    group from 1.
     """
     src = picks.select(
-        *keys, F.col(order).alias("__ord"), F.col(path).alias("path"), F.col(page).alias("__page")
+        *keys, F.col(order).alias("__ord"), F.col(path).alias("path"), F.col(page).alias("page")
     )
     numbered = run_numbers(
         src, keys, "__ord", ["path"], lambda prev, cur: ~cur["path"].eqNullSafe(prev["path"]), "group_no", bits
     )
-    ordered = F.sort_array(F.collect_list(F.struct("__ord", "__page")))
-    return numbered.groupBy(*keys, "group_no", "path", block("__ord", part_bits).alias("part")).agg(
-        F.transform(ordered, lambda p: p["__page"]).alias("pages")
-    )
+    items = row_numbers(numbered, [*keys, "group_no"], "__ord", "item", bits)
+    return items.select(*keys, "group_no", "path", "item", "page")
 
 
 def rotate(pages: DataFrame, rotations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,31 +173,30 @@ def rotate(pages: DataFrame, rotations: DataFrame) -> tuple[DataFrame, DataFrame
         "doc_id", "angle", "spec", F.lit("INVALID_ANGLE").alias("error")
     )
     whole = (F.col("spec") == "") | (F.lower("spec") == "all")
-    usable = rotations.filter(good)
-    everywhere = usable.filter(whole).groupBy("doc_id").agg(F.sum("angle").alias("__all"))
-    parsed = usable.filter(~whole).withColumn("__s", lenient_segments("spec"))
-    broken = parsed.filter(F.col("__s.error").isNotNull()).select(
-        "doc_id", "angle", "spec", F.col("__s.error").alias("error")
-    )
-    segments = parsed.select("doc_id", "angle", F.explode("__s.segments").alias("__g")).select(
-        "doc_id",
-        F.col("angle").alias("__angle"),
-        F.col("__g.lo").alias("__lo"),
-        F.col("__g.hi").alias("__hi"),
+    parsed = rotations.filter(good).withColumn("__s", F.when(~whole, lenient_segments("spec")))
+    broken = parsed.filter(F.col("__s.error").isNotNull() | F.col("spec").isNull()).select(
+        "doc_id", "angle", "spec", F.coalesce("__s.error", F.lit("INVALID_PAGES")).alias("error")
     )
-    segments = clip(segments, pages, ["doc_id"], "pos", "__hi")
-    turned = (
-        range_join(pages.select("doc_id", "pos"), segments, ["doc_id"], "pos", "__lo", "__hi")
-        .groupBy("doc_id", "pos")
-        .agg(F.sum("__angle").alias("__some"))
+    everything = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.lit(U32_MAX).cast("bigint").alias("hi")))
+    groups = parsed.filter(F.col("__s.error").isNull() & F.col("spec").isNotNull()).select(
+        "doc_id", "angle", F.explode(F.when(F.col("__s").isNull(), everything).otherwise(F.col("__s.segments"))).alias("__g")
     )
-    total = (
-        F.col("rotate")
-        + F.coalesce(F.col("__all"), F.lit(0))
-        + F.coalesce(F.col("__some"), F.lit(0))
+    # an angle begins at lo and ends after hi: running sums give stretches that do not overlap
+    edge = F.array(
+        F.struct(F.col("__g.lo").alias("at"), F.col("angle").cast("bigint").alias("by")),
+        F.struct((F.col("__g.hi") + 1).alias("at"), (-F.col("angle").cast("bigint")).alias("by")),
     )
-    out = pages.join(everywhere, "doc_id", "left").join(turned, ["doc_id", "pos"], "left")
-    angle = F.pmod(total, F.lit(360)).cast("int").alias("rotate")
+    edges = groups.select("doc_id", F.explode(edge).alias("__e")).groupBy("doc_id", "__e.at").agg(F.sum("__e.by").alias("by"))
+    along = Window.partitionBy("doc_id").orderBy("at")  # edges of instructions, not pages
+    stretches = edges.select(
+        "doc_id",
+        F.col("at").alias("__lo"),
+        (F.lead("at").over(along) - 1).alias("__hi"),
+        F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("__turn"),
+    ).filter("__turn <> 0")
+    stretches = clip(stretches, pages, ["doc_id"], "pos", "__hi")
+    out = range_join(pages, stretches, ["doc_id"], "pos", "__lo", "__hi", "left")
+    angle = F.pmod(F.col("rotate") + F.coalesce("__turn", F.lit(0)), F.lit(360)).cast("int").alias("rotate")
     return out.select(*[c if c != "rotate" else angle for c in pages.columns]), wrong.unionByName(broken)
 
 

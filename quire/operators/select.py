@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.ranges import lenient_segments, spec_segments
-from quire.plans.blocks import ORDER_BITS, block, clip, number_units, prefix_sums, range_join, run_numbers
-
-PART_BITS = 12
+from quire.plans.blocks import ORDER_BITS, clip, number_units, prefix_sums, range_join, run_numbers
 
 
 def page_runs(
@@ -38,22 +36,16 @@ def format_ranges(
     page: str,
     order: str | None = None,
     bits: int = ORDER_BITS,
-    part_bits: int = PART_BITS,
 ) -> DataFrame:
-    """(keys, part, spec) such as "1,3-4,6"; runs keep the input order.
+    """(keys, run, spec): "1", "3-4", "6", one row for each run, numbered from 1; runs keep the input order.
 
-    A part holds at most ``2**part_bits`` runs; the parts of one key joined by
-    commas are its whole spec. Only very ragged lists have more than part 0.
+    The runs of one key joined by commas are its whole spec.
     """
     runs = page_runs(df, keys, page, order or page, bits)
     text = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(
         F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string"))
     )
-    runs = runs.select(*keys, block(F.col("run") - 1, part_bits).alias("part"), "run", text.alias("__text"))
-    ordered = F.sort_array(F.collect_list(F.struct("run", "__text")))
-    return runs.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(ordered, lambda r: r["__text"]), ",").alias("spec")
-    )
+    return runs.select(*keys, "run", text.alias("spec"))
 
 
 def delete_pages(

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_blank
-from quire.plans.blocks import BLOCK, ORDER_BITS, block
+from quire.plans.blocks import BLOCK, ORDER_BITS, block, prefix_sums
 
-PART_BITS = 8
+#: Bytes of joined text in one row.
+PART_BYTES = 16 << 20
 
 
 def head(text: Column, max_bytes: int | None) -> Column:
@@ -101,14 +102,14 @@ def cap_text(
 
 
 def export_text(
-    pages: DataFrame, ranges: DataFrame, key: str = "doc_id", part_bits: int = PART_BITS
+    pages: DataFrame, ranges: DataFrame, key: str = "doc_id", part_bytes: int = PART_BYTES, bits: int = ORDER_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """Text of pages ``first``..``last`` of each document, and the refused ranges.
 
     ``ranges`` is (key, first, last) with null for an open end. The text comes in
-    parts of at most ``2**part_bits`` pages; parts of one document joined by a
-    form feed, in order, are its whole text. Only very long documents have more
-    than part 0.
+    parts: one begins with the first page after each ``part_bytes``, so a part is
+    shorter than that or a page longer. Parts of one document joined by a form
+    feed, in order, are its whole text.
     """
     reversed_range = F.coalesce(F.col("first") > F.col("last"), F.lit(False))
     errors = ranges.filter(reversed_range).select(key, F.lit("INVALID_RANGE").alias("error"))
@@ -121,10 +122,12 @@ def export_text(
         (F.col("page") >= F.col("__first"))
         & (F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
     )
-    part = block(F.col("page") - F.col("__first"), part_bits)
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
+    placed = prefix_sums(chosen.select(key, "page", "text"), [key], "page", {"__before": size}, bits)
+    part = F.floor(F.col("__before") / part_bytes).cast("bigint")
     ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     text = (
-        chosen.groupBy(key, part.alias("part"))
+        placed.groupBy(key, part.alias("part"))
         .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\f").alias("text"))
     )
     return text, errors

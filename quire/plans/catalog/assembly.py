@@ -178,8 +178,8 @@ def _assemble_errors(spark, sf_dir):
     numbered AS (
         SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no
         FROM flagged)
-    SELECT doc_id, group_no, path, event_id >> 12 AS part, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS pages
-    FROM numbered GROUP BY ALL
+    SELECT doc_id, group_no, path, row_number() OVER (PARTITION BY doc_id, group_no ORDER BY event_id) AS item, event_id AS page
+    FROM numbered
     """,
 )
 def _group_runs(spark, sf_dir):
@@ -187,8 +187,7 @@ def _group_runs(spark, sf_dir):
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("path"),
         F.col("event_id").alias("page"),
     )
-    groups = A.group_runs(picks)
-    return groups.withColumn("pages", F.array_join("pages", ","))
+    return A.group_runs(picks)
 
 
 ROTATIONS = {

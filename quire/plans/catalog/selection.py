@@ -252,9 +252,9 @@ def _parse_split_ranges(spark, sf_dir):
     islands AS (
         SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS g FROM kept),
     runs AS (SELECT doc_id, g, min(page) AS a, max(page) AS b FROM islands GROUP BY 1, 2)
-    SELECT doc_id, 0::BIGINT AS part,
-           string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE concat(a, '-', b) END, ',' ORDER BY a) AS spec
-    FROM runs GROUP BY 1
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS run,
+           CASE WHEN a = b THEN a::VARCHAR ELSE concat(a, '-', b) END AS spec
+    FROM runs
     """,
 )
 def _format_ranges(spark, sf_dir):

@@ -94,15 +94,18 @@ RANGES = "CAST(doc_id % 7 AS INT) AS first, CASE WHEN lang = 'de' THEN NULL ELSE
     "export_text",
     f"""
     WITH {LINES}, r AS (SELECT doc_id, {RANGES} FROM documents)
-    SELECT doc_id, ((page - greatest(first, 1)) >> 8)::BIGINT AS part, string_agg(text, chr(12) ORDER BY page) AS text
-    FROM lines JOIN r USING (doc_id)
-    WHERE (last IS NULL OR first <= last) AND page >= greatest(first, 1) AND (last IS NULL OR page <= last)
+    SELECT doc_id, (before // 1000)::BIGINT AS part, string_agg(text, chr(12) ORDER BY page) AS text
+    FROM (
+        SELECT doc_id, page, text, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY page
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM lines JOIN r USING (doc_id)
+        WHERE (last IS NULL OR first <= last) AND page >= greatest(first, 1) AND (last IS NULL OR page <= last))
     GROUP BY 1, 2
     """,
 )
 def _export_text(spark, sf_dir):
     ranges = table(spark, sf_dir, "documents").selectExpr("doc_id", *RANGES.split(", "))
-    return export_text(lines(spark, sf_dir), ranges)[0]
+    return export_text(lines(spark, sf_dir), ranges, part_bytes=1000)[0]
 
 
 @query(

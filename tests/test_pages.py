@@ -39,13 +39,12 @@ def test_extract(spark):
 
 
 @pytest.mark.parametrize("bits", [0, 1, 16])
-@pytest.mark.parametrize("part_bits", [0, 12])
-def test_format_ranges_keeps_order_and_stitches_parts(spark, bits, part_bits):
+def test_format_ranges_keeps_order(spark, bits):
     lists = {1: [1, 2, 3, 5, 7, 8], 2: [1, 3, 4, 6], 3: [2], 4: [5, 4, 3, 9, 10, 10]}
     data = [(k, i, p) for k, ps in lists.items() for i, p in enumerate(ps)]
     df = spark.createDataFrame(data, "k int, i int, page int")
     parts = {}
-    for r in format_ranges(df, ["k"], "page", "i", bits, part_bits).orderBy("k", "part").collect():
+    for r in format_ranges(df, ["k"], "page", "i", bits).orderBy("k", "run").collect():
         parts.setdefault(r["k"], []).append(r["spec"])
     joined = {k: ",".join(v) for k, v in parts.items()}
     assert joined == {1: "1-3,5,7-8", 2: "1,3-4,6", 3: "2", 4: "5,4,3,9-10,10"}
@@ -146,20 +145,24 @@ def test_assemble(spark):
 def test_group_runs(spark, bits):
     picks = [("a", 1), ("a", 3), ("b", 1), ("a", 2), ("a", 2)]
     df = spark.createDataFrame([(1, i, p, g) for i, (p, g) in enumerate(picks)], "doc_id int, pos int, path string, page int")
-    got = A.group_runs(df, bits=bits).orderBy("group_no").collect()
-    assert [(r["group_no"], r["path"], r["pages"]) for r in got] == [(1, "a", [1, 3]), (2, "b", [1]), (3, "a", [2, 2])]
-    split = A.group_runs(df, bits=bits, part_bits=1).orderBy("group_no", "part").collect()
-    assert [(r["group_no"], r["part"], r["pages"]) for r in split] == [(1, 0, [1, 3]), (2, 1, [1]), (3, 1, [2]), (3, 2, [2])]
+    got = A.group_runs(df, bits=bits).orderBy("group_no", "item").collect()
+    assert [tuple(r)[1:] for r in got] == [(1, "a", 1, 1), (1, "a", 2, 3), (2, "b", 1, 1), (3, "a", 1, 2), (3, "a", 2, 2)]
+
+
+def test_a_run_across_a_block_border_is_one(spark):
+    df = spark.createDataFrame([(1, p, "a", p) for p in (65534, 65535, 65536)] + [(2, 900_000, "a", 1)], "doc_id int, pos int, path string, page int")
+    got = A.group_runs(df).orderBy("doc_id", "item").collect()
+    assert [(r["doc_id"], r["group_no"], r["item"]) for r in got] == [(1, 1, 1), (1, 1, 2), (1, 1, 3), (2, 1, 1)]
 
 
 def test_rotate(spark):
     pages = spark.createDataFrame([(1, p, 270) for p in (1, 2, 3)] + [(2, 1, 0)], "doc_id int, pos int, rotate int")
     turns = spark.createDataFrame(
-        [(1, 90, ""), (1, 180, "2-3"), (1, 90, "3-900000000"), (2, 45, "all"), (2, 90, "?")], "doc_id int, angle int, spec string"
+        [(1, 90, ""), (1, 180, "2-3"), (1, 90, "3-900000000"), (2, 45, "all"), (2, 90, "?"), (2, 180, None)], "doc_id int, angle int, spec string"
     )
     turned, errors = A.rotate(pages, turns)
     assert rows(turned, "doc_id", "pos", "rotate") == [(1, 1, 0), (1, 2, 180), (1, 3, 270), (2, 1, 0)]
-    assert rows(errors, "angle", "error") == [(45, "INVALID_ANGLE"), (90, "INVALID_PAGES")]
+    assert rows(errors, "angle", "error") == [(180, "INVALID_PAGES"), (45, "INVALID_ANGLE"), (90, "INVALID_PAGES")]
 
 
 @pytest.mark.parametrize(

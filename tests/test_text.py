@@ -52,7 +52,7 @@ def test_export_text_in_parts(spark):
         [(d, p, f"{d}.{p}") for d in (1, 2, 3) for p in range(1, 8)], "doc_id int, page int, text string"
     )
     ranges = spark.createDataFrame([(1, 0, 3), (2, 5, None), (3, 4, 2)], "doc_id int, first int, last int")
-    text, errors = export_text(pages, ranges, part_bits=1)
+    text, errors = export_text(pages, ranges, part_bytes=8, bits=1)
     parts = {}
     for r in text.orderBy("doc_id", "part").collect():
         parts.setdefault(r["doc_id"], []).append(r["text"])
@@ -81,7 +81,7 @@ def book(spark):
 
 
 def test_search(book):
-    got = sorted((r["doc_id"], r["page"], r["query"]) for r in search(book, [" Needle ", "n", "zz"]).collect())
+    got = sorted((r["doc_id"], r["page"], r["query"]) for r in search(book, [" Needle ", "n", "zz", " "], min_chars=2).collect())
     assert got == [(1, 1, "Needle"), (1, 3, "Needle"), (2, 1, "Needle")]
     assert search(book, ["n"]).count() == 0
 
