@@ -27,6 +27,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BITS = 24
 #: Rows for which one hexadecimal digit of the hash is spent; bounds a cell of a source with all rows.
 CELL_ROWS = 1 << 22
+RESULT = ["size", "source_size", "target", "copies"]
 
 
 def n_words(text: Column) -> Column:
@@ -51,7 +52,8 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, most: flo
 
     Sources share ``share`` times all sizes by weight, but none gets over ``most`` times its own size; what it would
     have got beyond goes to the others by weight. So targets are min(cap, level * weight), and the level follows from
-    sorting sources by cap / weight: it is the first one that the next source's cap does not undercut.
+    sorting sources by cap / weight: of the levels that leave the first k sources at their caps, it is the first, and so
+    the greatest, that is not above the next source's own ratio.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")  # one row per source, not per document
     place = F.row_number().over(by_name) - 1
@@ -68,7 +70,7 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, most: flo
         "weight"
     ).over(onward)
     levels = caps.withColumn("level", level).withColumn("level", F.when(F.col("level") <= ratio, F.col("level")))
-    chosen = F.min("level").over(everyone)
+    chosen = F.max("level").over(everyone)
     return levels.select(
         "source", "source_size", "weight",
         F.least("cap", F.coalesce(chosen * F.col("weight"), F.col("cap"))).alias("target"),
@@ -89,10 +91,9 @@ def plan_copies(
     """Documents with size, source_size, target and copies; copies are below ``most`` + 1."""
     if digits is None:
         digits = max(1, math.ceil(math.log(max(2, documents.count()) / CELL_ROWS, 16)))
-    new = ["size", "source_size", "target", "copies"]
     tie = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = documents.select(
-        *[c for c in documents.columns if c not in new],
+        *[c for c in documents.columns if c not in RESULT],
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")).alias("__source"),
         n_words(F.col(text)).alias("size"),
         tie.alias("__tie"),
@@ -121,8 +122,10 @@ def plan_copies(
 
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of the input."""
-    planned = plan_copies(documents, **options).filter("copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*documents.columns)
+    aside = {c: f"__own_{c}" for c in documents.columns if c in RESULT}
+    planned = plan_copies(documents.withColumnsRenamed(aside), **options).filter("copies > 0")
+    each = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop(*RESULT)
+    return each.withColumnsRenamed({own: c for c, own in aside.items()}).select(*documents.columns)
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
@@ -146,7 +149,7 @@ levels AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
            / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 aims AS (
-    SELECT source, source_size, least(cap, coalesce((min(level) FILTER (WHERE level <= cap / weight) OVER ()) * weight, cap)) AS target,
+    SELECT source, source_size, least(cap, coalesce((max(level) FILTER (WHERE level <= cap / weight) OVER ()) * weight, cap)) AS target,
            ('0x' || substr(md5('7:' || coalesce('=' || source, 'null')), 1, 6))::BIGINT AS shift FROM levels),
 placed AS (
     SELECT doc_id, d.source, size, source_size, target, shift,
