@@ -13,10 +13,14 @@ def ranks():
     return C.read_ranks(PATH)
 
 
+TOTAL = {}
+
+
 def brute(ranks, word):
     """Pieces of the best segmentation, by trying every piece at every place."""
-    norm = math.log(sum(1 / (r + C.SHIFT) for r in ranks.values()))
-    longest = max(map(len, ranks))
+    if len(ranks) not in TOTAL:
+        TOTAL[len(ranks)] = math.log(sum(1 / (r + C.SHIFT) for r in ranks.values())), max(map(len, ranks))
+    norm, longest = TOTAL[len(ranks)]
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
         options = [(best[end - 1][0] - math.log(len(ranks) + C.SHIFT) - norm, -(-best[end - 1][1] + 1))]
