@@ -12,13 +12,13 @@ from quire.llm import op03_language, op04_mix, op05_similar, op07_token_files, o
 from quire.session import prepare, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Least share of a text that its language must have.
-MIN_SHARE = 0.5
+#: Least share of a text that its main language must have; texts in two or three languages are kept.
+MIN_SHARE = 1 / 3
 VOCABULARY = "word_bpe_49k.json"
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or without one that has half of the text, go; labels among the documents teach it."""
+    """Documents without a language, or without one that has a third of the text, go; labels among the documents teach it."""
     prepare(spark)
     aside = {c: f"__{c}" for c in docs.columns if c in op03_language.RESULT}
     found = op03_language.identify(docs.withColumnsRenamed(aside), *op03_language.learn(docs))
