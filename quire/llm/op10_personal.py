@@ -3,7 +3,7 @@
 Words that hold a digit or an at sign are the variables; every other word is clamped to "none". Neighbouring words share
 a transition potential, and words of one document with the same content, however far apart, share an agreement potential
 with their next occurrence, so evidence for one occurrence speaks for all. Loopy belief propagation gives marginals;
-runs of one label that form a whole value are added to the spans of the patterns, which always stay.
+of a run of one label, the parts that form whole values are added to the spans of the patterns, which always stay.
 
 Training is piecewise: Spark counts (features, label), (label, label) and agreements over all documents, the labels
 being the patterns' own spans, and the driver fits a softmax regression to the counted features. Features are a few
@@ -41,6 +41,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Most words of a value: each has a digit, and no kind has more than 19.
+MOST = 19
 
 
 def luhn(digits: str) -> bool:
@@ -266,7 +268,30 @@ def whole(kind: int, value: str) -> bool:
         return False
     if kind == 2:
         return 16 <= digits <= 19 and luhn(re.sub("[^0-9]", "", value))
-    return 8 <= digits <= 15 and value[:1] in "+("
+    return 8 <= digits <= 15 and value[:1] in "+(" and value.rfind("+") < 1
+
+
+def parts(text: str, kind: int, spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[Span]:
+    """Whole values among the words of one run: most words, then most that begin with a sign, then fewest values."""
+    # of the words before each end: (words, signs, -values) and the last value's first word, if one ends there
+    best: list[tuple[tuple[int, int, int], int | None]] = [((0, 0, 0), None)]
+    for end in range(1, len(spans) + 1):
+        top: tuple[tuple[int, int, int], int | None] = (best[-1][0], None)
+        for first in range(end - 1, max(-1, end - 1 - MOST), -1):
+            a, b = spans[first][0], spans[end - 1][1]
+            if whole(kind, text[a:b]) and not any(s < b and a < e for s, e in taken):
+                words, signs, values = best[first][0]
+                top = max(top, ((words + end - first, signs + (text[a] in "+("), values - 1), first), key=lambda x: x[0])
+        best.append(top)
+    out, end = [], len(spans)
+    while end:
+        first = best[end][1]
+        if first is None:
+            end -= 1
+        else:
+            out.append((kind, spans[first][0], spans[end - 1][1]))
+            end = first
+    return out[::-1]
 
 
 def added(text: str, found: Field, label: np.ndarray, base: list[Span]) -> list[Span]:
@@ -278,10 +303,9 @@ def added(text: str, found: Field, label: np.ndarray, base: list[Span]) -> list[
         while end < len(label) and label[end] == label[k] and found.number[end] == found.number[end - 1] + 1 and label[k] > 2:
             end += 1
         if label[k]:
-            a, b = found.spans[k][0], found.spans[end - 1][1]
-            if whole(int(label[k]) - 1, text[a:b]) and not any(s < b and a < e for s, e in taken):
-                out.append((int(label[k]) - 1, a, b))
-                taken.append((a, b))
+            new = parts(text, int(label[k]) - 1, found.spans[k:end], taken)
+            out += new
+            taken += [(a, b) for _, a, b in new]
         k = end
     return out
 

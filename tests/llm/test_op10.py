@@ -94,6 +94,31 @@ def test_the_field_adds_what_runs_together(people, docs, rows_of):
     assert found[1]["all_spans"] == ""
 
 
+def test_values_side_by_side_are_told_apart(people, docs, rows_of):
+    crf = P.train(people)
+    cards = " ".join(CARDS[:3])
+    found = rows_of(P.personal(docs([f"paid with {CARDS[0]} {CARDS[1]}", f"paid with {cards} and left"]), crf))
+    assert [r["base_spans"] for r in found.values()] == ["", ""]
+    assert found[0]["all_spans"] == "card:10:26,card:27:43" and found[1]["all_spans"] == "card:10:26,card:27:43,card:44:60"
+
+
+@pytest.mark.parametrize("kind, run, values", [
+    (2, "4918187128635271 4315726095712222", ["4918187128635271", "4315726095712222"]),
+    (2, "4918 1871 2863 5271 4315 7260 9571 2222", ["4918 1871 2863 5271", "4315 7260 9571 2222"]),
+    (2, "300 4918187128635271", ["4918187128635271"]),
+    (2, "4918187128635271 7 12 4315726095712222 9", ["4918187128635271", "4315726095712222"]),
+    (3, "(578) 555-6437 (415) 555-0100", ["(578) 555-6437", "(415) 555-0100"]),
+    (3, "+1 (578) 555-6437 +49 (30) 1234-5678 +1 (415) 555-0100", ["+1 (578) 555-6437", "+49 (30) 1234-5678", "+1 (415) 555-0100"]),
+    (3, "12 (578) 555-6437", ["(578) 555-6437"]),
+])
+def test_parts_of_a_run_of_one_label(kind, run, values):
+    text = f"we saw {run} there"
+    found = P.field(text)
+    spans = P.added(text, found, np.full(len(found.spans), kind + 1), [])
+    assert [text[a:b] for _, a, b in spans] == values and {k for k, _, _ in spans} == {kind}
+    assert P.added(text, found, np.full(len(found.spans), kind + 1), [(kind, *spans[0][1:])]) == spans[1:]
+
+
 def test_edges(docs, rows_of):
     table = docs([None, "", " \n", "no data"])
     found = rows_of(P.personal(table.withColumnRenamed("source", "n_ip")))
