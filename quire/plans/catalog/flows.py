@@ -83,6 +83,17 @@ def _write_text(spark, sf_dir):
     return read.select("doc_id", F.expr("left(value, length(value) - 1)").alias("text"))
 
 
+@query("write_text_packed", "SELECT doc_id, text FROM documents")
+def _write_text_packed(spark, sf_dir):
+    """Texts of all documents, many to a file, read back whole by key."""
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("int")
+    text, _ = export_text(docs.select("doc_id", F.lit(1).alias("page"), "text"), docs.select("doc_id", none.alias("first"), none.alias("last")))
+    root = shared_folder(spark, "texts")
+    write_text(text, root, inputs=[sf_dir], packed=True)
+    return spark.read.parquet(root).select("doc_id", "text")
+
+
 @query(
     "image_gate_heif",
     """

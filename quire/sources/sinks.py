@@ -40,9 +40,17 @@ def write_docs(
 
 
 def write_text(
-    parts: DataFrame, path: str, inputs: Iterable[str] = (), key: str = "doc_id"
+    parts: DataFrame, path: str, inputs: Iterable[str] = (), key: str = "doc_id", packed: bool = False
 ) -> None:
-    """Write exported text, one folder per document and part, in UTF-8."""
+    """Write exported text, one folder per document and part, in UTF-8.
+
+    ``packed`` is for more documents than a folder each is fit for: Parquet files
+    of (key, part, text) hold many, and their Bloom filters find a document by key.
+    """
     _refuse_inputs(path, inputs)
-    rows = parts.select(key, "part", "text").repartition(key, "part")
-    rows.write.mode("errorifexists").option("lineSep", "\n").partitionBy(key, "part").text(path)
+    rows = parts.select(key, "part", "text")
+    if packed:
+        rows.write.mode("errorifexists").option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+        return
+    files = rows.repartition(key, "part").write.mode("errorifexists").option("lineSep", "\n")
+    files.partitionBy(key, "part").text(path)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from quire.operators.metadata import meta_edit, meta_read
 from quire.operators.outline import outline
+from quire.plans import registry
 from quire.sources import files, images, sinks
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_scan_files(spark, tmp_path):
     for name, size in (("a.pdf", 5), ("b.PDF", 7), ("c.txt", 3), ("sub/d.pdf", 1)):
@@ -187,6 +190,33 @@ def test_write_text(spark, tmp_path):
     assert texts == {"part=0": "a\fb\n", "part=1": "ç\n"}
 
 
+def test_write_text_packed(spark, tmp_path):
+    rows = [(1, 0, "a\fb\r\n\n"), (1, 1, "ç\u2028"), (2, 0, ""), (None, 0, "x")]
+    parts = spark.createDataFrame(rows, "doc_id int, part int, text string")
+    sinks.write_text(parts, str(tmp_path / "t"), packed=True)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {tuple(r) for r in back.collect()} == set(rows)
+    assert sorted(tuple(r)[1:] for r in back.filter("doc_id = 1").collect()) == [r[1:] for r in rows[:2]]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_write_text_of_all_documents(spark, tmp_path, packed):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lit(0).alias("part"), "text")
+    sinks.write_text(docs, str(tmp_path / "t"), packed=packed)
+    if packed:
+        back = spark.read.parquet(str(tmp_path / "t")).select("doc_id", "text")
+    else:
+        read = spark.read.schema("value string, doc_id bigint, part int").text(str(tmp_path / "t"), wholetext=True)
+        back = read.select("doc_id", F.expr("left(value, length(value) - 1)"))
+    whole = {tuple(r) for r in docs.select("doc_id", "text").collect()}
+    assert {tuple(r) for r in back.collect()} == whole and any(k % 2 for k, _ in whole)
+
+
+def test_text_of_every_document_comes_back(spark):
+    registry.load()
+    assert registry.QUERIES["write_text_packed"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_outline(spark):
     nodes = spark.createDataFrame(
         [
