@@ -1,8 +1,10 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds what the patterns miss.
 
 Words that hold a digit or an at sign are the variables; every other word is clamped to "none". Neighbouring words share
-a transition potential, and words of one document with the same content, however far apart, share an agreement potential
-with their next occurrence, so evidence for one occurrence speaks for all. Loopy belief propagation gives marginals;
+a transition potential, and all places of one document with the same content, however far apart, share an agreement
+potential with one hub for that content, so evidence for one speaks for all. The content of a number is its last eight
+digits, over as many neighbouring words as it takes, so country code, signs and blanks do not matter; shorter words are
+compared as they are. Loopy belief propagation, until nothing changes, gives marginals;
 of a run of one label, the parts that form whole values are added to the spans of the patterns, which always stay.
 
 Training is piecewise: Spark counts (features, label), (label, label) and agreements over all documents, the labels
@@ -43,6 +45,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Most words of a value: each has a digit, and no kind has more than 19.
 MOST = 19
+#: Digits by which numbers are compared; no phone has fewer.
+TAIL = 8
+NUMBER = re.compile(r"[0-9().+-]*[0-9][0-9().+-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -93,6 +98,25 @@ class Field(NamedTuple):
     spans: list[tuple[int, int]]
     features: list[tuple[int, ...]]
     content: list[str]
+    #: Last eight digits of the number that ends with the word, and its first word; None where there are fewer.
+    tails: list[tuple[str, int] | None]
+
+
+def _tails(text: str, number: list[int], spans: list[tuple[int, int]]) -> list[tuple[str, int] | None]:
+    out: list[tuple[str, int] | None] = []
+    for k in range(len(number)):
+        digits, first = "", k
+        while True:
+            core = text[slice(*spans[first])]
+            if not NUMBER.fullmatch(core) or IP.fullmatch(core):
+                digits = ""
+                break
+            digits = re.sub("[^0-9]", "", core) + digits
+            if len(digits) >= TAIL or not first or number[first - 1] != number[first] - 1:
+                break
+            first -= 1
+        out.append((digits[-TAIL:], first) if len(digits) >= TAIL else None)
+    return out
 
 
 def _shape(word: str) -> tuple[int, ...]:
@@ -123,7 +147,7 @@ def _near(shape: tuple[int, ...] | None) -> int:
 
 
 def field(text: str) -> Field:
-    out = Field([], [], [], [])
+    out = Field([], [], [], [], [])
     shapes = []
     for number, m in enumerate(WORD.finditer(text)):
         if not MARK.search(m[0]):
@@ -142,6 +166,7 @@ def field(text: str) -> Field:
         before = shapes[k - 1] if k and out.number[k - 1] == out.number[k] - 1 else None
         after = shapes[k + 1] if k + 1 < len(shapes) and out.number[k + 1] == out.number[k] + 1 else None
         out.features.append((*shape, _near(before), _near(after)))
+    out.tails.extend(_tails(text, out.number, out.spans))
     return out
 
 
@@ -154,38 +179,61 @@ def labels(found: Field, spans: list[Span]) -> list[int]:
     return out
 
 
-def edges(found: Field) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(neighbours, next occurrences of the same content)."""
+def edges(found: Field) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """(neighbours, the words of each content that occurs more than once)."""
     chain = [(k, k + 1) for k in range(len(found.number) - 1) if found.number[k + 1] == found.number[k] + 1]
-    skip, last = [], {}
+    ends: dict[str, list[int]] = {}
+    for k, tail in enumerate(found.tails):
+        if tail:
+            ends.setdefault(tail[0], []).append(k)
+    same, held = [], set()
+    for places in ends.values():
+        # of one number in several words, ends in a row are one place only if they do not share a word
+        apart = [k for n, k in enumerate(places) if not n or found.tails[k][1] > places[n - 1]]
+        if len(apart) > 1:
+            same.append([word for k in apart for word in range(found.tails[k][1], k + 1)])
+            held.update(same[-1])
+    words: dict[str, list[int]] = {}
     for k, content in enumerate(found.content):
-        if content in last:
-            skip.append((last[content], k))
-        last[content] = k
-    return chain, skip
+        if k not in held:
+            words.setdefault(content, []).append(k)
+    return chain, same + [places for places in words.values() if len(places) > 1]
 
 
 class Crf(NamedTuple):
     weights: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    hub: np.ndarray | None = None
+
+    def marginals(self, features: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 2000, hubs: int = 0) -> np.ndarray:
+        """Of every variable, by loopy belief propagation over both kinds of edges until no message changes.
 
-    def marginals(self, features: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Of every variable, after rounds of loopy belief propagation over both kinds of edges."""
+        ``skip`` edges lead from a word to a hub, which are numbered after the words. ``rounds`` only ends what would
+        swing for ever; messages that have settled are not computed again.
+        """
         node = one_hot(features) @ self.weights
+        node = np.concatenate([node, np.tile(np.zeros(len(LABELS)) if self.hub is None else self.hub, (hubs, 1))])
         one = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
         pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
         source, target = np.concatenate([one, one[:, ::-1]]).T
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         message, back = np.zeros((len(source), len(LABELS))), np.roll(np.arange(len(source)), len(one))
-        for _ in range(rounds if len(one) else 0):
-            belief = node.copy()
-            np.add.at(belief, target, message)
-            new = (belief[source] - message[back])[:, :, None] + pair
+        belief, open_ = node.copy(), np.arange(len(source))
+        for _ in range(rounds):
+            if not len(open_):
+                break
+            new = (belief[source[open_]] - message[back[open_]])[:, :, None] + pair[open_]
             top = new.max(1)
             new = top + np.log(np.exp(new - top[:, None]).sum(1))
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-        np.add.at(node, target, message)
+            change = 0.5 * (new - new.max(1, keepdims=True) - message[open_])
+            message[open_] += change
+            np.add.at(belief, target[open_], change)
+            moved = open_[np.abs(change).max(1) > 1e-8]
+            reached, again = np.zeros(len(belief), bool), np.zeros(len(source), bool)
+            reached[target[moved]], again[moved] = True, True
+            open_ = np.flatnonzero(again | reached[source])
+        node = belief[: len(features)]
         node = np.exp(node - node.max(1, keepdims=True))
         return node / node.sum(1, keepdims=True)
 
@@ -216,10 +264,15 @@ def train(documents: DataFrame, text: str = "text", rounds: int = 300) -> Crf:
                 if t and MARK.search(t):
                     found = field(t)
                     label = labels(found, base_spans(t))
-                    chain, skip = edges(found)
+                    chain, same = edges(found)
                     seen.update(("node", *f, y) for f, y in zip(found.features, label))
                     seen.update(("chain", label[i], label[j]) for i, j in chain)
-                    seen.update(("skip", label[i], label[j]) for i, j in skip)
+                    for words in same:
+                        # what most of the labelled places say, is what the content is
+                        said = Counter(label[k] for k in words if label[k]).most_common(1)
+                        hub = said[0][0] if said else 0
+                        seen.update(("skip", label[k], hub) for k in words)
+                        seen["hub", hub] += 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([list(k[1:]) for k in keys], pa.list_(pa.int32())), pa.array([seen[k] for k in keys], pa.int64())],
@@ -229,9 +282,12 @@ def train(documents: DataFrame, text: str = "text", rounds: int = 300) -> Crf:
     counts = chosen.mapInArrow(count, "kind string, key array<int>, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
     size = len(LABELS)
     pairs = {"chain": np.full((size, size), 1.0), "skip": np.full((size, size), 0.1) + np.eye(size)}
+    hub = np.ones(size)
     nodes = sorted((tuple(r["key"]), r["n"]) for r in counts if r["kind"] == "node")
     for r in counts:
-        if r["kind"] != "node":
+        if r["kind"] == "hub":
+            hub[r["key"][0]] += r["n"]
+        elif r["kind"] != "node":
             pairs[r["kind"]][tuple(r["key"])] += r["n"]
     # association of the labels at both ends; the labels' own frequency is in the nodes
     potential = {}
@@ -239,7 +295,7 @@ def train(documents: DataFrame, text: str = "text", rounds: int = 300) -> Crf:
         p = n / n.sum()
         potential[kind] = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -4, 4)
     if not nodes:
-        return Crf(np.zeros((sum(SIZES) + JOINT + 1, size)), potential["chain"], potential["skip"])
+        return Crf(np.zeros((sum(SIZES) + JOINT + 1, size)), potential["chain"], potential["skip"], np.log(hub / hub.sum()))
     x = one_hot(np.array([k[:-1] for k, _ in nodes]))
     y, n = np.array([k[-1] for k, _ in nodes]), np.sqrt(np.array([n for _, n in nodes], float))
     n /= n.sum()
@@ -253,7 +309,7 @@ def train(documents: DataFrame, text: str = "text", rounds: int = 300) -> Crf:
         g = x.T @ (p * n[:, None]) + 1e-4 * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         w -= 0.1 * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-9)
-    return Crf(w, potential["chain"], potential["skip"])
+    return Crf(w, potential["chain"], potential["skip"], np.log(hub / hub.sum()))
 
 
 def whole(kind: int, value: str) -> bool:
@@ -268,20 +324,20 @@ def whole(kind: int, value: str) -> bool:
         return False
     if kind == 2:
         return 16 <= digits <= 19 and luhn(re.sub("[^0-9]", "", value))
-    return 8 <= digits <= 15 and value[:1] in "+(" and value.rfind("+") < 1
+    return 8 <= digits <= 15 and value.rfind("+") < 1
 
 
 def parts(text: str, kind: int, spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[Span]:
-    """Whole values among the words of one run: most words, then most that begin with a sign, then fewest values."""
-    # of the words before each end: (words, signs, -values) and the last value's first word, if one ends there
+    """Whole values among the words of one run: most that begin with a sign, then most words, then fewest values."""
+    # of the words before each end: (signs, words, -values) and the last value's first word, if one ends there
     best: list[tuple[tuple[int, int, int], int | None]] = [((0, 0, 0), None)]
     for end in range(1, len(spans) + 1):
         top: tuple[tuple[int, int, int], int | None] = (best[-1][0], None)
         for first in range(end - 1, max(-1, end - 1 - MOST), -1):
             a, b = spans[first][0], spans[end - 1][1]
             if whole(kind, text[a:b]) and not any(s < b and a < e for s, e in taken):
-                words, signs, values = best[first][0]
-                top = max(top, ((words + end - first, signs + (text[a] in "+("), values - 1), first), key=lambda x: x[0])
+                signs, words, values = best[first][0]
+                top = max(top, ((signs + (text[a] in "+("), words + end - first, values - 1), first), key=lambda x: x[0])
         best.append(top)
     out, end = [], len(spans)
     while end:
@@ -294,10 +350,33 @@ def parts(text: str, kind: int, spans: list[tuple[int, int]], taken: list[tuple[
     return out[::-1]
 
 
+def repeats(text: str, found: Field, label: np.ndarray, base: list[Span]) -> np.ndarray:
+    """Labels, with phone for every word of a number that a phone pattern shows in this document."""
+    phones: dict[str, list[str]] = {}
+    for kind, a, b in base:
+        if kind == 3:
+            digits = re.sub("[^0-9]", "", text[a:b])
+            phones.setdefault(digits[-TAIL:], []).append(digits)
+    label = label.copy()
+    for k, tail in enumerate(found.tails if phones else []):
+        if tail and tail[0] in phones:
+            first = tail[1]
+            while True:
+                digits = re.sub("[^0-9]", "", text[found.spans[first][0]: found.spans[k][1]])
+                if not any(phone.endswith(digits) for phone in phones[tail[0]]):
+                    break
+                label[first: k + 1] = 4
+                if not first or found.number[first - 1] != found.number[first] - 1 or not NUMBER.fullmatch(text[slice(*found.spans[first - 1])]):
+                    break
+                first -= 1
+    return label
+
+
 def added(text: str, found: Field, label: np.ndarray, base: list[Span]) -> list[Span]:
     """Whole values among runs of neighbouring words of one label, clear of all other spans."""
     out, k = [], 0
     taken = sorted((a, b) for _, a, b in base)
+    label = repeats(text, found, label, base)
     while k < len(label):
         end = k + 1
         while end < len(label) and label[end] == label[k] and found.number[end] == found.number[end - 1] + 1 and label[k] > 2:
@@ -328,17 +407,18 @@ def personal(documents: DataFrame, crf: Crf | None = None, text: str = "text") -
             for k, t in enumerate(texts):
                 if MARK.search(t):
                     base[k], fields[k] = base_spans(t), field(t)
-            features, chain, skip, start = [], [], [], [0]
+            features, chain, groups, start = [], [], [], [0]
             for found in fields.values():
                 near, same = edges(found)
                 chain += [(i + start[-1], j + start[-1]) for i, j in near]
-                skip += [(i + start[-1], j + start[-1]) for i, j in same]
+                groups += [[k + start[-1] for k in words] for words in same]
                 features += found.features
                 start.append(len(features))
             every = [list(b) for b in base]
             if features:
+                skip = [(k, len(features) + hub) for hub, words in enumerate(groups) for k in words]
                 pairs = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
-                best = crf.marginals(np.array(features), *pairs).argmax(1)
+                best = crf.marginals(np.array(features), *pairs, hubs=len(groups)).argmax(1)
                 for (k, found), a, b in zip(fields.items(), start, start[1:]):
                     every[k] += added(texts[k], found, best[a:b], base[k])
             counts = [pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64()) for kind in range(4)]

@@ -119,6 +119,42 @@ def test_parts_of_a_run_of_one_label(kind, run, values):
     assert P.added(text, found, np.full(len(found.spans), kind + 1), [(kind, *spans[0][1:])]) == spans[1:]
 
 
+@pytest.mark.parametrize("again", ["14155550100", "415-555-0100", "(415) 555-0100", "415 555 0100", "4155550100"])
+def test_a_phone_is_found_again_however_it_is_written(people, docs, rows_of, again):
+    text = f"call +14155550100 {'and then some ' * 50}ring {again} or go in 2012 with 4155550 of 300"
+    found = rows_of(P.personal(docs([text, f"ring {again} now"]), P.train(people)))
+    a = text.index(again, 20)
+    assert found[0]["all_spans"] == f"phone:5:17,phone:{a}:{a + len(again)}"
+    assert found[1]["all_spans"] in ("", f"phone:5:{5 + len(again)}")
+
+
+def test_a_phone_is_whole_where_the_field_says_so():
+    text = "ring 415-555-0100 or 2012"
+    found = P.field(text)
+    assert P.added(text, found, np.array([4, 4]), []) == [(3, 5, 17)]
+
+
+def test_all_places_of_a_content_share_a_hub():
+    found = P.field("x 415 555 0100 y (415) 555-0100 z 4155550100 v 12 w 12 12")
+    chain, same = P.edges(found)
+    assert sorted(map(sorted, same)) == [[0, 1, 2, 3, 4, 5], [6, 7, 8]]
+
+
+def test_evidence_reaches_any_distance():
+    """A chain of words that agree, the first one certain; and a content of many places."""
+    size, n = len(P.LABELS), 60
+    weights = np.zeros((sum(P.SIZES) + P.JOINT + 1, size))
+    weights[1, 4] = 40.0  # the first category's second value
+    features = np.zeros((n, len(P.SIZES)), np.int64)
+    features[0, 0] = 1
+    agree = 12 * np.eye(size)
+    crf = P.Crf(weights, agree, agree)
+    none = np.zeros((0, 2), np.int64)
+    far = crf.marginals(features, np.array([(k, k + 1) for k in range(n - 1)]), none)
+    hub = crf.marginals(features, none, np.array([(k, n) for k in range(n)]), hubs=1)
+    assert far[-1, 4] > 0.9 and hub[-1, 4] > 0.9
+
+
 def test_edges(docs, rows_of):
     table = docs([None, "", " \n", "no data"])
     found = rows_of(P.personal(table.withColumnRenamed("source", "n_ip")))
