@@ -1,9 +1,12 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
-Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased. Of each template the least hash in
+Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased. The templates are whole licenses
+(``license_texts``), and headers, notices and disclaimers, which also stand alone. Of each template the least hash in
 every ``WINDOW`` neighbouring ``GRAM``-word shingles goes into the index, so an exact run of ``GRAM + WINDOW - 1`` template
-words always holds an entry; every shingle of a text is looked up. Hits of one template on near diagonals are
-one candidate, aligned word by word within ``BAND`` of its diagonal. A match reports the template, the share of its words
+words always holds an entry. Templates below ``SHORT`` words have all shingles of a size that a notice with as many changed
+words as ``COVERAGE`` allows still holds. Every shingle of a text is looked up. Hits of one template on near diagonals are
+one candidate; if its words, block by block, can reach the coverage, it is
+aligned word by word within ``BAND`` of its diagonal. A match reports the template, the share of its words
 that the alignment matched, and the span in code points. Of overlapping matches the one with most matched words stays.
 
 The templates are a fixed list, so index and alignment are bounded; texts are read whole. Edge cases: null and empty
@@ -14,6 +17,8 @@ result columns are replaced.
 
 from __future__ import annotations
 
+import math
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -63,8 +68,9 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "all-rights-reserved": "All rights reserved",
-}
+} | {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 GRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.7
+SHORT, BLOCK = 2 * (GRAM + WINDOW), 64
 MATCH, OTHER = 2, -1
 NEW = ["n_licenses", "license", "coverage", "licenses"]
 
@@ -89,16 +95,20 @@ def cut(texts: list[str] | pa.Array) -> tuple[W.Words, np.ndarray]:
 class Index:
     """Fingerprints of all templates: sorted hashes with their template and place."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE):
         self.names = list(templates)
         words, hashes = cut([templates[n] for n in self.names])
         self.words = [hashes[a:b] for a, b in zip(words.first, words.first[1:])]
         entries = set()
         for t, own in enumerate(self.words):
-            size = min(GRAM, len(own))
+            size, window = min(GRAM, len(own)), WINDOW
+            if len(own) < SHORT:
+                # the longest run of matched words, if the others are spread as evenly as can be
+                matched = max(1, math.ceil(coverage * len(own) - 1e-9))
+                size, window = max(1, min(size, math.ceil(matched / (len(own) - matched + 1)))), 1
             grams = W.windows(own, size)
-            for start in range(max(1, len(grams) - WINDOW + 1)):
-                place = start + int(np.argmin(grams[start: start + WINDOW]))
+            for start in range(max(1, len(grams) - window + 1)):
+                place = start + int(np.argmin(grams[start: start + window]))
                 entries.add((int(grams[place]), t, place, size))
         ordered = sorted(entries)
         self.hash = np.array([e[0] for e in ordered], np.uint64)
@@ -120,6 +130,20 @@ def reach(template: np.ndarray) -> int:
     return min(BAND, len(template) // 2)
 
 
+def reachable(template: np.ndarray, text: np.ndarray, diagonal: int, spread: int, least: float) -> bool:
+    """Whether so many words can match near the diagonals: no more than the words that each block and its place share."""
+    low, width, left, found = diagonal - reach(template), 2 * reach(template) + 1 + spread, len(template), 0
+    for a in range(0, len(template), BLOCK):
+        own, n = np.unique(template[a: a + BLOCK], return_counts=True)
+        there = text[max(0, a + low): max(0, min(a + BLOCK, len(template)) + low + width)]
+        at = np.minimum(np.searchsorted(own, there), len(own) - 1)
+        found += int(np.minimum(n, np.bincount(at[own[at] == there], minlength=len(own))).sum())
+        left -= min(BLOCK, left)
+        if found + left < least:
+            return False
+    return True
+
+
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, spread: int = 0) -> tuple[int, int, int]:
     """(matched words, first, last place in the text) of the best local alignment near the diagonals from ``diagonal`` on."""
     low, width = diagonal - reach(template), 2 * reach(template) + 1 + spread
@@ -163,6 +187,8 @@ def scan(index: Index, hashes: np.ndarray, coverage: float = COVERAGE) -> list[M
     found = []
     for template, low, high in candidates:
         own = index.words[template]
+        if not reachable(own, hashes, low, high - low, coverage * len(own) - 1e-6):
+            continue
         matched, first, last = align(own, hashes, low, high - low)
         share = matched / len(own)
         if share >= coverage:
@@ -181,7 +207,7 @@ def licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, covera
     place = kept.columns.index(text)
 
     def run(batches):
-        index = Index(templates)
+        index = Index(templates, coverage)
         grams = {int(s): index.hash[index.size == s] for s in np.unique(index.size)}
         for batch in batches:
             words, hashes = cut(batch.column(place))

@@ -1,3 +1,6 @@
+import re
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -76,6 +79,37 @@ def test_whole_table_against_full_alignment_of_lines(spark):
     assert some and len(rows) == len(documents)
 
 
+def names(text):
+    _, hashes = L.cut([text])
+    return [m.name for m in L.scan(INDEX, hashes)]
+
+
+@pytest.mark.parametrize("name", [n for n, t in L.TEMPLATES.items() if len(t.split()) < 12])
+def test_short_notices_with_changed_words(name):
+    """Every way to change as many words as the coverage allows, against full alignment."""
+    words = L.cut([L.TEMPLATES[name]])[0].text().size
+    plain = re.findall("[A-Za-z0-9]+", L.TEMPLATES[name])
+    assert len(plain) == words
+    for n in range(int(0.3 * words + 1e-9) + 1):
+        for at in combinations(range(words), n):
+            text = " ".join(["see", "below"] + [f"zq{k}" if k in at else w for k, w in enumerate(plain)] + ["and", "more"])
+            _, hashes = L.cut([text])
+            whole = brute(hashes)
+            # a change at an end is left out of the span, so it may leave two templates equal
+            assert not whole or whole[0][1:] in {(m.matched, m.first, m.last) for m in L.scan(INDEX, hashes)}, text
+
+
+def test_whole_licenses_and_their_parts_are_told_apart():
+    own = {n: L.TEMPLATES[n] for n in L.TEMPLATES}
+    assert names("Copyright 2020 A. Holder " + own["bsd-2-clause"]) == ["bsd-2-clause"]
+    assert names("Copyright 2020 A. Holder " + own["bsd-3-clause"]) == ["bsd-3-clause"]
+    assert names(own["bsd-disclaimer"]) == ["bsd-disclaimer"] and names(own["mit-warranty"]) == ["mit-warranty"]
+    assert names("x " + own["mit-full"] + " y") == ["mit-full"]
+    for n in ("apache-2.0-full", "gpl-2.0-full", "gpl-3.0-full", "lgpl-2.1-full", "lgpl-3.0-full", "mpl-2.0-full"):
+        body = own[n].split()
+        assert n in names(" ".join(body[len(body) // 20: -len(body) // 10]))
+
+
 def test_edges(docs, rows_of):
     texts = [None, "", "\n ", "été All RIGHTS\nreserved!", "all rights", "All rights reserved. " * 3, "x" * 50_000 + " Released under the MIT License."]
     found = rows_of(L.licenses(docs(texts).withColumnRenamed("source", "license")))
