@@ -45,16 +45,17 @@ def meta_edit(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
     entries = F.array(*[entry(n) for n in FIELDS])
     written = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    # maps cannot be ordered, so they are kept as entries until the edits are in order
-    one = F.struct(*seq, F.coalesce(F.col("clear_all"), F.lit(False)).alias("clear"), F.map_entries(written).alias("set"))
-    by_doc = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__edits"))
-
-    def applied(info: Column, edit: Column) -> Column:
-        kept = F.map_filter(info, lambda k, _: ~k.isin(FIELDS))
-        return F.when(edit["clear"], empty).otherwise(F.map_concat(kept, F.map_from_entries(edit["set"]))).cast(kind)
-
-    edited = F.when(F.col("__edits").isNull(), F.col("info")).otherwise(
-        F.aggregate("__edits", F.coalesce(F.col("info").cast(kind), empty), applied)
+    # an edit sets or removes every field, so the last one decides them and any clear_all the other keys;
+    # maps cannot be ordered, so they are kept as entries
+    clear = F.coalesce(F.col("clear_all"), F.lit(False))
+    one = F.struct(*seq, clear.alias("clear"), F.map_entries(written).alias("set"))
+    by_doc = edits.groupBy("doc_id").agg(F.max(one).alias("__last"), F.bool_or(clear).alias("__cleared"))
+    before = F.when(F.col("__cleared"), empty).otherwise(F.coalesce(F.col("info").cast(kind), empty))
+    kept = F.map_filter(before, lambda k, _: ~k.isin(FIELDS))
+    edited = (
+        F.when(F.col("__last").isNull(), F.col("info"))
+        .when(F.col("__last.clear"), empty)
+        .otherwise(F.map_concat(kept, F.map_from_entries("__last.set")).cast(kind))
     )
     return docs.join(by_doc, "doc_id", "left").select(
         *[c if c != "info" else edited.alias("info") for c in docs.columns]

@@ -58,15 +58,16 @@ def _split_combined(spark, sf_dir):
     """,
 )
 def _scan_files_listed(spark, sf_dir):
-    """Whole texts written as one file per source, listed, and joined with the lines counted in each."""
+    """Whole texts written as files of each source, listed, joined with the lines counted in each, and summed."""
     root = shared_folder(spark, "listed")
     docs = table(spark, sf_dir, "documents").select("source", F.hex("text").alias("text"))
-    docs.repartition("source").write.partitionBy("source").option("extension", "pdf").csv(root)
+    docs.write.partitionBy("source").option("extension", "pdf").csv(root)
     local = F.regexp_replace(F.input_file_name(), "^file:/+", "file:/")
     counts = spark.read.text(root).select(local.alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("page_count"))
     found = scan_files(spark, root, counts, "*.pdf")
-    return found.select(
-        F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), F.col("name").endswith(".pdf").alias("named"), "size", "page_count", "is_valid"
+    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder")).agg(
+        F.bool_and(F.col("name").endswith(".pdf")).alias("named"), F.sum("size").alias("size"),
+        F.sum("page_count").cast("int").alias("page_count"), F.bool_and("is_valid").alias("is_valid"),
     )
 
 

@@ -76,12 +76,12 @@ def _job_status_stream(spark, sf_dir):
     "SELECT source AS folder, 'office' AS kind, sum(2 * strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY source",
 )
 def _stream_intake(spark, sf_dir):
-    """Whole texts written out as one file per source, half of the sources after the first run, and taken in."""
+    """Whole texts written out as files of each source, half of the sources after the first run, taken in and summed."""
     root = shared_folder(spark, "intake")
     docs = table(spark, sf_dir, "documents").select("source", F.hex("text").alias("text"))
     early = F.pmod(F.crc32("source"), F.lit(2)) == 0
     for part in (docs.filter(early), docs.filter(~early)):
-        part.repartition("source").write.mode("append").partitionBy("source").csv(f"{root}/in")
+        part.write.mode("append").partitionBy("source").csv(f"{root}/in")
         stream_intake(spark, f"{root}/in", f"{root}/catalog", f"{root}/state").awaitTermination()
     taken = spark.read.parquet(f"{root}/catalog")
-    return taken.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), "kind", "size")
+    return taken.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), "kind").agg(F.sum("size").alias("size"))

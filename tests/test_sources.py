@@ -1,5 +1,6 @@
 """Catalogue, intake, images, names and sinks on real files."""
 
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators.metadata import meta_edit, meta_read
 from quire.operators.outline import outline
 from quire.plans import registry
+from quire.plans.catalog import flows, streams
 from quire.sources import files, images, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -254,6 +256,42 @@ def test_metadata_edits_in_order(spark):
     assert got == {1: {"Title": "second"}, 2: {"X": "x", "Author": "b"}}
 
 
+def test_edits_of_a_document_are_not_gathered(spark):
+    pick = random.Random(3)
+    fields = ["title", "author", "subject", "keywords", "creator", "producer"]
+    docs = [(d, {"Title": "t", "X": "x", "Author": "a"} if d % 3 else None) for d in range(12)]
+    edits = [
+        (d, seq, pick.choice([True, False, False, False, None]), *[pick.choice([None, " ", f"{seq}"]) for _ in fields])
+        for d in range(1, 12) for seq in pick.sample(range(99), pick.randrange(1, 6))
+    ]
+    made = spark.createDataFrame(edits, "doc_id int, seq int, clear_all boolean, " + ", ".join(f"{f} string" for f in fields))
+    found = meta_edit(spark.createDataFrame(docs, "doc_id int, info map<string,string>"), made)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    for d, info in docs:
+        own = sorted(e for e in edits if e[0] == d)
+        for _, _, clear, *values in own:
+            kept = {k: v for k, v in (info or {}).items() if k.lower() not in fields}
+            info = {} if clear else kept | {f.title(): v for f, v in zip(fields, values) if v and v.strip()}
+        assert [r["info"] for r in found.filter(F.col("doc_id") == d).collect()] == [info]
+
+
+@pytest.mark.parametrize("name, area", [("scan_files_listed", flows), ("stream_intake", streams)])
+def test_files_of_one_source_come_from_many_tasks(spark, tmp_path, monkeypatch, name, area):
+    registry.load()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "sf/documents.parquet"))
+    monkeypatch.setattr(area, "shared_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(area, "table", lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        rows = registry.QUERIES[name](spark, str(tmp_path / "sf")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    size = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(2 * F.octet_length("text") + 1).alias("n")).collect()}
+    assert {r["folder"]: r["size"] for r in rows} == size and len(rows) == len(size)
+    assert len(list(tmp_path.glob("*/**/source=*/part-*"))) > 2 * len(size)
+
+
 def test_metadata(spark):
     docs = spark.createDataFrame(
         [(1, {"Title": bytearray(b"\xfe\xff\x01\x5e"), "Author": bytearray(b"  "), "X": bytearray(b"x")}), (2, {"Title": bytearray(b"t")}), (3, None)],
