@@ -18,6 +18,9 @@ from quire.llm import (
     op08_decontaminate,
     op09_licenses,
     op10_personal,
+    op11_variants,
+    op12_shards,
+    op13_phrases,
 )
 from quire.session import prepare
 
@@ -44,6 +47,9 @@ QUERIES: dict[str, Query] = {
         "op8_decontaminate": op08_decontaminate.op8_decontaminate,
         "op9_licenses": op09_licenses.op9_licenses,
         "op10_personal": op10_personal.op10_personal,
+        "op11_variants": op11_variants.op11_variants,
+        "op12_shards": op12_shards.op12_shards,
+        "op13_phrases": op13_phrases.op13_phrases,
     }.items()
 }
 
@@ -53,5 +59,6 @@ ORACLES: dict[str, str] = {
         "op2_quality": op02_quality.SQL,
         "op4_mix": op04_mix.SQL,
         "op8_decontaminate": op08_decontaminate.SQL,
+        "op13_phrases": op13_phrases.SQL,
     }.items()
 }
