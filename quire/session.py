@@ -33,6 +33,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most 256 rows in a batch for Python tasks over texts, or about 8 MB where Spark can cut by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def local_session(cpus: int | str = "*", name: str = "quire", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     parts = "8" if cpus == "*" else str(cpus)
@@ -61,6 +67,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint on first use, for tables that a recursion reads at every level."""
     context = df.sparkSession.sparkContext
