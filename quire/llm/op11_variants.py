@@ -2,8 +2,8 @@
 
 Words that occur often enough are written in a reduced alphabet: every letter becomes one of ``SYMBOLS`` symbols. Two words
 one edit apart are equal or one edit apart in reduced form too, so each word generates the full one-edit neighbourhood of
-its reduced form (itself, every deletion, replacement and insertion of a symbol), the neighbourhoods meet the reduced
-vocabulary in an equi-join, and what meets is verified on the original strings. A word's form is the near word that occurs
+its reduced form (itself, every deletion, replacement and insertion of a symbol, as 64-bit codes), the neighbourhoods meet
+the reduced vocabulary in an equi-join, and what meets is verified on the original strings. A word's form is the near word that occurs
 most, if it occurs ``ratio`` times as often; forms lead to a root. Counts at least double from form to form, so pointer
 doubling ends after a few rounds.
 
@@ -20,13 +20,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
+from quire.plans.bits import bit_map, holds
 from quire.session import shared_folder
 
 SYMBOLS = 8
@@ -35,6 +37,8 @@ MIN_CHARS, MIN_COUNT, RATIO = 5, 3, 2
 SLIP = 97
 #: Runs of more bytes than this get their checksum one by one.
 LONG_RUN = 64
+#: Words of one length whose neighbourhoods are made at once.
+AT_ONCE = 1 << 14
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), 0xC3]] = True  # 0xC3 leads U+00C0 to U+00FF
@@ -114,36 +118,96 @@ def word_counts(
     return chosen.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
-def reduced(word: Column, symbols: int = SYMBOLS) -> Column:
-    """A word in the reduced alphabet: a letter's symbol is its code point modulo the number of symbols."""
-    letters = [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]
-    return F.translate(word, "".join(map(chr, letters)), "".join(chr(ord("0") + c % symbols) for c in letters))
+def symbol_table(symbols: int) -> np.ndarray:
+    """The symbol of each code point up to U+00FF, from 1: the code point modulo the number of symbols."""
+    return (np.arange(256) % symbols + 1).astype(np.uint64)
 
 
-def neighbourhood(form: Column, symbols: int = SYMBOLS) -> Column:
-    """A reduced word and all reduced words one edit from it, once each."""
-    def front(i: Column) -> Column:
-        return F.substring(form, F.lit(1), i - 1)
+def _code(total: np.ndarray, length: int) -> np.ndarray:
+    return W.mixed(total + np.uint64(length) * W.OF_BYTE[11])
 
-    def rest(i: Column) -> Column:
-        return F.substring(form, i, F.length(form))
 
-    places, one = F.sequence(F.lit(1), F.length(form)), F.lit(1)
-    alphabet = F.array(*[F.lit(chr(ord("0") + s)) for s in range(symbols)])
-    deleted = F.transform(places, lambda i: F.concat(front(i), rest(i + one)))
-    replaced = F.flatten(F.transform(places, lambda i: F.transform(alphabet, lambda s: F.concat(front(i), s, rest(i + one)))))
-    added = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.length(form) + 1), lambda i: F.transform(alphabet, lambda s: F.concat(front(i), s, rest(i)))))
-    return F.array_distinct(F.concat(F.array(form), deleted, replaced, added))
+def reduced_codes(forms: np.ndarray) -> np.ndarray:
+    """64-bit codes of reduced words of one length, one in a row."""
+    total = np.zeros(len(forms), np.uint64)
+    for k in range(forms.shape[1]):
+        total = total * W.BASE + forms[:, k]
+    return _code(total, forms.shape[1])
+
+
+def neighbourhood(forms: np.ndarray, symbols: int) -> Iterator[np.ndarray]:
+    """Codes of the reduced words themselves and of all that are one edit from them; some come more than once."""
+    n, size = forms.shape
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size + 1, W.BASE, np.uint64), dtype=np.uint64)])
+    front = [np.zeros(n, np.uint64)]
+    for k in range(size):
+        front.append(front[-1] * W.BASE + forms[:, k])
+    back = [front[size] - front[k] * power[size - k] for k in range(size + 1)]
+    yield _code(front[size], size)
+    for k in range(size):
+        yield _code(front[k] * power[size - 1 - k] + back[k + 1], size - 1)
+        for s in range(1, symbols + 1):
+            yield _code(front[k] * power[size - k] + np.uint64(s) * power[size - 1 - k] + back[k + 1], size)
+    for k in range(size + 1):
+        for s in range(1, symbols + 1):
+            yield _code(front[k] * power[size + 1 - k] + np.uint64(s) * power[size - k] + back[k], size + 1)
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[tuple[list[str], list[int], np.ndarray]]:
+    """(words, their counts, reduced words as rows of symbols) in portions of one length."""
+    table, held, count = symbol_table(symbols), {}, 0
+
+    def portions():
+        for size, (words, numbers) in held.items():
+            letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            for a in range(0, len(words), AT_ONCE):
+                yield words[a: a + AT_ONCE], numbers[a: a + AT_ONCE], table[letters[a: a + AT_ONCE]]
+
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words, numbers = held.setdefault(len(word), ([], []))
+            words.append(word)
+            numbers.append(n)
+            count += 1
+        if count >= AT_ONCE:
+            yield from portions()
+            held, count = {}, 0
+    yield from portions()
 
 
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """(word, near, near_n) for all ordered pairs of (word, n) exactly one edit apart."""
-    small = words.select("word", "n", reduced(F.col("word"), symbols).alias("__reduced"))
-    # a word's neighbourhood is made in many tasks: it multiplies the rows
-    left = small.select("word", F.explode(neighbourhood(F.col("__reduced"), symbols)).alias("__reduced"))
-    right = small.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "__reduced")
-    return left.join(right, "__reduced").filter(F.levenshtein("word", "near", 1) == 1).drop("__reduced")
+    """(word, near, near_n) for all ordered pairs of (word, n) exactly one edit apart.
+
+    A generated code that the bit map of the reduced vocabulary lacks is dropped where it was made; the map has a fixed size.
+    """
+    spark = words.sparkSession
+
+    def codes(batches):
+        for found, n, forms in _by_length(batches, symbols):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.string()), pa.array(n, pa.int64()), pa.array(reduced_codes(forms).view(np.int64))], ["near", "near_n", "code"])
+
+    place, counted = shared_folder(spark, "reduced"), words.select("word", "n")
+    counted.mapInArrow(codes, "near string, near_n bigint, code bigint").write.parquet(place)
+    vocabulary = spark.read.parquet(place)
+    sent = spark.sparkContext.broadcast(bit_map(vocabulary, "code"))
+
+    def generate(batches):
+        for found, _, forms in _by_length(batches, symbols):
+            at, code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for near in neighbourhood(forms, symbols):
+                hit = np.flatnonzero(holds(sent.value, near))
+                at.append(hit)
+                code.append(near[hit])
+            at, code = np.concatenate(at), np.concatenate(code)
+            order = np.lexsort((code, at))
+            at, code = at[order], code[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()).take(pa.array(at[new])), pa.array(code[new].view(np.int64))], ["word", "code"])
+
+    left = counted.mapInArrow(generate, "word string, code bigint")
+    return left.join(vocabulary, "code").filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 
 def roots(forms: DataFrame, most: int, least: int = MIN_COUNT, ratio: float = RATIO) -> DataFrame:
