@@ -2,10 +2,10 @@
 
 Each parser returns a struct with an ``error`` code. The first broken rule in
 reading order wins. ``*_segments`` keep ranges folded as (lo, hi) and never
-grow with the document; ``quire.operators.select.listed_pages`` makes rows of
-them at any size. The expanding parsers make one array: they refuse what a
-Spark array of integers cannot hold with TOO_MANY_PAGES or TOO_LARGE, and more
-than ``max_pages`` where a caller sets it.
+grow with the document, ``page_set`` merges them into sorted, disjoint and
+counted ones, and ``quire.operators.select.listed_pages`` makes rows of either
+at any size. The expanding parsers make one array: more than ``max_pages``, or
+pages no integer holds, are refused with TOO_MANY_PAGES or TOO_LARGE.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from quire.functions import col, let
 from quire.functions.text import INNER_SPACE, WHITE
 
-# what one array of Spark holds, and the largest page an array of integers takes
-ARRAY_LIMIT = 2_147_483_632
+# an array is one value of a row, and a row is bound to 2 GiB: four bytes and a bit for each integer
+ARRAY_LIMIT = 520_000_000
+#: Pages in one array unless a caller says otherwise; more of them are rows (``listed_pages``), not an array.
+MAX_PAGES = 1 << 26
 INT_MAX = 2_147_483_647
 # stands for every number of more than 18 digits, which gets an error code
 HUGE = 10**18
@@ -109,18 +111,58 @@ def _whole(count: Column) -> Column:
     )
 
 
-def _expand(parsed: Column, max_pages: int | None, ordered: bool) -> Column:
-    most = ARRAY_LIMIT if max_pages is None else min(max_pages, ARRAY_LIMIT)
+def _size(segments: Column) -> Column:
+    """Pages of folded segments, at most ``HUGE``; null for null."""
+    return F.aggregate(
+        segments,
+        F.lit(0).cast("bigint"),
+        lambda acc, s: F.least(acc + F.abs(s["hi"] - s["lo"]) + 1, F.lit(HUGE)),
+    )
+
+
+def merge_segments(segments: Column | str) -> Column:
+    """Sorted, disjoint segments of the same pages; neighbours are joined, and lo <= hi."""
+    ordered = F.sort_array(
+        F.transform(col(segments), lambda s: F.struct(F.least(s["lo"], s["hi"]).alias("lo"), F.greatest(s["lo"], s["hi"]).alias("hi")))
+    )
+    empty = F.struct(F.array().cast(NO_SEGMENTS).alias("done"), F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("last"))
 
-    def size(segments: Column) -> Column:
-        return F.aggregate(
-            segments,
-            F.lit(0).cast("bigint"),
-            lambda acc, s: F.least(acc + F.abs(s["hi"] - s["lo"]) + 1, F.lit(HUGE)),
+    def step(acc: Column, s: Column) -> Column:
+        joins = s["lo"] <= acc["last"]["hi"] + 1
+        grown = F.struct(acc["last"]["lo"].alias("lo"), F.greatest(acc["last"]["hi"], s["hi"]).alias("hi"))
+        return (
+            F.when(acc["last"].isNull(), F.struct(acc["done"].alias("done"), s.alias("last")))
+            .when(joins, F.struct(acc["done"].alias("done"), grown.alias("last")))
+            .otherwise(F.struct(F.array_append(acc["done"], acc["last"]).alias("done"), s.alias("last")))
         )
 
+    return F.aggregate(
+        ordered, empty, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
+    )
+
+
+def page_set(parsed: Column) -> Column:
+    """Folded segments as a set: struct(segments, n, error), at any size; ``n`` counts the pages."""
+
+    def build(p: Column) -> Column:
+        return let(
+            F.when(p["error"].isNull(), merge_segments(p["segments"])),
+            lambda m: F.struct(m.alias("segments"), _size(m).alias("n"), p["error"].alias("error")),
+        )
+
+    return let(parsed, build)
+
+
+def _expand(parsed: Column, max_pages: int | None, ordered: bool) -> Column:
+    most = min(MAX_PAGES if max_pages is None else max_pages, ARRAY_LIMIT)
+
+    def folded(p: Column) -> Column:
+        # a set is merged before it is counted and listed, so repeats cost nothing
+        segments = F.when(p["error"].isNull(), p["segments"] if ordered else merge_segments(p["segments"]))
+        return F.struct(segments.alias("segments"), p["error"].alias("error"))
+
     def judged(p: Column) -> Column:
-        too_many = F.coalesce(size(p["segments"]) > most, F.lit(False))
+        too_many = F.coalesce(_size(p["segments"]) > most, F.lit(False))
         too_large = F.coalesce(
             F.exists(p["segments"], lambda s: F.greatest(s["lo"], s["hi"]) > INT_MAX), F.lit(False)
         )
@@ -132,15 +174,13 @@ def _expand(parsed: Column, max_pages: int | None, ordered: bool) -> Column:
         return F.struct(p["segments"].alias("segments"), error.alias("error"))
 
     def build(p: Column) -> Column:
-        usable = F.when(p["error"].isNull(), p["segments"]).otherwise(F.array().cast(NO_SEGMENTS))
+        usable = F.when(p["error"].isNull(), p["segments"])
         pages = F.flatten(
             F.transform(usable, lambda s: F.sequence(s["lo"].cast("int"), s["hi"].cast("int")))
         )
-        if not ordered:
-            pages = F.sort_array(F.array_distinct(pages))
-        return F.struct(F.when(p["error"].isNull(), pages).alias("pages"), p["error"].alias("error"))
+        return F.struct(pages.alias("pages"), p["error"].alias("error"))
 
-    return let(let(parsed, judged), build)
+    return let(let(let(parsed, folded), judged), build)
 
 
 # --- strict grammar -------------------------------------------------------

@@ -114,7 +114,8 @@ def listed_pages(specs: DataFrame, segments: str = "segments", bits: int = 16) -
     """
     rest = [c for c in specs.columns if c != segments]
     count = F.transform(segments, lambda s: F.abs(s["hi"] - s["lo"]) + 1)
-    before = F.transform(count, lambda _, i: F.aggregate(F.slice(count, 1, i), F.lit(0).cast("bigint"), lambda a, n: a + n))
+    before = F.aggregate(count, F.array(F.lit(0).cast("bigint")), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+    before = F.slice(before, 1, F.size(count))
     placed = F.arrays_zip(F.col(segments).alias("s"), count.alias("n"), before.alias("b"))
     flat = specs.select(*rest, F.explode(placed).alias("__p")).select(
         *rest, F.col("__p.s.lo").alias("__lo"), F.col("__p.s.hi").alias("__hi"), F.col("__p.n").alias("__n"), F.col("__p.b").alias("__b")

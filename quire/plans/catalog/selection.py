@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
-from quire.operators.select import delete_pages, extract_pages, format_ranges
+from quire.operators.select import delete_pages, extract_pages, format_ranges, listed_pages
 from quire.operators.text import has_text
 from quire.plans.registry import query
 from quire.plans.roles import (
@@ -138,6 +138,70 @@ def _parse_range_lenient(spark, sf_dir):
     )
 
 
+@query(
+    "listed_pages",
+    f"""
+    WITH specs AS (SELECT o_orderkey, {LENIENT_SPEC} AS spec FROM orders),
+    tok AS (SELECT o_orderkey, trim(unnest(string_split(spec, ','))) AS t FROM specs),
+    num AS (
+        SELECT o_orderkey,
+               CASE WHEN contains(t, '-') THEN trim(left(t, instr(t, '-') - 1)) ELSE t END AS a,
+               CASE WHEN contains(t, '-') THEN trim(substr(t, instr(t, '-') + 1)) ELSE t END AS b
+        FROM tok WHERE t <> ''),
+    val AS (
+        SELECT o_orderkey,
+               CASE WHEN regexp_full_match(a, '\\+?[0-9]+') THEN a::BIGINT END AS a,
+               CASE WHEN regexp_full_match(b, '\\+?[0-9]+') THEN b::BIGINT END AS b
+        FROM num),
+    ok AS (SELECT o_orderkey FROM val GROUP BY 1 HAVING bool_and(a IS NOT NULL AND b IS NOT NULL)),
+    pages AS (
+        SELECT DISTINCT o_orderkey, unnest(range(least(a, b), greatest(a, b) + 1)) AS page
+        FROM val WHERE o_orderkey IN (SELECT o_orderkey FROM ok))
+    SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY page) AS item, page FROM pages
+    """,
+)
+def _listed_pages(spark, sf_dir):
+    """The pages of every lenient set as rows; no array of pages is made."""
+    specs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(LENIENT_SPEC).alias("spec"))
+    return listed_pages(specs.select("o_orderkey", R.page_set(R.lenient_segments("spec"))["segments"].alias("segments")))
+
+
+WIDE_SPEC = """
+    concat(o_orderkey * 700001 % 4000000007, '-', o_custkey * 900001 % 4000000007, ',', o_orderkey % 9 + 1, '-', o_custkey % 11 + 1,
+           ', +', o_orderkey % 13, CASE WHEN o_orderstatus = 'F' THEN ',x' ELSE ',5-2 , 1-4000000000' END,
+           CASE WHEN o_orderpriority = '2-HIGH' THEN ',4000000002' ELSE '' END)
+"""
+
+
+@query(
+    "page_set",
+    f"""
+    WITH specs AS (SELECT o_orderkey, o_orderstatus, {WIDE_SPEC} AS spec FROM orders),
+    tok AS (SELECT o_orderkey, trim(unnest(string_split(spec, ','))) AS t FROM specs WHERE o_orderstatus <> 'F'),
+    val AS (
+        SELECT o_orderkey, ltrim(split_part(t, '-', 1), '+')::BIGINT AS a,
+               ltrim(CASE WHEN contains(t, '-') THEN split_part(t, '-', 2) ELSE t END, '+')::BIGINT AS b FROM tok),
+    seg AS (SELECT o_orderkey, least(a, b) AS lo, greatest(a, b) AS hi FROM val),
+    run AS (
+        SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY o_orderkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1
+                       THEN 0 ELSE 1 END AS opens FROM seg),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY o_orderkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM run),
+    merged AS (SELECT o_orderkey, g, min(lo) AS lo, max(hi) AS hi FROM numbered GROUP BY ALL),
+    folded AS (
+        SELECT o_orderkey, string_agg(concat(lo, '-', hi), ';' ORDER BY lo) AS ranges, sum(hi - lo + 1)::BIGINT AS n FROM merged GROUP BY 1)
+    SELECT s.o_orderkey, s.spec, f.ranges, f.n, CASE WHEN s.o_orderstatus = 'F' THEN 'INVALID_PAGES' END AS error
+    FROM specs s LEFT JOIN folded f USING (o_orderkey)
+    """,
+)
+def _page_set(spark, sf_dir):
+    """Sets of billions of pages, folded."""
+    specs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(WIDE_SPEC).alias("spec"))
+    ranges = F.transform("r.segments", lambda s: F.concat_ws("-", s["lo"].cast("string"), s["hi"].cast("string")))
+    return specs.withColumn("r", R.page_set(R.lenient_segments("spec"))).select(
+        "o_orderkey", "spec", F.array_join(ranges, ";").alias("ranges"), F.col("r.n").alias("n"), F.col("r.error").alias("error")
+    )
+
+
 ORDERED_SPEC = """
     CASE o_orderpriority
         WHEN '1-URGENT' THEN concat(o_orderkey % 9, ' , ', o_custkey % 6 + 1, '-Z')

@@ -1,5 +1,7 @@
 """Page-range grammars: values that must hold, and round trips."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -179,3 +181,37 @@ def test_pages_as_rows(spark):
     rows = listed_pages(df.select("doc_id", F.col("parsed.segments").alias("segments")))
     assert [r["page"] for r in rows.filter("doc_id = 1").orderBy("item").collect()] == [5, 4, 3, 9]
     assert rows.filter("doc_id = 2").agg(F.count("*"), F.max("page"), F.max("item")).first()[:] == (300000, 300000, 300000)
+
+
+def _pages(segments):
+    return sorted({p for lo, hi in segments for p in range(min(lo, hi), max(lo, hi) + 1)})
+
+
+def test_merged_segments_are_sorted_disjoint_and_counted(spark):
+    rng = random.Random(5)
+    rows = [(k, [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(12))]) for k in range(200)]
+    frame = spark.createDataFrame(rows + [(900, None)], "k int, s array<struct<lo:bigint,hi:bigint>>")
+    got = {r["k"]: r["m"] for r in frame.select("k", R.merge_segments("s").alias("m")).collect()}
+    assert got.pop(900) is None
+    for k, segments in rows:
+        merged = [(m["lo"], m["hi"]) for m in got[k]]
+        assert _pages(merged) == _pages(segments)
+        assert all(lo <= hi for lo, hi in merged) and all(a[1] + 1 < b[0] for a, b in zip(merged, merged[1:]))
+
+
+def test_huge_specs_end_in_a_code_or_a_segment(one):
+    everything = one(R.page_set(R.lenient_segments(F.lit("7,1-4000000000,5-2,4000000001"))))
+    assert (everything["segments"], everything["n"], everything["error"]) == ([(1, 4000000001)], 4000000001, None)
+    for spec in ("1-4000000000", "1-540000000", "1-70000000", "1-9,540000000-1"):
+        assert one(R.parse_range(F.lit(spec)))["error"] == "TOO_MANY_PAGES"
+        assert one(R.parse_range_lenient(F.lit(spec)))["error"] == "TOO_MANY_PAGES"
+    assert one(R.expand_spec(F.lit("1-z"), F.lit(540000000)))["error"] == "TOO_MANY_PAGES"
+    assert one(R.page_set(R.parse_range_segments(F.lit("3,x"))))["error"] == "BAD_NUMBER"
+    # pages named many times over are one set
+    many = ",".join(["1-1000000"] * 300)
+    assert len(one(R.parse_range(F.lit(many)))["pages"]) == 1000000
+
+
+def test_many_tokens(one):
+    spec = ",".join(str(k) for k in range(20000, 0, -2))
+    assert one(R.page_set(R.lenient_segments(F.lit(spec))))["n"] == 10000
