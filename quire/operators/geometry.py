@@ -7,63 +7,64 @@ from pyspark.sql import functions as F
 
 from quire.functions import col, let
 from quire.functions import geometry as geo
-from quire.session import cut_lineage
+from quire.plans.climb import climb
 
-MAX_UP = 33
 DEFAULT_BOX = (0.0, 0.0, 612.0, 792.0)
 LABEL_SIZE = 12.0
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 
-def resolve_inherited(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Effective boxes of pages from a page tree.
-
-    ``nodes`` is (doc_id, node, parent, media, crop, trim, rotate, user_unit);
-    boxes are structs, null where absent or invalid. ``pages`` (doc_id, node)
-    names the wanted nodes, by default those that are nobody's parent. The
-    nearest of at most 33 nodes on the way up wins for media, crop and rotate;
-    trim and unit are the page's own.
-
-    The recursion walks inner nodes only, each from its own place upwards, and
-    pages then take the result of their parent with one join.
-    """
-    spark = nodes.sparkSession
+def _inner(nodes: DataFrame) -> DataFrame:
+    """The nodes that are somebody's parent, with their own boxes."""
     parents = (
         nodes.filter(F.col("parent").isNotNull()).select("doc_id", F.col("parent").alias("node")).distinct()
     )
-    own = nodes.select(
+    return nodes.select(
         "doc_id",
         "node",
         "parent",
         geo.normalize_box("media").alias("media"),
         geo.normalize_box("crop").alias("crop"),
         F.col("rotate").alias("rotate"),
+    ).join(parents, ["doc_id", "node"], "left_semi")
+
+
+def tree_cycles(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node, error): inner nodes whose way up never ends (CYCLE) or ends at a parent that is missing (NO_PARENT)."""
+    walks = climb(_inner(nodes), {})
+    return walks.filter(~F.col("rooted") | F.col("up").isNotNull()).select(
+        "doc_id", "node", F.when(F.col("up").isNotNull(), "CYCLE").otherwise("NO_PARENT").alias("error")
     )
-    inner = cut_lineage(own.join(parents, ["doc_id", "node"], "left_semi"))
-    # a walk goes on while something is still unknown; a page itself is step 1
-    walks = spark.sql(
-        """
-        WITH RECURSIVE walk AS (
-            SELECT doc_id, node, parent AS up, media, crop, rotate, 2 AS steps FROM {inner}
-            UNION ALL
-            SELECT w.doc_id, w.node, n.parent, coalesce(w.media, n.media),
-                   coalesce(w.crop, n.crop), coalesce(w.rotate, n.rotate), w.steps + 1
-            FROM walk w JOIN {inner} n ON w.doc_id = n.doc_id AND w.up = n.node
-            WHERE w.steps < {limit}
-              AND (w.media IS NULL OR w.crop IS NULL OR w.rotate IS NULL)
-        )
-        SELECT * FROM walk
-        """,
-        inner=inner,
-        limit=MAX_UP,
-    )
-    known = walks.groupBy("doc_id", F.col("node").alias("parent")).agg(
-        F.max_by("media", "steps").alias("__media"),
-        F.max_by("crop", "steps").alias("__crop"),
-        F.max_by("rotate", "steps").alias("__rotate"),
-    )
+
+
+def resolve_inherited(nodes: DataFrame, pages: DataFrame | None = None, max_up: int | None = None) -> DataFrame:
+    """Effective boxes of pages from a page tree.
+
+    ``nodes`` is (doc_id, node, parent, media, crop, trim, rotate, user_unit);
+    boxes are structs, null where absent or invalid. ``pages`` (doc_id, node)
+    names the wanted nodes, by default those that are nobody's parent. The
+    nearest node on the way up wins for media, crop and rotate, however far it is,
+    or among ``max_up`` nodes with the page itself; trim and unit are the page's
+    own. On a cycle every node is met once; ``tree_cycles`` reports those.
+
+    Inner nodes find their values by pointer doubling, and pages then take the
+    result of their parent with one join.
+    """
+    def nearest(own: Column, above: Column) -> Column:
+        # ``l.steps`` nodes lie between a node and the one it points to
+        return F.coalesce(own, F.when(above.isNotNull(), F.struct(above["v"].alias("v"), (above["at"] + F.col("l.steps")).alias("at"))))
+
+    def placed(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("v"), F.lit(0).cast("bigint").alias("at")))
+
+    names = ("media", "crop", "rotate")
+    inner = _inner(nodes)
+    walks = climb(inner, {n: (placed(n), nearest) for n in names}, F.col("media").isNotNull() & F.col("crop").isNotNull() & F.col("rotate").isNotNull())
+    # the page is the first node, its parent the second
+    near = {n: F.col(n) if max_up is None else F.when(F.col(n)["at"] + 2 <= max_up, F.col(n)) for n in names}
+    known = walks.select("doc_id", F.col("node").alias("parent"), *[c["v"].alias(f"__{n}") for n, c in near.items()])
     if pages is None:
-        wanted = nodes.join(parents, ["doc_id", "node"], "left_anti")
+        wanted = nodes.join(inner.select("doc_id", "node"), ["doc_id", "node"], "left_anti")
     else:
         wanted = nodes.join(pages.select("doc_id", "node"), ["doc_id", "node"], "left_semi")
     unit = F.col("user_unit")

@@ -1,5 +1,7 @@
 """Boxes, mappings, labels and inherited attributes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,11 +140,44 @@ def test_inheritance(spark):
     assert tuple(got[2, 1]["media"]) == (0, 0, 612, 792) and got[2, 1]["rotate"] == 0
 
 
-@pytest.mark.parametrize("depth,found", [(33, True), (34, False)])
-def test_inheritance_reaches_33_nodes(spark, depth, found):
-    """A page and 32 nodes above it are looked at, no more."""
+@pytest.mark.parametrize("depth,most,found", [(33, 33, True), (34, 33, False), (34, 34, True), (700, None, True)])
+def test_inheritance_reaches_any_depth_or_a_stated_one(spark, depth, most, found):
+    """With a limit of 33 a page and 32 nodes above it are looked at, no more."""
     rows = [(1, i, i + 1 if i < depth else None, None, None, None, 90 if i == depth else None, None) for i in range(1, depth + 1)]
-    assert G.resolve_inherited(tree(spark, rows)).first()["rotate"] == (90 if found else 0)
+    assert G.resolve_inherited(tree(spark, rows), max_up=most).first()["rotate"] == (90 if found else 0)
+
+
+def test_cycles_and_missing_parents_are_reported(spark):
+    none = (None,) * 5
+    rows = [(1, 1, 2, *none), (1, 2, 3, *none), (1, 3, 4, *none), (1, 4, 2, *none), (2, 1, 2, *none), (2, 2, None, *none), (3, 1, 2, *none), (3, 2, 9, *none), (4, 5, 5, *none)]
+    got = sorted(tuple(r) for r in G.tree_cycles(tree(spark, rows)).collect())
+    assert got == [(1, 2, "CYCLE"), (1, 3, "CYCLE"), (1, 4, "CYCLE"), (3, 2, "NO_PARENT"), (4, 5, "CYCLE")]
+
+
+def test_inheritance_against_walking(spark):
+    """Random forests, one document with most nodes, long chains and cycles among them."""
+    rng = random.Random(31)
+    rows, by = [], {}
+    for doc, size in ((1, 400), (2, 30), (3, 5), (4, 1)):
+        for i in range(size):
+            parent = i - 1 if rng.random() < 0.8 else rng.randrange(size + 2)
+            parent = None if i == 0 or rng.random() < 0.02 else parent
+            box_ = (0.0, 0.0, float(i + 1), 5.0) if rng.random() < 0.02 else None
+            turn = 90 * rng.randrange(4) if rng.random() < 0.02 else None
+            rows.append((doc, i, parent, box_, None, None, turn, None))
+            by[doc, i] = (parent, box_, turn)
+    parents = {(d, p) for (d, _), (p, *_) in by.items()}
+
+    def walked(doc, node, place):
+        seen = set()
+        while node is not None and (doc, node) in by and node not in seen:
+            if by[doc, node][place] is not None:
+                return by[doc, node][place]
+            seen.add(node)
+            node = by[doc, node][0]
+
+    got = {(r["doc_id"], r["node"]): (tuple(r["media"]), r["rotate"]) for r in G.resolve_inherited(tree(spark, rows)).collect()}
+    assert got == {k: (walked(*k, 1) or (0, 0, 612, 792), walked(*k, 2) or 0) for k in by if k not in parents}
 
 
 def test_inheritance_survives_a_cycle(spark):

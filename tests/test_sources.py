@@ -244,6 +244,33 @@ def test_deep_outlines_and_cycles(spark):
     assert got == [(1, k + 1, k) for k in range(130)]
 
 
+def test_outline_against_a_walk(spark):
+    """One document with most items, many children of one node, equal sibling numbers, nodes below nothing."""
+    rng, rows, children = random.Random(9), [], {}
+    for doc, size in ((1, 600), (2, 40), (3, 1)):
+        for i in range(size):
+            parent = None if i == 0 or rng.random() < 0.05 else 0 if rng.random() < 0.3 else rng.randrange(max(0, i - 3), i)
+            row = (doc, i, parent, rng.randrange(4), rng.choice(["t", " ", f"n{i}"]), None)
+            rows.append(row)
+            children.setdefault((doc, parent), []).append(row)
+    rows += [(1, 9001, 9000, 0, "lost", None), (1, 9002, 9001, 0, "lost", None), (1, 9003, 9003, 0, "loop", None)]
+    want = []
+
+    def walk(doc, parent, level):
+        for row in sorted(children.get((doc, parent), []), key=lambda r: (r[3], r[1])):
+            if row[4].strip():
+                want.append((doc, sum(w[0] == doc for w in want) + 1, row[4], level))
+            walk(doc, row[1], level + 1)
+
+    for doc in (1, 2, 3):
+        walk(doc, None, 0)
+    nodes = spark.createDataFrame(rows, "doc_id int, node int, parent int, sibling_no int, title string, target string").repartition(4)
+    pages = spark.createDataFrame([], "doc_id int, target string, page int")
+    got = outline(nodes, pages).select("doc_id", "item_no", "title", "level").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert "Window" not in outline(nodes, pages)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metadata_edits_in_order(spark):
     docs = spark.createDataFrame([(1, {"Title": "t", "X": "x"}), (2, {"X": "x"})], "doc_id int, info map<string,string>")
     edits = spark.createDataFrame(
