@@ -35,7 +35,7 @@ from quire.session import shared_folder
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: The first round expands the rarest words that hold this share of all occurrences, later ones so many times more.
-SHARE, STEP = 1 / 32, 8
+SHARE, STEP = 1 / 8, 8
 BITS = 25
 #: Distinct phrases a task holds before it hands them on.
 HELD = 1 << 19
@@ -188,7 +188,9 @@ def with_cuts(words: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
         here = counts.filter(F.col("size") == size)
         head = level.select("lang", "total", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
         tail = level.select(F.col("phrase").alias("tail"), F.concat("tails", F.array("a")).alias("tails"))
-        level = here.join(head, "head").join(tail, "tail").select("lang", "total", "size", "phrase", "inner", F.col("n").alias("a"), "heads", "tails")
+        # each level is read by both ends of the next one, so it is written
+        level = _saved(here.join(head, "head").join(tail, "tail").select(
+            "lang", "total", "size", "phrase", "inner", F.col("n").alias("a"), "heads", "tails"), "cuts")
         out = level if out is None else out.unionByName(level)
     longer = counts.filter(F.col("size") > 2).select(F.explode(F.array("head", "tail")).alias("phrase"), "n")
     longer = longer.groupBy("phrase").agg(F.max("n").alias("__longer"))
