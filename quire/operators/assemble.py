@@ -20,6 +20,9 @@ from quire.plans.blocks import (
     row_numbers,
     run_numbers,
 )
+from quire.plans.moves import shifted as shifted_items
+from quire.plans.moves import shifts
+from quire.session import shared_folder
 
 MIN_SHEET = 72.0
 MIN_TILE = 36.0
@@ -57,39 +60,33 @@ def shifted(position: Column, source: Column, target: Column) -> Column:
     )
 
 
-def step(position: Column, steps: Column) -> Column:
-    """Place of an item after moves (src, dst), one after another."""
-    return F.aggregate(
-        steps, position.cast("bigint"), lambda at, m: shifted(at, m["src"].cast("bigint"), m["dst"].cast("bigint"))
-    )
-
-
-def move_file(files: DataFrame, moves: DataFrame) -> DataFrame:
+def move_file(files: DataFrame, moves: DataFrame, block_moves: int | None = None) -> DataFrame:
     """Move files of a document from place ``src`` to ``dst`` (both 0-based ``ord``).
 
     ``moves`` is (doc_id, src, dst) and, where a document has several, ``seq``: they
     are applied in that order. Flags such as ``active`` belong to the file row and
-    travel with it. Equal or out-of-range places change nothing.
+    travel with it. Equal or out-of-range places change nothing. Lists of moves of
+    any length become maps of stretches, see ``quire.plans.moves``.
     """
-    seq = [c for c in ("seq",) if c in moves.columns]
-    sizes = files.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    real = (
-        moves.join(sizes, "doc_id")
-        .filter(
-            (F.col("src") != F.col("dst"))
-            & (F.col("src") >= 0)
-            & (F.col("dst") >= 0)
-            & (F.col("src") < F.col("__n"))
-            & (F.col("dst") < F.col("__n"))
-        )
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*seq, "src", "dst"))).alias("__moves"))
-    )
-    moved = F.when(F.col("__moves").isNull(), F.col("ord")).otherwise(
-        step(F.col("ord"), F.col("__moves")).cast(files.schema["ord"].dataType)
+    order = "seq" if "seq" in moves.columns else "__order"
+    sizes = files.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    place = shared_folder(files.sparkSession, "moves")
+    src, dst = (F.col(c).cast("bigint") for c in ("src", "dst"))
+    real = moves.withColumn("__order", F.struct("src", "dst")).join(sizes, "doc_id").filter(
+        (src != dst) & (src >= 0) & (dst >= 0) & (src < F.col("n")) & (dst < F.col("n"))
     )
-    return files.join(real, "doc_id", "left").select(
-        *[c if c != "ord" else moved.alias("ord") for c in files.columns]
+    real.select("doc_id", order, src.alias("src"), dst.alias("dst"), "n").write.parquet(place)
+    real = files.sparkSession.read.parquet(place)
+    most = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]
+    if (most or 0) > 1:
+        maps = shifts(real, ["doc_id"], order, block_moves)
+        moved = files.join(real.select("doc_id").distinct(), "doc_id", "left_semi")
+        same = files.join(real.select("doc_id").distinct(), "doc_id", "left_anti")
+        return shifted_items(moved, maps, ["doc_id"], "ord").unionByName(same.select(*files.columns))
+    single = real.select("doc_id", F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    at = F.when(F.col("__src").isNull(), F.col("ord")).otherwise(shifted(F.col("ord"), F.col("__src"), F.col("__dst")))
+    return files.join(single, "doc_id", "left").select(
+        *[c if c != "ord" else at.cast(files.schema["ord"].dataType).alias("ord") for c in files.columns]
     )
 
 

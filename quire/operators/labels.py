@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.assemble import shifted, step
-from quire.plans.blocks import ORDER_BITS, row_numbers
+from quire.operators.assemble import shifted
+from quire.plans.moves import item_shifts
+from quire.plans.moves import shifted as shifted_items
+from quire.plans.scan import scan_numbers
+from quire.session import shared_folder
 
 RECENT = 25
 SHOWN_ON_HOME = 6
@@ -29,57 +32,36 @@ def bates(
     return pages.withColumn("label", page_label(number, prefix, pad, date))
 
 
-def z_order(annots: DataFrame, moves: DataFrame, bits: int = ORDER_BITS) -> DataFrame:
+def z_order(annots: DataFrame, moves: DataFrame, block_moves: int | None = None) -> DataFrame:
     """Move annotations among the annotations of their page.
 
     ``annots`` is (doc_id, page_index, id, ord, ...), ``moves`` (doc_id, id, dir)
     with front, back, forward or backward and, where a page has several, ``seq``:
     they are applied in that order. ``ord`` comes back as the 1-based layer on the
-    page, later layers in front.
+    page, later layers in front. Moves of a page are replayed in blocks, each a map
+    of stretches, see ``quire.plans.moves``.
     """
-    page = ["doc_id", "page_index"]
-    seq = [c for c in ("seq",) if c in moves.columns]
-    moving = annots.select(*page, "id", F.col("ord").alias("__ord")).join(moves, ["doc_id", "id"])
-    # the place of a moving annotation is a count, so only its page is looked at
-    places = (
-        annots.select(*page, "ord")
-        .join(moving.select(*page, "id", "__ord").distinct(), page)
-        .groupBy(*page, "id")
-        .agg(F.count_if(F.col("ord") <= F.col("__ord")).alias("__place"), F.count(F.lit(1)).alias("__n"))
-    )
-    by_page = (
-        moving.join(places, [*page, "id"])
-        .groupBy(*page)
-        .agg(
-            F.array_sort(F.collect_list(F.struct(*seq, "id", "dir"))).alias("__moves"),
-            F.map_from_entries(F.collect_set(F.struct("id", "__place"))).alias("__places"),
-            F.first("__n").alias("__n"),
-        )
-    )
-    start = F.struct(
-        F.col("__places").alias("at"), F.array().cast("array<struct<src:bigint,dst:bigint>>").alias("steps")
-    )
-
-    def moved(state: Column, move: Column) -> Column:
-        src = state["at"][move["id"]]
-        wanted = (
-            F.when(move["dir"] == "backward", src - 1)
-            .when(move["dir"] == "forward", src + 1)
-            .when(move["dir"] == "back", F.lit(1).cast("bigint"))
-            .otherwise(F.col("__n"))
-        )
-        dst = F.least(F.greatest(wanted, F.lit(1).cast("bigint")), F.col("__n"))
-        return F.struct(
-            F.transform_values(state["at"], lambda _, at: shifted(at, src, dst)).alias("at"),
-            F.concat(state["steps"], F.array(F.struct(src.alias("src"), dst.alias("dst")))).alias("steps"),
-        )
-
-    wanted = by_page.select(*page, F.aggregate("__moves", start, moved, lambda s: s["steps"]).alias("__steps"))
-    numbered = row_numbers(annots, page, "ord", "__pos", bits)
-    layer = F.when(F.col("__steps").isNull(), F.col("__pos")).otherwise(step(F.col("__pos"), F.col("__steps")))
-    return numbered.join(wanted, page, "left").select(
-        *[c if c != "ord" else layer.alias("ord") for c in annots.columns]
-    )
+    spark, page = annots.sparkSession, ["doc_id", "page_index"]
+    order = "seq" if "seq" in moves.columns else "__order"
+    numbered = scan_numbers(annots, page, "ord", "__pos")
+    sizes = numbered.groupBy(*page).agg(F.max("__pos").alias("n"))
+    places = numbered.select(*page, "id", (F.col("__pos") - 1).alias("src"))
+    moving = moves.withColumn("__order", F.struct("id", "dir")).join(places, ["doc_id", "id"]).join(sizes, page)
+    place = shared_folder(spark, "moves")
+    scan_numbers(moving.select(*page, order, "src", "dir", "n"), page, order, "no").write.parquet(place)
+    moving = spark.read.parquet(place)
+    most = moving.agg(F.max("no")).first()[0] or 0
+    rest = [c for c in annots.columns if c != "ord"]
+    if most > 1:
+        maps = item_shifts(moving, page, most, block_moves)
+        layered = shifted_items(numbered.select(*rest, "__pos"), maps, page, "__pos", first=1)
+    else:
+        last = F.col("n") - 1
+        wanted = F.when(F.col("dir") == "backward", F.col("src") - 1).when(F.col("dir") == "forward", F.col("src") + 1).when(F.col("dir") == "back", 0).otherwise(last)
+        single = moving.select(*page, (F.col("src") + 1).alias("__src"), (F.least(F.greatest(wanted, F.lit(0)), last) + 1).alias("__dst"))
+        at = F.when(F.col("__src").isNull(), F.col("__pos")).otherwise(shifted(F.col("__pos"), F.col("__src"), F.col("__dst")))
+        layered = numbered.join(single, page, "left").select(*rest, at.alias("__pos"))
+    return layered.select(*[c if c != "ord" else F.col("__pos").alias("ord") for c in annots.columns])
 
 
 def recent_jobs(

@@ -1,14 +1,14 @@
-"""Running sums by a parallel scan in two passes.
+"""Running sums and last known values by a parallel scan in two passes.
 
-The rows are written once, dealt into ranges of (key, order) and summed within each range, in order; a range knows only its
-own sum. What the ranges before it add to its first key is found from one row a range, so neither a key that holds most rows
-nor orders that are hashes make anything but more ranges. The input is evaluated once, rows are shuffled once, and nothing
-is windowed.
+The rows are written once, dealt into ranges of (key, order) and scanned within each range, in order; a range knows only its
+own rows. What the ranges before it add to its first key is found from one row a range, so neither a key that holds most
+rows nor orders that are hashes make anything but more ranges. The input is evaluated once, rows are shuffled once, and
+nothing is windowed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,33 @@ def _changes(column: pa.Array) -> np.ndarray:
     return ~same.to_numpy(zero_copy_only=False)
 
 
-def _summed(n_keys: int, n_values: int):
+def _sums(value: pa.Array, starts: np.ndarray, stretch: np.ndarray, held: int | None) -> tuple[pa.Array, int]:
+    """Sums of earlier rows of the key, and the sum after the last row."""
+    v = pc.fill_null(value, 0).to_numpy()
+    ahead = np.cumsum(v) - v
+    local = ahead - np.concatenate([[-(held or 0)], ahead[starts]])[stretch]
+    return pa.array(local), int(local[-1] + v[-1])
+
+
+def _lasts(value: pa.Array, starts: np.ndarray, stretch: np.ndarray, held: int | None) -> tuple[pa.Array, int | None]:
+    """The last value of the key that is not null, this row's included, and that of the last row."""
+    there = value.is_valid().to_numpy(zero_copy_only=False)
+    place = np.maximum.accumulate(np.where(there, np.arange(len(there)), -1))
+    inside = place >= np.concatenate([[0], starts])[stretch]
+    v = pc.fill_null(value, 0).to_numpy()[np.maximum(place, 0)]
+    waits = ~inside & (stretch == 0)
+    if held is not None:
+        v = np.where(waits, held, v)
+        inside = inside | waits
+    return pa.array(v, mask=~inside), int(v[-1]) if inside[-1] else None
+
+
+def _scanned(n_keys: int, n_values: int, within: Callable):
     """A function over the sorted batches of one range: columns are keys first, values last."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         part = TaskContext.get().partitionId()
-        last, runs, row, held = None, -1, 0, [0] * n_values
+        last, runs, row, held = None, -1, 0, [None] * n_values
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -49,11 +70,8 @@ def _summed(n_keys: int, n_values: int):
             starts, stretch = np.flatnonzero(new), np.cumsum(new)
             out = list(batch.columns)
             for k in range(n_values):
-                value = pc.fill_null(batch.column(batch.num_columns - n_values + k), 0).to_numpy()
-                ahead = np.cumsum(value) - value
-                local = ahead - np.concatenate([[-held[k]], ahead[starts]])[stretch]
-                out.append(pa.array(local))
-                held[k] = int(local[-1] + value[-1])
+                local, held[k] = within(batch.column(batch.num_columns - n_values + k), starts, stretch, held[k])
+                out.append(local)
             out += [pa.array(np.full(n, part, np.int32)), pa.array(runs + stretch), pa.array(row + np.arange(n))]
             last, runs, row = [k[n - 1].as_py() for k in keys], runs + len(starts), row + n
             names = [*batch.schema.names, *[f"__l{k}" for k in range(n_values)], "__part", "__run", "__row"]
@@ -62,42 +80,55 @@ def _summed(n_keys: int, n_values: int):
     return run
 
 
-def scan_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column]) -> DataFrame:
-    """Add the sum of each whole-number value over all earlier rows of the key, 0 at its start.
-
-    Rows without a key are one more key; rows without an order come first. ``order`` is unique within its key.
-    """
-    spark, keys = df.sparkSession, list(keys)
-    values = [value.cast("bigint").alias(f"__v{k}") for k, value in enumerate(sums.values())]
+def _scan(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], last: bool) -> DataFrame:
+    spark, keys, n = df.sparkSession, list(keys), len(values)
+    named = [value.cast("bigint").alias(f"__v{k}") for k, value in enumerate(values.values())]
     rest = [c for c in df.columns if c not in keys]
     waiting, done = shared_folder(spark, "scan-rows"), shared_folder(spark, "scan")
-    df.select(*keys, *rest, *values).write.parquet(waiting)
+    df.select(*keys, *rest, *named).write.parquet(waiting)
     rows = spark.read.parquet(waiting)
     along = [F.col(c).asc_nulls_first() for c in [*keys, order]]
     dealt = rows.repartitionByRange(*along).sortWithinPartitions(*along)
-    fields = [T.StructField(f"__l{k}", T.LongType()) for k in range(len(sums))]
+    fields = [T.StructField(f"__l{k}", T.LongType()) for k in range(n)]
     fields += [T.StructField("__part", T.IntegerType()), T.StructField("__run", T.LongType()), T.StructField("__row", T.LongType())]
-    dealt.mapInArrow(_summed(len(keys), len(sums)), T.StructType([*rows.schema.fields, *fields])).write.parquet(done)
+    dealt.mapInArrow(_scanned(len(keys), n, _lasts if last else _sums), T.StructType([*rows.schema.fields, *fields])).write.parquet(done)
     drop_folder(spark, waiting)
 
     scanned = spark.read.parquet(done)
     key = F.struct(*keys, F.lit(0).alias("__k"))
-    ends = F.struct(*[(F.col(f"__l{k}") + F.coalesce(f"__v{k}", F.lit(0))).alias(f"s{k}") for k in range(len(sums))])
+    ends = F.struct(*[(F.col(f"__l{k}") if last else F.col(f"__l{k}") + F.coalesce(f"__v{k}", F.lit(0))).alias(f"e{k}") for k in range(n)])
     ranges = scanned.groupBy("__part").agg(
-        F.min_by(key, "__row").alias("first"), F.max_by(key, "__row").alias("last"), F.max_by(ends, "__row").alias("sums"), F.max("__run").alias("runs"))
-    before, carry, carried = None, [0] * len(sums), []
+        F.min_by(key, "__row").alias("first"), F.max_by(key, "__row").alias("last"), F.max_by(ends, "__row").alias("ends"), F.max("__run").alias("runs"))
+    none = None if last else 0
+    before, carry, carried = None, [none] * n, []
     for part in sorted(ranges.collect(), key=lambda r: r["__part"]):  # one row a range
-        here = carry if before is not None and part["first"] == before else [0] * len(sums)
-        if any(here):
+        here = carry if before is not None and part["first"] == before else [none] * n
+        if any(x != none for x in here):
             carried.append((part["__part"], *here))
-        carry = [total + (extra if part["runs"] == 0 else 0) for total, extra in zip(part["sums"], here)]
+        on = part["runs"] == 0  # the range holds one key, so what came in goes out again
+        carry = [(here[k] if on and end is None else end) if last else end + (here[k] if on else 0) for k, end in enumerate(part["ends"])]
         before = part["last"]
-    found = {name: F.col(f"__l{k}") for k, name in enumerate(sums)}
+    found = {name: F.col(f"__l{k}") for k, name in enumerate(values)}
     if carried:
-        schema = "__part int, " + ", ".join(f"__c{k} bigint" for k in range(len(sums)))
+        schema = "__part int, " + ", ".join(f"__c{k} bigint" for k in range(n))
         scanned = scanned.join(F.broadcast(spark.createDataFrame(carried, schema)), "__part", "left")
-        found = {name: F.col(f"__l{k}") + F.when(F.col("__run") == 0, F.coalesce(f"__c{k}", F.lit(0))).otherwise(0) for k, name in enumerate(sums)}
-    return scanned.select(*df.columns, *[c.alias(name) for name, c in found.items()])
+        for k, name in enumerate(values):
+            came = F.when(F.col("__run") == 0, F.col(f"__c{k}"))
+            found[name] = F.coalesce(f"__l{k}", came) if last else F.col(f"__l{k}") + F.coalesce(came, F.lit(0))
+    return scanned.select(*[c for c in df.columns if c not in found], *[c.alias(name) for name, c in found.items()])
+
+
+def scan_lasts(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """Add the last whole number that is not null up to each row of the key, in order, this row's included."""
+    return _scan(df, keys, order, values, last=True)
+
+
+def scan_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """Add the sum of each whole-number value over all earlier rows of the key, 0 at its start.
+
+    Rows without a key are one more key; rows without an order come first. ``order`` is unique within its key.
+    """
+    return _scan(df, keys, order, sums, last=False)
 
 
 def scan_numbers(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Selection and assembly of pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,7 +282,7 @@ def test_z_order(spark, oid, direction, order):
     rows_ = [(1, 0, u, i * 10) for i, u in enumerate("abc")] + [(1, 1, "other", 5)]
     annots = spark.createDataFrame(rows_, "doc_id int, page_index int, id string, ord int")
     moves = spark.createDataFrame([(1, oid, direction)], "doc_id int, id string, dir string")
-    got = z_order(annots, moves, bits=1).filter("page_index = 0").orderBy("ord").collect()
+    got = z_order(annots, moves).filter("page_index = 0").orderBy("ord").collect()
     assert "".join(r["id"] for r in got) == order
     assert [r["ord"] for r in got] == [1, 2, 3]
 
@@ -292,7 +294,7 @@ def test_z_order_of_several_moves(spark):
         ([(1, 1, "a", "front"), (1, 2, "b", "front")], "cab"), ([(1, 2, "a", "front"), (1, 1, "b", "front")], "cba"),
         ([(1, 1, "a", "forward"), (1, 2, "a", "forward"), (1, 3, "a", "forward")], "bca"), ([(1, 1, "c", "back"), (1, 2, "a", "backward")], "acb"),
     ):
-        got = z_order(annots, spark.createDataFrame(moves, kind), bits=1).orderBy("ord").collect()
+        got = z_order(annots, spark.createDataFrame(moves, kind), block_moves=1).orderBy("ord").collect()
         assert ("".join(r["id"] for r in got), [r["ord"] for r in got]) == (order, [1, 2, 3])
 
 
@@ -302,3 +304,54 @@ def test_recent_jobs(spark):
     )
     got = recent_jobs(jobs, 2).collect()
     assert [(r["id"], r["finished_at"], r["status"]) for r in got] == [("a", 3, "completed"), ("b", 2, "completed")]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_long_lists_of_moves_against_a_list(spark, block):
+    """One document has most moves; moves that change nothing are among them."""
+    rng = random.Random(block)
+    sizes = {1: 50, 2: 9, 3: 1, 4: 6}
+    lists = {d: list(range(n)) for d, n in sizes.items()}
+    moves = []
+    for seq in range(150):
+        d = 1 if rng.random() < 0.85 else rng.choice([2, 3])
+        src, dst = rng.randrange(-1, sizes[d] + 1), rng.randrange(-1, sizes[d] + 1)
+        moves.append((d, seq * 3, src, dst))
+        if 0 <= src < sizes[d] and 0 <= dst < sizes[d]:
+            lists[d].insert(dst, lists[d].pop(src))
+    df = spark.createDataFrame([(d, i, i) for d, n in sizes.items() for i in range(n)], "doc_id int, ord int, uid int")
+    frame = spark.createDataFrame(rng.sample(moves, len(moves)), "doc_id int, seq int, src int, dst int")
+    got = A.move_file(df, frame, block).collect()
+    assert {(r["doc_id"], r["ord"]): r["uid"] for r in got} == {(d, i): u for d, items in lists.items() for i, u in enumerate(items)}
+    assert len(got) == sum(sizes.values())
+
+
+@pytest.mark.parametrize("block", [1, 16, 200])
+def test_long_lists_of_layer_moves_against_a_list(spark, block):
+    rng = random.Random(block)
+    pages = {(1, 0): list("abcdefghij"), (1, 1): list("xyz"), (2, 0): ["a"], (3, 0): list("pq")}
+    annots = spark.createDataFrame([(d, p, i, k * 10) for (d, p), ids in pages.items() for k, i in enumerate(ids)], "doc_id int, page_index int, id string, ord int")
+    moves = []
+    for seq in range(90):
+        key = (1, 0) if rng.random() < 0.8 else rng.choice([(1, 1), (2, 0)])
+        i, way = rng.choice(pages[key]), rng.choice(["front", "back", "forward", "backward"])
+        moves.append((key[0], seq, i, way))
+        at = pages[key].index(i)
+        pages[key].insert(max(0, {"front": len(pages[key]), "back": 0, "forward": at + 1, "backward": at - 1}[way]), pages[key].pop(at))
+    frame = spark.createDataFrame(rng.sample(moves, len(moves)), "doc_id int, seq int, id string, dir string")
+    got = z_order(annots, frame, block).collect()
+    assert {(r["doc_id"], r["page_index"], r["ord"]): r["id"] for r in got} == {(*key, k + 1): i for key, ids in pages.items() for k, i in enumerate(ids)}
+
+
+def test_a_hundred_thousand_moves_of_one_document(spark):
+    """Places are followed one by one for a few files only."""
+    n, m = 3000, 100_000
+    moves = spark.range(m).selectExpr("1 AS doc_id", "id AS seq", "(id * 7919 + 13) % 3000 AS src", "(id * 104729 + 7) % 3000 AS dst")
+    df = spark.range(n).selectExpr("1 AS doc_id", "id AS ord", "id AS uid")
+    order = list(range(n))
+    for k in range(m):
+        src, dst = (k * 7919 + 13) % n, (k * 104729 + 7) % n
+        order.insert(dst, order.pop(src))
+    moved = A.move_file(df, moves)
+    assert "collect_list" not in moved._jdf.queryExecution().executedPlan().toString()
+    assert [r["uid"] for r in moved.orderBy("ord").collect()] == order

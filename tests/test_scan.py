@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.plans.scan import scan_numbers, scan_sums
+from quire.plans.scan import scan_lasts, scan_numbers, scan_sums
 
 
 @pytest.fixture(params=["8 small ranges", "one range", "batches of three rows"])
@@ -37,6 +37,19 @@ def test_against_python(spark, ranges, kind):
     assert sorted(((r["k"], r["o"], r["n"]) for r in got.collect()), key=str) == summed([(k, o, 1) for k, o, _ in rows])
 
 
+def test_last_values_against_python(spark, ranges):
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 0, 0, 0, 1, None]), o, rng.choice([None] * 40 + [7, -1, 1 << 40]), rng.choice([None, 3])) for o in rng.sample(range(3000), 600)]
+    frame = spark.createDataFrame(rows, "k bigint, o bigint, v bigint, w bigint").repartition(4)
+    got = scan_lasts(frame, ["k"], "o", {"a": F.col("v"), "w": F.col("w")})
+    want, last = [], {}
+    for k, o, v, w in sorted(rows, key=lambda r: r[1]):
+        a, b = last.get(k, (None, None))
+        last[k] = (a if v is None else v, b if w is None else w)
+        want.append((k, o, *last[k]))
+    assert sorted(((r["k"], r["o"], r["a"], r["w"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_keys_of_any_type_and_none(spark, ranges):
     rows = [(None, "x", None), (None, "x", 3), ("a", None, 1), ("a", None, 2), ("a", "x", 1), ("b", "x", 9)]
     frame = spark.createDataFrame(rows, "k string, l string, o bigint").withColumn("s", F.struct("k", "l")).withColumn("own", F.array("o"))
