@@ -6,7 +6,9 @@ document, its end id included), n_tokens, control and data. A number takes one t
 ``data``; two bits of ``control`` say how many, four numbers to a byte, the first in the lowest bits.
 
 Texts are cut at white space, which no token crosses, and each distinct word is encoded once by a worker with the
-tokenizer itself; its dictionary is bounded and starts anew when full. Ids wait in the shared folder for the ranks,
+tokenizer itself; its dictionary is bounded and starts anew when full. Where the tokenizer does no more than compose, squeeze
+spaces and lower letters, words of plain letters and marks skip these steps: Python lowers them, and a digit between them,
+which no token joins to anything, shows where the ids of a word end. Ids wait in the shared folder for the ranks,
 then are ordered by one range shuffle.
 
 Edge cases: a null or empty text has the end id alone; documents without id come first; rows repeated under one id stand
@@ -16,13 +18,14 @@ Other columns are not part of the format.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import types
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +37,10 @@ from quire.session import shared_folder
 BLOCK_TOKENS = 1 << 16
 #: Words and ids that a worker remembers; both bound its memory. Words of one call of the tokenizer.
 KNOWN_WORDS, KNOWN_IDS, JOINED = 1_500_000, 10_000_000, 128
+#: Words that composition leaves alone and whose letters lower one by one.
+PLAIN = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u2013\u2014\u2018-\u201E\u2026\u00AB\u00BB]+")
+#: A digit that no plain word holds, in bytes that none of them holds.
+MARK, AT_ONCE = "\u0660", 32
 
 
 class Known:
@@ -44,15 +51,49 @@ class Known:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare, self.mark = self._bare(Tokenizer)
         self.clear()
 
+    def _bare(self, kind) -> tuple:
+        """The tokenizer without its normalizer and the ids of the mark, if plain words can go without."""
+        made = json.loads(self.tokenizer.to_str())
+        steps, cut = made.get("normalizer") or {}, (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in steps.get("normalizers") or []]
+        digits_alone = "|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in (cut[0].get("pattern") or {}).get("Regex", "") and cut[0].get("behavior") == "Removed"
+        if steps != [("NFC", None, None), ("Replace", "\\s+", " "), ("Lowercase", None, None)] or not digits_alone:
+            return None, None
+        bare = kind.from_str(json.dumps({**made, "normalizer": None}))
+        return bare, bare.encode(MARK, add_special_tokens=False).ids
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        portions = [MARK.join(words[k: k + AT_ONCE]) + MARK for k in range(0, len(words), AT_ONCE)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(portions, add_special_tokens=False)])
+        at, width = np.flatnonzero(ids == self.mark[0]), len(self.mark)
+        kept = np.ones(len(ids), bool)
+        for k in range(width):
+            kept[at + k] = False
+        return ids[kept], np.diff(at, prepend=-width) - width
+
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of each word's ids); words go to the tokenizer some at a time, parted by line ends."""
+        """(ids, number of each word's ids), in the order of the words."""
+        plain = np.array([self.bare is not None and PLAIN.fullmatch(w) is not None for w in words], bool)
+        parts = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        found = [f([words[i].lower() if f == self._plain else words[i] for i in part]) for f, part in zip((self._plain, self._whole), parts) if len(part)]
+        if len(found) == 1:
+            return found[0]
+        order = np.argsort(np.concatenate(parts))
+        ids, sizes = (np.concatenate(x) for x in zip(*found))
+        at = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        return ids[np.arange(len(ids)) + np.repeat(at - (np.cumsum(sizes) - sizes), sizes)], sizes
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words go to the tokenizer some at a time, parted by line ends."""
         portions = [words[k: k + JOINED] for k in range(0, len(words), JOINED)]
         ids, sizes = [], []
         for portion, found in zip(portions, self.tokenizer.encode_batch(["\n".join(p) for p in portions], add_special_tokens=False)):
@@ -62,7 +103,8 @@ class Known:
             sizes.append(np.diff(cuts, prepend=0))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _store(self, hashes: list[int], words: list[str]) -> None:
+    def _store(self, before: np.ndarray, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        """Places of new words; ``before`` says where among the sorted hashes theirs belong."""
         ids, sizes = self._encoded(words)
         n, total = len(self.place), len(ids)
         while n + len(sizes) > len(self.at):
@@ -73,20 +115,23 @@ class Known:
         self.size[n: n + len(sizes)] = sizes
         self.ids[self.used: self.used + total] = ids
         self.used += total
-        self.place.update(zip(hashes, range(n, n + len(hashes))))
+        place = np.arange(n, n + len(hashes))
+        self.hashes, self.place = np.insert(self.hashes, before, hashes), np.insert(self.place, before, place)
+        return place
 
     def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
         if len(self.place) > KNOWN_WORDS or self.used > KNOWN_IDS:
             self.clear()
-        codes, unique = pd.factorize(W.word_hashes(words))
-        unique = unique.tolist()
-        fresh = [k for k, at in enumerate(map(self.place.get, unique)) if at is None]
-        if fresh:
-            at = np.zeros(len(unique), np.int64)
-            at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            self._store([unique[k] for k in fresh], words.strings(at[fresh]))
-        place = np.array(list(map(self.place.get, unique)), np.int64)
+        unique, first, codes = np.unique(W.word_hashes(words), return_index=True, return_inverse=True)
+        before = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        inside = before < len(self.hashes)
+        known[inside] = self.hashes[before[inside]] == unique[inside]
+        place = np.zeros(len(unique), np.int64)
+        place[known] = self.place[before[known]]
+        if not known.all():
+            place[~known] = self._store(before[~known], unique[~known], words.strings(first[~known]))
         at, sizes = self.at[place][codes], self.size[place][codes]
         return self.ids[np.arange(int(sizes.sum())) + np.repeat(at - (np.cumsum(sizes) - sizes), sizes)], sizes
 

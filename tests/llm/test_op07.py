@@ -51,6 +51,15 @@ def test_whole_table_against_the_tokenizer(spark):
 TEXTS = ["it's I'LL été a b İx 12 345!?", None, "", "  \n ", "x" * 30_000, "don't 中文 \U0001f600 ́mark", "same same", "same same"]
 
 
+def test_plain_words_go_without_the_normalizer():
+    """Letters with and without composed forms, marks, digits and what lowers in more than one step."""
+    words = ["it's", "I'LL", "été,", "ÀÉÎÕÜß×÷ÿ", "İx", "J\u030c", "j\u030c", "ΣΑΣ", "e\u0301", "“Quoted”", "a—b", "12345!?", "x\u0660y", "\u0660", "中文", "ﬁ", "K", "don't.'s", "ŁÓDŹ", "<|endoftext|>", "…", "«A»"]
+    known = T.Known(PATH)
+    ids, sizes = known._encoded(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [known.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert known.bare is not None and T.Known(public_tokenizers.path("byte_bpe_50k.json")).bare is None
+
+
 @pytest.mark.parametrize("block, known", [(1 << 16, 10**6), (3, 2)])
 def test_edges(spark, docs, monkeypatch, block, known):
     monkeypatch.setattr(T, "BLOCK_TOKENS", block)
