@@ -194,6 +194,6 @@ def search_table(
 
     named = first.join(listed, "__phrase")
     return named.select(
-        *keys, *phrases.columns, F.col("__hit.at").alias("at"),
+        *keys, *phrases.columns, F.col("__hit.at").cast("bigint").alias("at"),
         F.concat(F.when(F.col("__hit.at") > BEFORE + 1, "…").otherwise(""), squeeze(F.col("__hit.lead"))).alias("before"),
         F.col("__hit.match").alias("match"), F.concat(squeeze(F.col("__hit.tail")), F.lit("…")).alias("after"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_blank
-from quire.plans.blocks import BLOCK, ORDER_BITS, block, prefix_sums
+from quire.plans.blocks import BLOCK, ORDER_BITS, block
+from quire.plans.scan import scan_sums
 
 #: Bytes of joined text in one row.
 PART_BYTES = 16 << 20
@@ -29,17 +31,17 @@ def page_count(text: Column, sep: str = "\f") -> Column:
     return F.when(text.isNotNull(), F.size(parts) - last_blank.cast("int"))
 
 
-def split_pages(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\f") -> DataFrame:
-    """One row per page (key, page, text); a blank last page is dropped, inner ones stay."""
+def split_pages(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\f", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per page (key, keep, page, text); a blank last page is dropped, inner ones stay."""
     parts = F.split(F.col(text), re.escape(sep))
-    cut = df.select(key, parts.alias("__parts"))
+    cut = df.select(key, *keep, parts.alias("__parts"))
     cut = cut.withColumn("__n", F.size("__parts"))
     last_blank = is_blank(F.get("__parts", F.col("__n") - 1))
     kept = F.when(last_blank, F.slice("__parts", F.lit(1), F.col("__n") - 1)).otherwise(
         F.col("__parts")
     )
-    return cut.select(key, F.posexplode(kept).alias("__pos", "text")).select(
-        key, (F.col("__pos") + 1).alias("page"), "text"
+    return cut.select(key, *keep, F.posexplode(kept).alias("__pos", "text")).select(
+        key, *keep, (F.col("__pos") + 1).alias("page"), "text"
     )
 
 
@@ -102,7 +104,7 @@ def cap_text(
 
 
 def export_text(
-    pages: DataFrame, ranges: DataFrame, key: str = "doc_id", part_bytes: int = PART_BYTES, bits: int = ORDER_BITS
+    pages: DataFrame, ranges: DataFrame, key: str = "doc_id", part_bytes: int = PART_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """Text of pages ``first``..``last`` of each document, and the refused ranges.
 
@@ -123,7 +125,9 @@ def export_text(
         & (F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
     )
     size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
-    placed = prefix_sums(chosen.select(key, "page", "text"), [key], "page", {"__before": size}, bits)
+    # places come from sizes alone; the text moves to its place and to its part
+    before = scan_sums(chosen.select(key, "page", size.alias("__size")), [key], "page", {"__before": F.col("__size")})
+    placed = chosen.select(key, "page", "text").join(before.select(key, "page", "__before"), [key, "page"])
     part = F.floor(F.col("__before") / part_bytes).cast("bigint")
     ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     text = (

@@ -18,7 +18,7 @@ from quire.plans.blocks import row_numbers
 from quire.session import shared_folder
 from quire.sources.files import conversions, scan_files
 from quire.sources.images import image_gate
-from quire.sources.sinks import write_text
+from quire.sources.sinks import read_text, write_text
 
 
 @query(
@@ -71,17 +71,15 @@ def _scan_files_listed(spark, sf_dir):
     )
 
 
-@query("write_text", "SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0 OR lang = 'en'")
+@query("write_text", "SELECT doc_id, text FROM documents")
 def _write_text(spark, sf_dir):
-    """Texts of half of the documents and of all English ones as files, one each, read back whole."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0 OR lang = 'en'")
-    pages = docs.select("doc_id", F.lit(1).alias("page"), "text")
+    """Texts of all documents as files, one each, read back whole."""
+    docs = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("int")
-    text, _ = export_text(pages, docs.select("doc_id", none.alias("first"), none.alias("last")))
+    text, _ = export_text(docs.select("doc_id", F.lit(1).alias("page"), "text"), docs.select("doc_id", none.alias("first"), none.alias("last")))
     root = shared_folder(spark, "texts")
     write_text(text, root, inputs=[sf_dir])
-    read = spark.read.schema("value string, doc_id bigint, part int").text(root, wholetext=True)
-    return read.select("doc_id", F.expr("left(value, length(value) - 1)").alias("text"))
+    return read_text(spark, root).select(F.col("key").cast("bigint").alias("doc_id"), "text")
 
 
 @query("write_text_packed", "SELECT doc_id, text FROM documents")

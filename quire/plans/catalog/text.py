@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import FOLD_FROM, FOLD_TO, SHOWN, decode_meta, encode_meta, fold_text
 from quire.operators.metadata import meta_edit, meta_read
 from quire.operators.outline import outline
+from quire.operators.phrase_index import search_table
 from quire.operators.search import search, search_snippets
 from quire.operators.text import effective_text
 from quire.plans.flows import search_corpus
@@ -54,6 +55,24 @@ def _search_snippets_case(spark, sf_dir):
     return search_snippets(lines(spark, sf_dir), PHRASES, case_sensitive=True)
 
 
+@query(
+    "search_table",
+    """
+    SELECT doc_id, item_id, strpos(lower(text), lower(phrase)) AS at,
+           concat(CASE WHEN strpos(lower(text), lower(phrase)) > 41 THEN '…' ELSE '' END,
+                  regexp_replace(substr(text, greatest(strpos(lower(text), lower(phrase)) - 40, 1),
+                                        least(strpos(lower(text), lower(phrase)) - 1, 40)), '\\s+', ' ', 'g')) AS before,
+           substr(text, strpos(lower(text), lower(phrase)), length(phrase)) AS match,
+           regexp_replace(substr(text, strpos(lower(text), lower(phrase)) + length(phrase), 60) || '…', '\\s+', ' ', 'g') AS after
+    FROM documents JOIN (SELECT item_id, trim(text) AS phrase FROM benchmark) b ON contains(lower(text), lower(phrase))
+    """,
+)
+def _search_table(spark, sf_dir):
+    """The text of every benchmark item, looked for in every document."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return search_table(docs, items.select("item_id", F.col("text").alias("phrase")), ["doc_id"]).drop("phrase")
+
+
 @query(
     "effective_text",
     f"""

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quire.operators.assemble import combine, split_every
 from quire.operators.labels import page_label
 from quire.operators.quality import drop_blank, is_blank_page, luma_stats
-from quire.operators.search import search_snippets
+from quire.operators.search import snippets_and_counts
 from quire.operators.text import effective_text, head, page_count, split_pages
-from quire.plans.blocks import prefix_sums
+from quire.plans.scan import scan_sums
 
 
 def search_corpus(
@@ -31,17 +31,18 @@ def search_corpus(
     documents of a library in document order, as if they were one volume.
     Phrases are looked for where the text is read, so only hits move, and a label
     is the number of pages before the document plus the page: no page rows are
-    made for it. ``max_bytes`` cuts each text before its pages are made.
+    made for it. The text is read once, for hits and page counts. ``max_bytes``
+    cuts each text before its pages are made.
     """
-    searched = documents.select("doc_id", head(F.col("text"), max_bytes).alias("text"))
-    pages = split_pages(searched, sep=sep)
+    known = documents.select("doc_id", library, head(F.col("text"), max_bytes).alias("text"), page_count(F.col("text"), sep).alias("page_count"))
+    pages = split_pages(known, sep=sep, keep=[library, "page_count"])
     if ocr is not None:
         pages = effective_text(pages, ocr)
-    hits = search_snippets(pages, phrases)
-    counted = documents.select("doc_id", library, page_count(F.col("text"), sep).alias("page_count"))
-    counted = counted.filter(F.col("page_count") > 0)
-    before = prefix_sums(counted, [library], "doc_id", {"__before": F.col("page_count").cast("bigint")})
-    labelled = hits.join(before.select("doc_id", library, "__before"), "doc_id")
+    hits, counted = snippets_and_counts(pages, phrases)
+    if max_bytes is not None:  # a text may be cut before its first page ends
+        counted = known.filter(F.col("page_count") > 0)
+    before = scan_sums(counted.select("doc_id", library, "page_count"), [library], "doc_id", {"__before": F.col("page_count")})
+    labelled = hits.drop(library, "page_count").join(before.select("doc_id", library, "__before"), "doc_id")
     number = F.col("__before") + F.col("page")
     return labelled.withColumn("label", page_label(number, prefix, pad)).drop("__before")
 

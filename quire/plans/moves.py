@@ -8,12 +8,13 @@ any size is spread over ranges. Items take the shift of their piece by one more
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.plans.scan import scan_lasts, scan_numbers
 from quire.session import shared_folder
@@ -58,38 +59,50 @@ class Pieces:
         return self.start, np.cumsum(self.size) - self.size - self.start
 
 
-def by_place(pieces: Pieces, block: pd.DataFrame) -> None:
-    """Moves (src, dst) between places."""
-    for src, dst in zip(block["src"].tolist(), block["dst"].tolist()):
-        pieces.move(src, dst)
+def by_place(pieces: Pieces, src: int, dst: int) -> None:
+    """A move from one place to another."""
+    pieces.move(src, dst)
 
 
-def by_item(pieces: Pieces, block: pd.DataFrame) -> None:
-    """Moves (src, dir) of the item that is at ``src`` when the block begins."""
-    last = int(pieces.size.sum()) - 1
-    for was, way in zip(block["src"].tolist(), block["dir"].tolist()):
-        now = pieces.place(was)
-        dst = {"backward": now - 1, "forward": now + 1, "back": 0}.get(way, last)
-        pieces.move(now, min(max(dst, 0), last))
+def by_item(pieces: Pieces, was: int, way: str | None) -> None:
+    """A move of the item that was at a place when the block began."""
+    last, now = int(pieces.size.sum()) - 1, pieces.place(was)
+    dst = {"backward": now - 1, "forward": now + 1, "back": 0}.get(way, last)
+    pieces.move(now, min(max(dst, 0), last))
 
 
-def replayed(moves: DataFrame, keys: Sequence[str], replay: Callable = by_place) -> DataFrame:
-    """(keys, block, lo, by) of (keys, block, no, src, ..., n): one map for each block of moves; places count from 0."""
-    keys = list(keys)
+def replayed(moves: DataFrame, keys: Sequence[str], to: str = "dst", replay: Callable = by_place) -> DataFrame:
+    """(keys, block, lo, by) of (keys, block, no, src, to, n): one map for each block of moves; places count from 0."""
+    group = [*keys, "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, pieces, out, rows, kinds = None, None, [], 0, None
+
+        def table() -> pa.RecordBatch:
+            sizes = [len(lo) for _, lo, _ in out]
+            columns = [pa.array([k[i] for k, _, _ in out], kinds[i]).take(pa.array(np.repeat(np.arange(len(out)), sizes))) for i in range(len(group))]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.concatenate([lo for _, lo, _ in out])), pa.array(np.concatenate([by for _, _, by in out]))], [*group, "lo", "by"])
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("no")
-        pieces = Pieces(int(block["n"].iloc[0]))
-        replay(pieces, block)
-        lo, by = pieces.shifts()
-        out = pd.DataFrame({"block": block["block"].iloc[0], "lo": lo, "by": by})
-        for k, c in enumerate(keys):
-            out.insert(k, c, [block[c].iloc[0]] * len(out))
-        return out
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(len(group))]
+            for *key, src, dst, n in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != held:
+                    if held is not None:
+                        out.append((held, *pieces.shifts()))
+                        rows += len(out[-1][1])
+                    held, pieces = key, Pieces(n)
+                    if rows > 1 << 16:
+                        yield table()
+                        out, rows = [], 0
+                replay(pieces, src, dst)
+        if held is not None:
+            out.append((held, *pieces.shifts()))
+            yield table()
 
-    fields = [moves.schema[k] for k in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", block bigint, lo bigint, by bigint"
-    return moves.groupBy(*keys, "block").applyInPandas(run, schema)
+    dealt = moves.repartition(*group).sortWithinPartitions(*group, "no").select(*group, "src", to, "n")
+    fields = [dealt.schema[k] for k in group] + [T.StructField("lo", T.LongType()), T.StructField("by", T.LongType())]
+    return dealt.mapInArrow(run, T.StructType(fields))
 
 
 def composed(maps: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
@@ -128,7 +141,7 @@ def item_shifts(moves: DataFrame, keys: Sequence[str], most: int, block_moves: i
     blocks = (most + size - 1) // size
     place, waiting = shared_folder(spark, "maps"), moves.withColumn("block", F.expr(f"(no - 1) div {size}"))
     for block in range(blocks):
-        here = replayed(waiting.filter(F.col("block") == block), keys, by_item)
+        here = replayed(waiting.filter(F.col("block") == block), keys, "dir", by_item)
         here.write.mode("append").parquet(place)
         if block + 1 < blocks:
             done = spark.read.parquet(place).filter(F.col("block") == block)

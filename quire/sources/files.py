@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.paths import basename, classify_file, join_path
 from quire.plans.blocks import ORDER_BITS, range_join, row_numbers
+from quire.plans.scan import scan_numbers
 
 
 def catalogue(files: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
@@ -58,7 +59,6 @@ def intake(
     existing: DataFrame,
     info: DataFrame,
     first_uid: int = 1,
-    bits: int = ORDER_BITS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add a batch of paths to a workspace: (added, report, rejected).
 
@@ -84,9 +84,7 @@ def intake(
         .otherwise("added")
     )
     judged = judged.withColumn("outcome", outcome)
-    added = row_numbers(
-        judged.filter(F.col("outcome") == "added").select("seq", "path", "kind"), [], "seq", "__no", bits
-    ).select(
+    added = scan_numbers(judged.filter(F.col("outcome") == "added").select("seq", "path", "kind"), [], "seq", "__no").select(
         "seq",
         "path",
         "kind",

@@ -6,7 +6,11 @@ import posixpath
 from collections.abc import Iterable
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.session import folder_exists
+from quire.sources.text_files import TextFiles
 
 
 def _location(path: str) -> tuple[str, str, str]:
@@ -42,15 +46,26 @@ def write_docs(
 def write_text(
     parts: DataFrame, path: str, inputs: Iterable[str] = (), key: str = "doc_id", packed: bool = False
 ) -> None:
-    """Write exported text, one folder per document and part, in UTF-8.
+    """Write exported text in UTF-8, one file for each document and part; an existing folder is refused.
 
-    ``packed`` is for more documents than a folder each is fit for: Parquet files
-    of (key, part, text) hold many, and their Bloom filters find a document by key.
+    ``read_text`` reads it back. ``packed`` is for more documents than files are fit
+    for: Parquet files of (key, part, text) hold many, and their Bloom filters find
+    a document by key.
     """
     _refuse_inputs(path, inputs)
     rows = parts.select(key, "part", "text")
     if packed:
         rows.write.mode("errorifexists").option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
         return
-    files = rows.repartition(key, "part").write.mode("errorifexists").option("lineSep", "\n")
-    files.partitionBy(key, "part").text(path)
+    spark = parts.sparkSession
+    if folder_exists(spark, path):
+        raise ValueError(f"OUTPUT_EXISTS: {path}")
+    spark.dataSource.register(TextFiles)
+    named = rows.select(F.col(key).cast("string").alias("key"), F.col("part").cast("bigint").alias("part"), "text")
+    named.write.format("text_files").mode("append").save(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(key, part, text) of every file that ``write_text`` made."""
+    spark.dataSource.register(TextFiles)
+    return spark.read.format("text_files").load(path)

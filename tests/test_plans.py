@@ -11,8 +11,10 @@ registry.load()
 
 # queries that run a job while they are built
 EAGER = {"write_docs", "write_text", "scan_files_listed", "job_status_stream", "stream_intake"}
-# a block summary or a one-row report ends in one task
-SINGLE = {"intake", "intake_report"}
+# a one-row report ends in one task
+SINGLE = {"intake_report"}
+# edges of the instructions of a document, not its pages; names that one task may hold
+WINDOWED = {"rotate": "instructions of a document"}
 
 
 def plan_of(spark, name):
@@ -31,12 +33,15 @@ def test_plan(spark, name):
 
 def test_no_window_over_a_whole_document(spark):
     """Row-level windows run per block; only block summaries are windowed per document."""
-    for name in ("format_ranges", "group_runs", "image_budget", "combine", "z_order", "name_outputs"):
-        plan = plan_of(spark, name)
-        windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]$", plan, re.M)
-        assert windows, name
-        for keys, order in windows:
+    seen = set()
+    for name in sorted(set(registry.QUERIES) - EAGER - set(WINDOWED)):
+        for keys, order in re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]$", plan_of(spark, name), re.M):
+            seen.add(name)
             assert "__block" in keys or "__block" in order, (name, keys, order)
+    assert {"format_ranges", "group_runs", "combine", "name_outputs"} <= seen
+    assert not seen & {"outline", "search_snippets", "search_corpus", "search_table", "intake"}
+
+
 
 
 def test_snippets_are_cut_down_before_the_shuffle(spark):

@@ -1,5 +1,6 @@
 """Catalogue, intake, images, names and sinks on real files."""
 
+import json
 import random
 import re
 
@@ -44,7 +45,7 @@ def test_intake(spark):
         [("/x/a.pdf", True, None), ("/x/b.pdf", True, None), ("/x/i.png", True, None), ("/x/bad.pdf", False, None), ("/x/e.jpg", None, "broken")],
         "path string, is_valid boolean, error string",
     )
-    added, report, rejected = files.intake(incoming, existing, info, first_uid=10, bits=1)
+    added, report, rejected = files.intake(incoming, existing, info, first_uid=10)
     assert [(r["path"], r["uid"]) for r in added.orderBy("seq").collect()] == [
         ("/x/a.pdf", "f10"), ("/x/a.pdf", "f11"), ("/x/i.png", "f12"), ("/x/i.png", "f13"), ("/x/d.docx", "f14"),
     ]
@@ -155,8 +156,7 @@ def test_heif_profile(spark):
     assert {r["path"] for r in images.image_gate(df, "heif").collect() if r["reason"]} == set("bcdef")
 
 
-@pytest.mark.parametrize("bits", [0, 16])
-def test_image_budget(spark, bits):
+def test_image_budget(spark):
     facts = spark.createDataFrame(
         [("x", 30, 1, 1, None), ("y", 20, 1, 1, None), ("z", 1, 9, 9, "IMAGE_BAD"), ("w", 1, 100, 100, None)],
         "image string, bytes long, width int, height int, reason string",
@@ -165,7 +165,7 @@ def test_image_budget(spark, bits):
         [(1, 1, "x"), (1, 2, "x"), (1, 3, "x"), (2, 5, "x"), (2, 7, "y"), (2, 9, "z"), (3, 1, "z"), (3, 2, "x"), (3, 3, "y"), (4, 1, "no"), (5, 1, "w")],
         "doc_id int, seq int, image string",
     )
-    got = {r["doc_id"]: tuple(r)[1:] for r in images.image_budget(placed, facts, 49, 9_000, bits).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in images.image_budget(placed, facts, 49, 9_000).collect()}
     assert got == {
         1: (30, 1, None, None), 2: (51, 83, "IMAGE_TOO_LARGE", 7), 3: (51, 83, "IMAGE_BAD", 1), 4: (0, 0, "IMAGE_MISSING", 1),
         5: (1, 10_000, "IMAGE_TOO_LARGE", 1),
@@ -186,10 +186,30 @@ def test_write_docs_never_overwrites(spark, tmp_path):
 
 
 def test_write_text(spark, tmp_path):
-    parts = spark.createDataFrame([(1, 0, "a\fb"), (1, 1, "ç"), (2, 0, "x")], "doc_id int, part int, text string")
-    sinks.write_text(parts, str(tmp_path / "t"))
-    texts = {p.parent.name: p.read_text("utf-8") for p in (tmp_path / "t").glob("doc_id=1/*/*.txt")}
-    assert texts == {"part=0": "a\fb\n", "part=1": "ç\n"}
+    rows = [("a/b c.%é", 0, "a\fb\r\n"), ("a/b c.%é", 1, "ç\u2028"), ("", 0, "x"), (".", 3, ""), (None, 0, "nobody's"), ("k", 0, "y" * 300_000)]
+    parts = spark.createDataFrame([*rows, ("null", 0, None)], "doc_id string, part int, text string")
+    out = str(tmp_path / "t")
+    sinks.write_text(parts.repartition(3), out)
+    back = sinks.read_text(spark, out)
+    assert {tuple(r) for r in back.collect()} == {*rows, ("null", 0, "")}
+    done = json.loads((tmp_path / "t" / "_SUCCESS").read_text())
+    assert done == {"files": 7, "bytes": sum(len((t or "").encode()) for *_, t in rows)}
+    found = [p for p in (tmp_path / "t").rglob("*.txt")]
+    assert len(found) == 7 and all(len(p.parent.name) == 2 for p in found)
+    with pytest.raises(ValueError, match="OUTPUT_EXISTS"):
+        sinks.write_text(parts, out)
+    with pytest.raises(ValueError, match="OUTPUT_IS_INPUT"):
+        sinks.write_text(parts, out + "/x", inputs=[out])
+
+
+def test_what_a_lost_task_left_is_no_text(spark, tmp_path):
+    sinks.write_text(spark.createDataFrame([("a", 0, "x")], "doc_id string, part int, text string"), str(tmp_path / "t"))
+    folder = next((tmp_path / "t").rglob("*.txt")).parent
+    (folder / ".0123abcd").write_text("half a te")
+    assert [tuple(r) for r in sinks.read_text(spark, str(tmp_path / "t")).collect()] == [("a", 0, "x")]
+    empty = spark.createDataFrame([], "doc_id string, part int, text string")
+    sinks.write_text(empty, str(tmp_path / "e"))
+    assert sinks.read_text(spark, str(tmp_path / "e")).count() == 0
 
 
 def test_write_text_packed(spark, tmp_path):
@@ -208,8 +228,7 @@ def test_write_text_of_all_documents(spark, tmp_path, packed):
     if packed:
         back = spark.read.parquet(str(tmp_path / "t")).select("doc_id", "text")
     else:
-        read = spark.read.schema("value string, doc_id bigint, part int").text(str(tmp_path / "t"), wholetext=True)
-        back = read.select("doc_id", F.expr("left(value, length(value) - 1)"))
+        back = sinks.read_text(spark, str(tmp_path / "t")).select(F.col("key").cast("bigint"), "text")
     whole = {tuple(r) for r in docs.select("doc_id", "text").collect()}
     assert {tuple(r) for r in back.collect()} == whole and any(k % 2 for k, _ in whole)
 

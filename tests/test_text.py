@@ -52,7 +52,7 @@ def test_export_text_in_parts(spark):
         [(d, p, f"{d}.{p}") for d in (1, 2, 3) for p in range(1, 8)], "doc_id int, page int, text string"
     )
     ranges = spark.createDataFrame([(1, 0, 3), (2, 5, None), (3, 4, 2)], "doc_id int, first int, last int")
-    text, errors = export_text(pages, ranges, part_bytes=8, bits=1)
+    text, errors = export_text(pages, ranges, part_bytes=8)
     parts = {}
     for r in text.orderBy("doc_id", "part").collect():
         parts.setdefault(r["doc_id"], []).append(r["text"])
