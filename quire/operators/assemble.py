@@ -22,6 +22,7 @@ from quire.plans.blocks import (
 )
 from quire.plans.moves import shifted as shifted_items
 from quire.plans.moves import shifts
+from quire.plans.scan import scan_numbers
 from quire.session import shared_folder
 
 MIN_SHEET = 72.0
@@ -90,6 +91,26 @@ def move_file(files: DataFrame, moves: DataFrame, block_moves: int | None = None
     )
 
 
+def remove_files(files: DataFrame, removals: DataFrame) -> DataFrame:
+    """Take files out of their documents; the places of the others close up.
+
+    ``files`` is (doc_id, ord, active, ...) with places from 0, ``removals`` (doc_id,
+    ord) with places before anything is removed. The active file stays active; if
+    it goes, the next one that stays is active, or the last one.
+    """
+    left = files.join(removals.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_anti")
+    was = files.filter("active").groupBy("doc_id").agg(F.max("ord").alias("__was"))
+    now = left.join(was, "doc_id").groupBy("doc_id").agg(
+        F.coalesce(F.min(F.when(F.col("ord") >= F.col("__was"), F.col("ord"))), F.max("ord")).alias("__now")
+    )
+    places = scan_numbers(left, ["doc_id"], "ord", "__place").join(now, "doc_id", "left")
+    new = {
+        "ord": (F.col("__place") - 1).cast(files.schema["ord"].dataType),
+        "active": F.coalesce(F.col("ord") == F.col("__now"), F.lit(False)),
+    }
+    return places.select(*[new[c].alias(c) if c in new else c for c in files.columns])
+
+
 def merge_docs(pages: DataFrame, merges: DataFrame, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages of ``source`` documents in ``ord`` order as one ``target`` document.
 

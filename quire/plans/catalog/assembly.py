@@ -99,6 +99,27 @@ def _move_file(spark, sf_dir):
     return A.move_file(files, moves)
 
 
+@query(
+    "remove_files",
+    """
+    WITH f AS (
+        SELECT c_nationkey AS doc_id, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord FROM customer),
+    was AS (SELECT doc_id, ord AS was FROM f WHERE ord = doc_id * 3),
+    stays AS (SELECT * FROM f WHERE c_custkey % 3 <> doc_id % 3 AND ord < 60 - doc_id),
+    now AS (SELECT doc_id, coalesce(min(ord) FILTER (ord >= was), max(ord)) AS now FROM stays JOIN was USING (doc_id) GROUP BY 1)
+    SELECT doc_id, c_custkey, coalesce(ord = now, false) AS active, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord
+    FROM stays LEFT JOIN now USING (doc_id)
+    """,
+)
+def _remove_files(spark, sf_dir):
+    """A third of the customers of each nation goes, and all from some place on."""
+    files = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), "c_custkey")
+    files = row_numbers(files, ["doc_id"], "c_custkey", "ord").withColumn("ord", F.col("ord") - 1)
+    files = files.withColumn("active", F.col("ord") == F.col("doc_id") * 3)
+    gone = files.filter((F.col("c_custkey") % 3 == F.col("doc_id") % 3) | (F.col("ord") >= 60 - F.col("doc_id")))
+    return A.remove_files(files, gone)
+
+
 @query(
     "merge_docs",
     f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.paths import basename, classify_file, join_path
 from quire.plans.blocks import ORDER_BITS, range_join, row_numbers
 from quire.plans.scan import scan_numbers
+from quire.sources.listing import FileListing
 
 
 def catalogue(files: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
@@ -34,19 +35,12 @@ def catalogue(files: DataFrame, page_counts: DataFrame | None = None) -> DataFra
 def scan_files(
     spark: SparkSession, path: str, page_counts: DataFrame | None = None, pattern: str = "*"
 ) -> DataFrame:
-    """Catalogue of a folder tree. File contents are never read.
+    """Catalogue of a folder tree, empty and hidden files included. Files are never opened.
 
-    Spark's file sources leave out empty and hidden files. Where those matter,
-    hand a listing of (path, length) to ``catalogue`` instead.
+    ``pattern`` is matched against names, * and ? standing for any characters.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select("path", "length")
-    )
-    return catalogue(files, page_counts)
+    spark.dataSource.register(FileListing)
+    return catalogue(spark.read.format("file_listing").option("pattern", pattern).load(path), page_counts)
 
 
 def conversions(incoming: DataFrame) -> DataFrame:

@@ -16,18 +16,15 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from quire.sources.places import opened
+
 FOLDERS = 256
 #: Bytes of text in one batch of a reader.
 BATCH_BYTES = 8 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def _folder(key: str) -> str:
     return f"{zlib.crc32(key.encode()) % FOLDERS:02x}"
 
@@ -43,33 +40,29 @@ class _Writer(DataSourceWriter):
         self.path = path
 
     def write(self, rows: Iterator) -> Written:
-        system, root = _open(self.path)
+        system, root = opened(self.path)
         made, files, size = set(), 0, 0
         for key, part, text in rows:
             folder = f"{root}/{_folder(key or '')}"
             if folder not in made:
-                system.create_dir(folder, recursive=True)
+                system.make(folder)
                 made.add(folder)
             raw = (text or "").encode()
             waiting = f"{folder}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(waiting) as out:
-                out.write(raw)
+            system.write(waiting, raw)
             name = "none" if key is None else f"k{quote(key, safe='')}"
             system.move(waiting, f"{folder}/{name}.{part:06d}.txt")
             files, size = files + 1, size + len(raw)
         return Written(files, size)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = _open(self.path)
-        system.create_dir(root, recursive=True)
+        system, root = opened(self.path)
+        system.make(root)
         done = [m for m in messages if m is not None]
-        with system.open_output_stream(f"{root}/_SUCCESS") as out:
-            out.write(json.dumps({"files": sum(m.files for m in done), "bytes": sum(m.size for m in done)}).encode())
+        system.write(f"{root}/_SUCCESS", json.dumps({"files": sum(m.files for m in done), "bytes": sum(m.size for m in done)}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = _open(self.path)
-        if system.get_file_info(root).type == fs.FileType.Directory:
-            system.delete_dir(root)
+        """Nothing is taken back: without ``_SUCCESS`` the folder is not whole."""
 
 
 @dataclass
@@ -85,21 +78,20 @@ class _Reader(DataSourceReader):
         return [_Folder(f"{k:02x}") for k in range(FOLDERS)]
 
     def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
-        system, root = _open(self.path)
+        system, root = opened(self.path)
         held, size = [], 0
 
         def batch() -> pa.RecordBatch:
             keys, parts, texts = zip(*held)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(parts, pa.int64()), pa.array(texts, pa.string())], ["key", "part", "text"])
 
-        for info in system.get_file_info(fs.FileSelector(f"{root}/{partition.name}", allow_not_found=True)):
-            if info.base_name.startswith(".") or not info.base_name.endswith(".txt"):
+        for e in system.entries(f"{root}/{partition.name}"):
+            if e.name.startswith(".") or not e.name.endswith(".txt"):
                 continue  # left by a task that was lost
-            name, part, _ = info.base_name.rsplit(".", 2)
+            name, part, _ = e.name.rsplit(".", 2)
             key = unquote(name[1:]) if name.startswith("k") else None
-            with system.open_input_file(info.path) as file:
-                held.append((key, int(part), file.read().decode("utf-8", "replace")))
-            size += info.size
+            held.append((key, int(part), system.read(e.path).decode("utf-8", "replace")))
+            size += e.size
             if size > BATCH_BYTES:
                 yield batch()
                 held, size = [], 0

@@ -355,3 +355,25 @@ def test_a_hundred_thousand_moves_of_one_document(spark):
     moved = A.move_file(df, moves)
     assert "collect_list" not in moved._jdf.queryExecution().executedPlan().toString()
     assert [r["uid"] for r in moved.orderBy("ord").collect()] == order
+
+
+@pytest.mark.parametrize("active", [0, 3, 5, None])
+def test_files_are_removed_as_one_by_one(spark, active):
+    rng = random.Random(active)
+    gone, rows, want = [], [], {}
+    for doc in range(12):
+        names, at = list(range(6)), active
+        out = rng.sample(range(6), rng.randrange(7))
+        for place in out:
+            i = names.index(place)
+            del names[i]
+            if at is not None:
+                at = at - 1 if i < at else at
+                at = max(0, len(names) - 1) if at >= len(names) else at
+        rows += [(doc, k, k, k == active) for k in range(6)]
+        gone += [(doc, k) for k in out] + [(doc, 99)]
+        want.update({(doc, n): (k, k == at) for k, n in enumerate(names)})
+    files_ = spark.createDataFrame(rows, "doc_id int, ord int, uid int, active boolean")
+    got = A.remove_files(files_, spark.createDataFrame(gone, "doc_id int, ord int"))
+    assert got.columns == files_.columns
+    assert {(r["doc_id"], r["uid"]): (r["ord"], r["active"]) for r in got.collect()} == want

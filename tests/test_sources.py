@@ -29,10 +29,25 @@ def test_scan_files(spark, tmp_path):
     assert got == {"a.pdf": (5, 4, True), "b.PDF": (7, None, False), "c.txt": (3, None, False), "d.pdf": (1, None, False)}
 
 
-def test_scan_never_reads_content(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"x")
-    plan = files.scan_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("FileScan")[1].split("Batched")[0]
+def test_scan_lists_empty_and_hidden_files_and_opens_none(spark, tmp_path, monkeypatch):
+    want = {}
+    for k in range(90):  # more folders than are opened before tasks take over
+        folder = tmp_path / "wide" / f"d{k}" / ".inner"
+        folder.mkdir(parents=True)
+        (folder / f"f{k}.pdf").write_bytes(b"x" * k)
+        want[f"file:{folder}/f{k}.pdf"] = k
+    for name in (".hidden.pdf", "_SUCCESS.pdf", "empty.pdf", "no.txt", "with space é.pdf"):
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"yy")
+        want[f"file:{tmp_path}/{name}"] = 0 if "empty" in name else 2
+    (tmp_path / "closed.pdf").write_bytes(b"abc")
+    (tmp_path / "closed.pdf").chmod(0)
+    want[f"file:{tmp_path}/closed.pdf"] = 3
+    found = files.scan_files(spark, str(tmp_path))
+    assert {r["path"]: r["size"] for r in found.collect()} == want and found.count() == len(want)
+    only = files.scan_files(spark, f"file://{tmp_path}", pattern="*.pdf")
+    assert {r["path"] for r in only.collect()} == {p for p in want if p.endswith(".pdf")}
+    (tmp_path / "nothing").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "nothing")).count() == 0
 
 
 def test_intake(spark):
