@@ -250,3 +250,46 @@ def variants(
 def op11_variants(spark, sf_dir: str) -> DataFrame:
     """Spelling variants of all words of all documents."""
     return variants(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a Latin text in SQL; a byte's table entry is the sum of those of its bits."""
+    entry = "0"
+    for bit in range(8):
+        entry = f"xor({entry}, ((xor(c, b) >> {bit}) & 1) * {int(CRC[1 << bit])})"
+    code = "unicode(ch)::BIGINT"
+    octets = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN {code} < 128 THEN [{code}] ELSE [192 + ({code} >> 6), 128 + ({code} & 63)] END))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, {entry}), 4294967295::BIGINT), 4294967295)"
+
+
+SQL = rf"""
+    WITH RECURSIVE runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w
+        FROM documents),
+    counted AS (SELECT d, w, count(*) AS n FROM runs GROUP BY ALL),
+    hashed AS (SELECT w, n, {_crc_sql("concat(d, ':', w)")} AS h FROM counted WHERE length(w) >= {MIN_CHARS}),
+    slipped AS (
+        SELECT CASE WHEN h % {SLIP} = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, n FROM hashed),
+    words AS MATERIALIZED (
+        SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= {MIN_CHARS} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+    cuts AS MATERIALIZED (
+        SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+    best AS (
+        SELECT word, near, n AS near_n, count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+        QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, near) = 1),
+    forms AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= {RATIO} * w.n THEN near END AS form,
+               CASE WHEN near_n >= {RATIO} * w.n THEN near_n END AS form_n
+        FROM words w LEFT JOIN best USING (word)),
+    climb AS (
+        SELECT word, word AS top, 0 AS steps FROM forms
+        UNION ALL SELECT c.word, f.form, steps + 1 FROM climb c JOIN forms f ON c.top = f.word WHERE f.form IS NOT NULL)
+    SELECT word, any_value(form) AS form, arg_max(top, steps) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+    FROM climb JOIN forms USING (word) GROUP BY word
+"""

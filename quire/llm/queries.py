@@ -59,6 +59,7 @@ ORACLES: dict[str, str] = {
         "op2_quality": op02_quality.SQL,
         "op4_mix": op04_mix.SQL,
         "op8_decontaminate": op08_decontaminate.SQL,
+        "op11_variants": op11_variants.SQL,
         "op13_phrases": op13_phrases.SQL,
     }.items()
 }
