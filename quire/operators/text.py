@@ -120,14 +120,14 @@ def export_text(
         F.greatest(F.coalesce(F.col("first"), F.lit(1)), F.lit(1)).alias("__first"),
         F.col("last").alias("__last"),
     )
-    chosen = pages.join(usable, key).filter(
+    # places come from sizes alone; the text moves to its place and to its part
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
+    chosen = pages.select(key, "page", size.alias("__size")).join(usable, key).filter(
         (F.col("page") >= F.col("__first"))
         & (F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
     )
-    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
-    # places come from sizes alone; the text moves to its place and to its part
-    before = scan_sums(chosen.select(key, "page", size.alias("__size")), [key], "page", {"__before": F.col("__size")})
-    placed = chosen.select(key, "page", "text").join(before.select(key, "page", "__before"), [key, "page"])
+    before = scan_sums(chosen.select(key, "page", "__size"), [key], "page", {"__before": F.col("__size")})
+    placed = pages.select(key, "page", "text").join(before.select(key, "page", "__before"), [key, "page"])
     part = F.floor(F.col("__before") / part_bytes).cast("bigint")
     ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     text = (
