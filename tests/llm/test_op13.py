@@ -52,7 +52,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("least, top, share, longest", [(3, 2000, 1 / 32, 5), (3, 12, 1 / 32, 5), (8, 5, 1.0, 5), (3, 7, 0.01, 2), (5, 40, 0.2, 3)])
+@pytest.mark.parametrize("least, top, share, longest", [(3, 2000, 1.0, 5), (3, 12, 1 / 32, 5), (5, 40, 0.2, 3)])
 def test_against_counting_everything(docs, texts, least, top, share, longest):
     frame = docs([(k, t, lang) for k, (t, lang) in enumerate(texts)])
     got = found(P.collocations(frame, min_count=least, top=top, longest=longest, share=share))
