@@ -13,7 +13,10 @@ VERY_LARGE = 2 * 1024 * 1024 * 1024
 
 
 def format_bytes(n: Column | str, decimals: int = 2) -> Column:
-    """2500000000 to "2.33 GB", base 1024; negative or non-finite is a dash."""
+    """2500000000 to "2.33 GB", base 1024; negative or non-finite is a dash.
+
+    The exact value is rounded, and an exact half goes to the even digit, as SQL's printf has it.
+    """
     value = col(n).cast("double")
     tier = F.lit(0)
     for i in range(1, len(UNITS)):
@@ -21,7 +24,8 @@ def format_bytes(n: Column | str, decimals: int = 2) -> Column:
     scaled = value / F.pow(F.lit(1024.0), tier)
     unit = F.get(F.array(*[F.lit(u) for u in UNITS]), tier)
     text = F.when(tier == 0, F.format_string("%.0f", scaled)).otherwise(
-        F.format_string(f"%.{decimals}f", scaled)
+        # a pattern rounds the binary value itself; "%.2f" would round up its shortest decimal form
+        F.call_function("format_number", scaled, F.lit("0." + "0" * decimals if decimals else "0"))
     )
     finite = value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
     return F.when(finite, F.concat_ws(" ", text, unit)).otherwise("—")

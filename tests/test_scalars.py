@@ -26,6 +26,17 @@ def test_format_bytes(one, n, decimals, text):
     assert one(fmt.format_bytes(value, decimals)) == text
 
 
+@pytest.mark.parametrize(
+    "n,decimals,text",
+    [
+        (951936, 2, "929.62 KB"), (951937, 2, "929.63 KB"), (1024 + 384, 2, "1.38 KB"), (2560, 0, "2 KB"),
+        (1024**2 - 1, 2, "1024.00 KB"), (round(4.015 * 1024**5), 2, "4.01 PB"), (round(4.035 * 1024**5), 2, "4.04 PB"),
+    ],
+)
+def test_format_bytes_rounds_the_exact_value_half_to_even(one, n, decimals, text):
+    assert one(fmt.format_bytes(F.lit(n), decimals)) == text
+
+
 @pytest.mark.parametrize(
     "n,tier",
     [(500 * MIB - 1, "normal"), (500 * MIB, "large"), (2048 * MIB - 1, "large"), (2048 * MIB, "veryLarge")],
