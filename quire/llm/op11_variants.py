@@ -8,7 +8,9 @@ most, if it occurs ``ratio`` times as often; forms lead to a root. Counts at lea
 doubling ends after a few rounds.
 
 Occurrences are found over the bytes of a batch of texts and counted there, so a frequent word is one row a batch. The
-vocabulary is a table in the shared folder and is never gathered.
+vocabulary is a table in the shared folder and is never gathered: what is as long as it, or its many times longer
+neighbourhoods, joins by merging. Left to choose, Spark sizes them by their compressed files, the neighbourhoods by the file
+of the words they were made of, and sends them through the driver.
 
 Edge cases: a null or letterless text has no words; a null id counts as an empty id; a text is read whole, however long;
 repeated rows count again; of near words with equal counts the smallest by code points is the form; an empty table gives no
@@ -207,7 +209,7 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()).take(pa.array(at[new])), pa.array(code[new].view(np.int64))], ["word", "code"])
 
     left = counted.mapInArrow(generate, "word string, code bigint")
-    return left.join(vocabulary, "code").filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    return left.join(vocabulary.hint("merge"), "code").filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 
 def roots(forms: DataFrame, most: int, least: int = MIN_COUNT, ratio: float = RATIO) -> DataFrame:
@@ -218,7 +220,7 @@ def roots(forms: DataFrame, most: int, least: int = MIN_COUNT, ratio: float = RA
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         further = table.select(F.col("word").alias("root"), F.col("root").alias("__next"))
         path = shared_folder(spark, "roots")
-        table.join(further, "root", "left").select("word", F.coalesce("__next", "root").alias("root")).write.parquet(path)
+        table.join(further.hint("merge"), "root", "left").select("word", F.coalesce("__next", "root").alias("root")).write.parquet(path)
         table = spark.read.parquet(path)
     return table
 
@@ -234,7 +236,7 @@ def variants(
     words = spark.read.parquet(place)
     best = F.min(F.struct((-F.col("near_n")).alias("minus_n"), "near"))
     near = near_pairs(words, symbols).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("__best"))
-    known = words.join(near, "word", "left")
+    known = words.join(near.hint("merge"), "word", "left")
     strong = -F.col("__best.minus_n") >= ratio * F.col("n")
     known.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(strong, F.col("__best.near")).alias("form"),
@@ -243,7 +245,7 @@ def variants(
     table = spark.read.parquet(chosen)
     most = table.agg(F.max("n")).first()[0] or 0
     ends = roots(table.filter(F.col("form").isNotNull()), most, min_count, ratio)
-    return table.join(ends, "word", "left").select(
+    return table.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -100,6 +100,20 @@ def test_ties_take_the_smallest_form(docs):
     assert got["house"] == ("mouse", "mouse", 2, 3, 9) and got["mouse"][0] is None
 
 
+def test_nothing_as_long_as_the_vocabulary_is_broadcast(spark, docs):
+    """Spark may take every table for small here, and a broadcast of one byte stops the job."""
+    words = {"w" * 5 + "abcdefgh"[:k]: 1 << (2 + k) for k in range(9)}
+    table = docs([f"{w} " * n for w, n in words.items()])
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "1g", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1g", "spark.sql.maxBroadcastTableSize": "1"}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        assert found(V.variants(table, slip=0)) == grouped(words)
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+
+
 def test_whole_table_against_all_deletions(spark):
     """The registered query against pairs found by a shared deletion at one place."""
     from quire.llm.queries import QUERIES
